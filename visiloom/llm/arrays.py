@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 U = np.uint64
@@ -45,7 +46,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, end to end, and the n + 1 offsets; null counts as empty."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if texts.offset or isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays([texts]) if isinstance(texts, pa.Array) else texts.combine_chunks()
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +55,6 @@ def clear_of(columns: list[str], name: str) -> str:
     return name
 
 
-def id_crc(doc_id: str | Column, by: int) -> Column:
-    """crc32 of the id's text, modulo by; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % by
-
-
 def held_out(doc_id: str, by: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % by == 0
 
@@ -66,7 +62,7 @@ def held_out(doc_id: str, by: int) -> Column:
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Pieces of whole rows whose texts in `column` hold about `most` bytes at most; one longer row is a piece of its own."""
     sizes = batch.column(column)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
     begin = held = 0
     for i, n in enumerate(lengths):
         if held and held + n > most:
