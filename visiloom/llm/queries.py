@@ -7,9 +7,10 @@ from .chat import op9_chat_format
 from .mixing import op4_mixing
 from .quality import op10_quality
 from .simhash import op7_simhash
+from .substrings import OP2_SQL, op2_substring_dedup
 from .token_shards import op5_token_shards
 from .topk import OP3_SQL, op3_topk
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_topk, op4_mixing, op5_token_shards, op6_toxicity, op7_simhash, op8_prefix_bpe, op9_chat_format, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_topk, op4_mixing, op5_token_shards, op6_toxicity, op7_simhash, op8_prefix_bpe, op9_chat_format, op10_quality)}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_topk": OP3_SQL}
