@@ -76,9 +76,9 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
-    out = np.empty(len(starts), dtype=U)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, *prefixes: int) -> np.ndarray | list[np.ndarray]:
+    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap. With prefixes (byte lengths), a list: of the spans, then of their first bytes, for each length; shorter spans then have the hash of the whole."""
+    out = [np.empty(len(starts), dtype=U) for _ in range(1 + len(prefixes))]
     i = 0
     while i < len(starts):
         base = starts[i]
@@ -88,9 +88,11 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         total = np.zeros(len(sub) + 1, dtype=U)
         np.cumsum(BYTE_VALUES[sub] * up[: len(sub)], out=total[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U) * BASES[0])
+        for one, n in zip(out, (None, *prefixes)):
+            t = e if n is None else np.minimum(e, s + n)
+            one[i:j] = mix((total[t] - total[s]) * down[s] + (t - s).astype(U) * BASES[0])
         i = j
-    return out
+    return out if prefixes else out[0]
 
 
 def run_hashes(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: int) -> np.ndarray:

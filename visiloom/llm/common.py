@@ -33,7 +33,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -73,6 +73,7 @@ class Model:
     unknown: float = 1.0
     scale: float = 1.0
     buckets: int = 1
+    hot_least: int = 1000
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         if not self.tokens:
@@ -81,7 +82,7 @@ class Model:
 
     def hot(self, c: np.ndarray) -> np.ndarray:
         """Histories that are dealt out by n-gram: fewer than 4 * buckets can have so many tokens."""
-        return c > max(self.tokens / (4 * self.buckets), 1000)
+        return c > max(self.tokens / (4 * self.buckets), self.hot_least)
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -320,11 +321,11 @@ def _totals(answers: DataFrame, level: int) -> list[int]:
 class KatzScorer:
     """Trains on the rows whose `held` flag is false and scores all; `table` is where counts and answers are, by level."""
 
-    def __init__(self, docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text", held: str = "held_out", bucket_tokens: int = BUCKET_TOKENS, block_bytes: int = BLOCK_BYTES):
+    def __init__(self, docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text", held: str = "held_out", bucket_tokens: int = BUCKET_TOKENS, block_bytes: int = BLOCK_BYTES, hot_least: int = 1000):
         spark = docs.sparkSession
         self.id_type = docs.schema[doc_id].dataType.simpleString()
         self.blocks = write_blocks(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(held).alias("h")), "t", block_bytes, tokenised(order, "id", "t", "h"))
-        self.model = Model(order)
+        self.model = Model(order, hot_least=hot_least)
         self.hot: dict[int, dict[int, tuple[np.ndarray, float]]] = {}
         size, n_texts = self._sizes()
         self.model.buckets = max(1, -(-size // bucket_tokens))
@@ -332,7 +333,7 @@ class KatzScorer:
         self.table = scratch(spark, "katz")
         for level in range(1, order + 1):
             made = unigram_answers(self.blocks, self.model.buckets) if level == 1 else self._gram_answers(level)
-            made.write.parquet(f"{self.table}/level={level}")
+            made.write.option("compression", "uncompressed").parquet(f"{self.table}/level={level}")
             self._learn(level)
 
     def _read(self, level: int) -> DataFrame:

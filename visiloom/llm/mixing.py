@@ -7,7 +7,7 @@ each (source, words) has, so the corpus is read once. Sums are exact decimals: r
 
 Rates become copies by carrying the rounding error, in words, from larger sizes to smaller within a source; the cells of a
 source are its distinct sizes, at most as many as the longest document has words. Which documents of a cell get the
-additional copy is decided by id hash, in sub-cells of about `SUBCELL` rows, so no cell is sorted in one task.
+additional copy is decided by id hash, in `SUBS` sub-cells for each shuffle partition, so no cell is sorted in one task.
 
 Rows: null or empty texts have size 0, take nothing and get 0 words; null sources are one source, the last. Rows that
 repeat are documents of their own. An empty table gives no rows.
@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, clear_of, stored
+from .common import WORD_PATTERN, clear_of, partitions, stored
 
-CAP, SUBCELL, STEPS = 3, 2000, 60
+CAP, SUBS, STEPS = 3, 4, 60
 EXACT = "decimal(38,12)"
 
 
@@ -83,7 +83,7 @@ def _rounded(cells: pd.DataFrame) -> pd.DataFrame:
     out, carry = [], 0.0
     for size, m, rate in zip(cells["size"], cells["m"], cells["rate"]):
         want = m * rate * size + carry
-        low, high = m * int(rate), m * -int(-rate // 1)
+        low, high = m * max(int(rate) - 1, 0), m * min(int(rate) + 2, CAP)  # a copy beyond the rate's neighbours, to take up the carry
         k = min(max(round(want / size), low), high)
         carry = want - k * size
         out.append(k)
@@ -91,33 +91,27 @@ def _rounded(cells: pd.DataFrame) -> pd.DataFrame:
 
 
 def with_copies(docs: DataFrame, size: str, copies: str, source: str = "source", doc_id: str = "doc_id", cap: int = CAP) -> DataFrame:
-    """docs, which have their sizes in column `size`, with the column `copies`, source_size and target appended as a struct in `copies`."""
-    slim = stored(docs.select(F.col(source).alias("source"), F.col(size).alias("size"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)).alias("h")), "sizes")
-    wanted = stored(targets(slim, cap), "targets")
-    cells = stored(slim.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("m")), "cells")
-    balanced = rates(cells, wanted, cap)
+    """docs, which have their sizes in column `size`, and a struct `copies` of n, source_size and target. The rows themselves are dealt out once."""
+    names = [clear_of(docs.columns, n) for n in ("key_", "sub_", "h_", "z_")]
+    key, sub, h, z = names
+    subs = SUBS * partitions(docs.sparkSession)
+    keyed = docs.withColumns({key: F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")), h: F.xxhash64(F.col(doc_id)), z: F.col(size).cast("long")})
+    keyed = keyed.withColumn(sub, F.pmod(F.col(h), F.lit(subs)))
+    slim = stored(keyed.groupBy(F.col(source).alias("source"), F.col(key).alias("key"), F.col(z).alias("size"), F.col(sub).alias("sub")).agg(F.count("*").alias("n")), "sizes")
+    wanted = stored(targets(slim.select("source", (F.col("size") * F.col("n")).alias("size")), cap), "targets")
+    cells = slim.groupBy("source", "key", "size").agg(F.sum("n").alias("m"))
+    balanced = rates(cells.where("size > 0").select("source", "size", "m"), wanted, cap)
     kept = stored(balanced.groupBy("source").applyInPandas(_rounded, balanced.select("source", "size", "m", F.lit(0).cast("long").alias("k")).schema), "copies")
-    # sub-cells: as many of a cell's additional copies as their share, by running sums
-    cell = ["source", "size"]
-    sub = F.pmod(F.col("h"), F.ceil(F.col("m") / SUBCELL)).alias("sub")
-    parts = slim.withColumnRenamed("source", "s").withColumnRenamed("size", "z").join(kept, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select("source", "size", "m", "k", sub)
-    parts = parts.groupBy(*cell, "m", "k", "sub").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*cell).orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
-    extra = F.expr("k - m * (k div m)")
-    upto = F.sum("n").over(w)
-    parts = parts.select(*cell, "m", "k", "sub", (F.expr("k div m")).alias("each"), (F.floor(extra * upto / F.col("m")) - F.floor(extra * (upto - F.col("n")) / F.col("m"))).alias("more"))
-    parts = stored(parts.select(F.col("source").alias("__s"), F.col("size").alias("__z"), "m", "sub", "each", "more"), "subcells")
-    marked = docs.withColumn("__h", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)))
-    cells_ = parts.select("__s", "__z", F.col("m").alias("__m")).distinct()
-    marked = marked.join(cells_, F.col(source).eqNullSafe(F.col("__s")) & (F.col(size) == F.col("__z")), "left").drop("__s", "__z")
-    marked = marked.withColumn("__sub", F.coalesce(F.pmod(F.col("__h"), F.ceil(F.col("__m") / SUBCELL)), F.lit(0))).drop("__m")
-    place = F.row_number().over(Window.partitionBy(source, size, "__sub").orderBy("__h", F.col(doc_id)))
-    marked = marked.withColumn("__place", F.when(F.col(size) > 0, place))
-    found = marked.join(parts.withColumnRenamed("sub", "__q"), F.col(source).eqNullSafe(F.col("__s")) & (F.col(size) == F.col("__z")) & (F.col("__sub") == F.col("__q")), "left")
-    n = F.coalesce(F.col("each") + F.when(F.col("__place") <= F.col("more"), 1).otherwise(0), F.lit(0)).cast("int")
-    found = found.select(*docs.columns, n.alias("__n"))
-    found = found.join(wanted.select(F.col("source").alias("__s"), "source_size", "target").withColumnsRenamed({"source_size": "__ss", "target": "__t"}), F.col(source).eqNullSafe(F.col("__s")), "left")
-    return found.select(*docs.columns, F.struct(F.col("__n").alias("n"), F.col("__ss").alias("source_size"), F.col("__t").alias("target")).alias(copies))
+    kept = kept.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("key"), "size", "m", "k")
+    # a cell's additional copies go to its sub-cells by their share, through running sums
+    w = Window.partitionBy("key", "size").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
+    extra, upto = F.expr("k - m * (k div m)"), F.sum("n").over(w)
+    parts = slim.join(kept, ["key", "size"], "left").select("source", "key", "size", "sub", F.expr("k div m").alias("each"), (F.floor(extra * upto / F.col("m")) - F.floor(extra * (upto - F.col("n")) / F.col("m"))).alias("more"))
+    parts = parts.join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    parts = stored(parts.select(F.col("key").alias(key), F.col("sub").alias(sub), F.col("size").alias(z), F.struct("each", "more", "source_size", "target").alias(copies)), "subcells")
+    place = F.row_number().over(Window.partitionBy(key, z, sub).orderBy(h, doc_id))
+    n = F.coalesce(F.col(f"{copies}.each") + F.when(place <= F.col(f"{copies}.more"), 1).otherwise(0), F.lit(0)).cast("int")
+    return keyed.join(parts, [key, z, sub]).select(*docs.columns, F.struct(n.alias("n"), F.col(f"{copies}.source_size"), F.col(f"{copies}.target")).alias(copies))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: int = CAP) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op8_prefix_bpe
 from .chat import op9_chat_format
 from .katz import op1_katz
@@ -15,3 +17,6 @@ from .toxicity import op6_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_katz, op2_substring_dedup, op3_topk, op4_mixing, op5_token_shards, op6_toxicity, op7_simhash, op8_prefix_bpe, op9_chat_format, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_topk": OP3_SQL}
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

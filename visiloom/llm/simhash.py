@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import clear_of, stored
 from .graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -101,5 +102,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return by_doc.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id, null ones last; the columns stay as they are."""
+    fp, row = clear_of(docs.columns, "fp_"), clear_of(docs.columns, "row_")
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(x.as_py() or "", width) for x in batch.column(place)), dtype=np.uint64, count=batch.num_rows)
+            yield batch.append_column(fp, pa.array(fps.view(np.int64)))
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    marked = stored(marked.withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    slim = marked.select(F.col(doc_id).alias("i"), F.col(fp).alias("fp"), F.col(row).alias("r"))
+    first = F.min(F.struct(F.col("i").isNull(), "i", "r")).alias("first")
+    by_fp = stored(slim.groupBy("fp").agg(first), "distinct")
+    roots = components(edges(by_fp.select("fp")))
+    joined = by_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.r").alias(row))
+    return marked.join(kept, row, "left_semi").select(*docs.columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

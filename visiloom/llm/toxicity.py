@@ -4,8 +4,9 @@ A document is a bag of sentences. Each sentence has a logistic score over the wo
 their noisy-or, 1 - prod(1 - p). Only documents have labels: the weights are fitted through the noisy-or, so the sentences
 that carry a label are found, not given, and `sentences` locates them.
 
-The fit uses at most `SAMPLE` labelled documents (those of lowest id hash, a parameter), and of the words in them the
-`FEATURES` most associated with the label; scoring covers every row and whole texts. Labels, language, source and id never
+Words count by themselves and by their beginnings (`PREFIXES`, in bytes), so inflected forms of a stem count together.
+The fit uses at most `SAMPLE` labelled documents (those of lowest id hash, a parameter), and of their words and beginnings
+the `FEATURES` most associated with the label; scoring covers every row and whole texts. Labels, language, source and id never
 enter a score.
 
 Rows: a null or empty text has no sentence and gets the bag's floor, the score of one sentence without words. Rows that
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, buffer_of, pack, span_hashes, unpack
-from .common import clear_of, held_out, slices
+from .arrays import LOWER, buffer_of, mix, pack, span_hashes, unpack
+from .common import clear_of, held_out, slices, stored
 
 BUCKETS = 1 << 20
-SAMPLE, FEATURES, ROUNDS = 8000, 2000, 150
-PIECE = 2 << 20
+SAMPLE, FEATURES, ROUNDS = 8000, 3000, 200
+PREFIXES = (5, 6, 7, 8, 9, 10, 12)
+PIECE = 1 << 20
 IN_WORD = np.zeros(256, dtype=bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = IN_WORD[39] = True
 BREAK = np.zeros(256, dtype=bool)
@@ -48,7 +50,7 @@ class Model:
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: bucket and sentence; of each sentence with words: text, first and last byte; and the bytes."""
+    """Of each word and beginning of a word: bucket and sentence; of each sentence with words: text, first and last byte; and the bytes."""
     raw, offsets = buffer_of(texts)
     buf = LOWER[raw]
     inside = IN_WORD[buf]
@@ -64,61 +66,73 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     sentence = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1 if len(first) else first
-    bucket = (span_hashes(buf, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    return bucket, sentence, doc[first], starts[first], ends[last], raw
+    whole, *begins = span_hashes(buf, starts, ends, *PREFIXES)
+    salted = [whole, *(mix(h + np.uint64(n)) for n, h in zip(PREFIXES, begins))]
+    longer = [np.ones(len(starts), dtype=bool), *(ends - starts > n for n in PREFIXES)]
+    bucket = np.concatenate([h[m] for h, m in zip(salted, longer)]) & np.uint64(BUCKETS - 1)
+    return bucket.astype(np.int64), np.concatenate([sentence[m] for m in longer]), doc[first], starts[first], ends[last], raw
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str, text: str) -> list:
-    """At most `most` labelled documents outside the held-out fifth: label, and the words' buckets and sentences."""
+def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str, text: str) -> DataFrame:
+    """y, t of at most `most` labelled documents outside the held-out fifth."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y"))
     known = known.where(~held_out("i", 5)).groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most)
-    sample = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(known), "i").select("i", "y", "t")
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(known), "i").select("y", "t")
+    return stored(rows.limit(4 * most), "labelled")  # rows that repeat an id are bounded too
+
+
+def _chosen(sample: DataFrame, n: int, positive: int) -> np.ndarray:
+    """The buckets most associated with the label, over documents that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has, marked = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for piece in slices(batch, 2, PIECE):
-                bucket, sentence, of, *_ = words_of(piece.column(2))
-                text_of = of[sentence] if len(of) else sentence
-                cuts = np.searchsorted(text_of, np.arange(piece.num_rows + 1))
-                blobs = []
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    key = np.unique((sentence[a:b] - (sentence[a] if b > a else 0)) * BUCKETS + bucket[a:b])
-                    blobs.append(pack(key))
-                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(blobs, pa.binary())], names=["y", "words"])
+            for piece in slices(batch, 1, PIECE):
+                y = np.asarray(piece.column(0)) > 0
+                bucket, sentence, of, *_ = words_of(piece.column(1))
+                pair = np.unique(of[sentence] * BUCKETS + bucket)
+                has += np.bincount(pair % BUCKETS, minlength=BUCKETS)
+                marked += np.bincount(pair[y[pair // BUCKETS]] % BUCKETS, minlength=BUCKETS)
+        some = np.flatnonzero(has)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(has[some]), pa.array(marked[some])], names=["b", "has", "marked"])
 
-    # rows that repeat an id are bounded too
-    return sample.mapInArrow(run, "y int, words binary").limit(4 * most).collect()
+    sums = sample.mapInArrow(run, "b long, has long, marked long").groupBy("b").agg(F.sum("has").alias("has"), F.sum("marked").alias("marked")).where("has >= 3")
+    rate = positive / n
+    chi = F.pow(F.col("marked") - F.col("has") * rate, 2) / (F.col("has") * rate * (1 - rate))
+    return np.sort(np.array([r.b for r in sums.orderBy(chi.desc(), "b").limit(FEATURES).collect()], dtype=np.int64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fits the sentence weights to document labels by gradient steps (Adam) through the noisy-or."""
-    rows = _labelled(docs, labels, label, most, doc_id, text)
+    sample = _sample(docs, labels, label, most, doc_id, text)
+    count, positive = sample.agg(F.count("*"), F.count_if(F.col("y") > 0)).first()
+    rate = (positive + 0.5) / (count + 1)
+    if not positive or positive == count:
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
+    chosen = _chosen(sample, count, positive)
+    n = len(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(BUCKETS, -1)
+        place[chosen] = np.arange(n)
+        for batch in batches:
+            for piece in slices(batch, 1, PIECE):
+                bucket, sentence, of, *_ = words_of(piece.column(1))
+                f = place[bucket]
+                pair = np.unique(sentence[f >= 0] * n + f[f >= 0])
+                cuts = np.searchsorted(of, np.arange(piece.num_rows + 1))  # sentences of each text
+                at = np.searchsorted(pair, cuts * n)
+                blobs = [pack(pair[a:b] - c * n) for a, b, c in zip(at[:-1], at[1:], cuts[:-1])]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(cuts)), pa.array(blobs, pa.binary())], names=["y", "sentences", "words"])
+
+    # at most 4 * most rows, of the chosen words only; the order decides how sums round
+    rows = sorted(sample.mapInArrow(run, "y int, sentences long, words binary").collect(), key=lambda r: (r.y, bytes(r.words)))
     y = np.array([r.y > 0 for r in rows], dtype=np.float64)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    nothing = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
-    if not len(y) or y.min() == y.max():
-        return nothing
+    held = np.array([r.sentences for r in rows], dtype=np.int64)
+    of_sentence = np.repeat(np.arange(len(rows)), held)
     keys = [unpack(r.words).astype(np.int64) for r in rows]
-    sizes = np.array([len(k) for k in keys])
-    doc = np.repeat(np.arange(len(keys)), sizes)
-    flat = np.concatenate(keys)
-    word, inner = flat % BUCKETS, flat // BUCKETS
-    sentence = np.unique(doc * (inner.max() + 1) + inner, return_inverse=True)[1]
-    of_sentence = np.zeros(sentence.max() + 1, dtype=np.int64)
-    of_sentence[sentence] = doc
-    # association of a word with the label, over documents that hold it
-    pair = np.unique(doc * BUCKETS + word)
-    d, w = pair // BUCKETS, pair % BUCKETS
-    has, with_label = np.bincount(w, minlength=BUCKETS), np.bincount(w, weights=y[d], minlength=BUCKETS)
-    expected = has * y.mean()
-    chi = np.where(has >= 3, (with_label - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9), 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    chosen = chosen[chi[chosen] > 0]
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[word] >= 0
-    f, s = place[word[used]], sentence[used]
-    n, m = len(chosen), len(of_sentence)
+    flat = np.concatenate(keys) + np.repeat((np.cumsum(held) - held) * n, [len(k) for k in keys])
+    f, s, m = flat % n, flat // n, len(of_sentence)
     theta = np.zeros(n + 1)
     theta[n] = -6.0
     first, second = np.zeros(n + 1), np.zeros(n + 1)
@@ -146,8 +160,8 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
         for batch in batches:
             for piece in slices(batch, len(keep), PIECE):
                 bucket, sentence, of, a, b, raw = words_of(piece.column(len(keep)))
-                # a word counts once a sentence
-                pair = np.unique(sentence * BUCKETS + bucket)
+                some = weights[bucket] != 0
+                pair = np.unique(sentence[some] * BUCKETS + bucket[some])  # a word counts once a sentence
                 z = np.clip(np.bincount(pair // BUCKETS, weights=weights[pair % BUCKETS], minlength=len(of)) + model.bias, -30, 30)
                 total = np.bincount(of, weights=np.log1p(np.exp(z)), minlength=piece.num_rows)
                 empty = np.bincount(of, minlength=piece.num_rows) == 0
@@ -172,7 +186,8 @@ def sentences(docs: DataFrame, model: Model, least: float = 0.5, doc_id: str = "
         for batch in batches:
             for piece in slices(batch, 1, PIECE):
                 bucket, sentence, of, a, b, raw = words_of(piece.column(1))
-                pair = np.unique(sentence * BUCKETS + bucket)
+                some = weights[bucket] != 0
+                pair = np.unique(sentence[some] * BUCKETS + bucket[some])
                 p = 1 / (1 + np.exp(-np.bincount(pair // BUCKETS, weights=weights[pair % BUCKETS], minlength=len(of)) - model.bias))
                 bad = np.flatnonzero(p >= least)
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(of[bad])), pa.array([raw[a[i] : b[i]].tobytes().decode(errors="replace") for i in bad], pa.string()), pa.array(p[bad])], names=["doc_id", "sentence", "probability"])
