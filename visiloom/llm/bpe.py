@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 CHUNK = re.compile(rf" ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+")
 SAFE = re.compile(rf"(?<={OTHER}) (?={OTHER})")
+#: Marks that are pieces of their own after a word.
+MARKS = ".,!?;:"
 LONG = 1 << 20
-CACHE = 400_000
+CACHE, CHUNKS = 400_000, 1_000_000
 
 
 def parts(text: str, most: int = LONG) -> Iterator[str]:
@@ -45,10 +47,27 @@ def parts(text: str, most: int = LONG) -> Iterator[str]:
 
 class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.ranks, self.longest = ranks, max(map(len, ranks), default=1)
+        self.ranks = ranks
+        #: The longest token by its last three bytes; those of one or two bytes aren't in it.
+        self.longest: dict[bytes, int] = {}
+        for raw in ranks:
+            if len(raw) > 2:
+                self.longest[raw[-3:]] = max(self.longest.get(raw[-3:], 0), len(raw))
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern)
-        self.apart: dict[tuple[int, int], bool] = {}
+        #: The last merge that makes each token of several bytes, and the token that each such pair makes.
+        self.split_of: dict[int, tuple[int, int]] = {}
+        self.joined: dict[tuple[int, int], int] = {}
+        for raw, token in sorted(ranks.items(), key=lambda x: x[1]):
+            for i in range(1, len(raw)):
+                left, right = ranks.get(raw[:i], token), ranks.get(raw[i:], token)
+                if left < token and right < token and self.stays_apart(left, right):
+                    self.split_of[token] = left, right
+                    self.joined[left, right] = token
+                    break
+        #: Of byte prefixes seen lately, the last tokens up to there; and of pairs, whether they stay apart.
+        self.prefixes: dict[bytes, list[int]] = {}
+        self.apart: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.text_of = {str(i).encode(): b for b, i in ranks.items()}
 
@@ -57,43 +76,61 @@ class PrefixBpe:
         with open(public_tokenizers.path(name) if "/" not in name else name, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Encoding by merges, lowest rank first; only used on pairs of tokens."""
-        units = [piece[i : i + 1] for i in range(len(piece))]
-        while len(units) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(units, units[1:])))
-            if rank == 1 << 40:
-                break
-            units[at : at + 2] = [units[at] + units[at + 1]]
-        return [self.ranks[u] for u in units]
-
     def stays_apart(self, a: int, b: int) -> bool:
-        found = self.apart.get((a, b))
-        if found is None:
-            if len(self.apart) > 4 * CACHE:
-                self.apart.clear()
-            found = self.apart[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return found
+        """Whether encoding the bytes of both gives a, b: undoes the latest merge on either side of the cut, again and again, and looks for an earlier merge across it."""
+        joined, split, limit = self.joined.get, self.split_of.get, 1 << 60
+        while True:
+            across = joined((a, b))
+            if across is not None and across < limit:
+                return False
+            left, right = split(a), split(b)
+            if left and (not right or a > b):
+                limit, a = a, left[1]
+            elif right:
+                limit, b = b + 1, right[0]
+            else:
+                return True
 
     def extend(self, piece: bytes, last: list[int], start: int = 0) -> list[int]:
         """last[i]: the last token of piece[: i + 1]; appends those from `start` on, which must be len(last)."""
-        get, apart = self.ranks.get, self.stays_apart
+        get, reach, stored, known = self.ranks.get, self.longest.get, self.prefixes, self.apart
+        if len(stored) > CACHE:
+            stored.clear()
+        if len(known) > CACHE:
+            known.clear()
+        if not start:  # what is kept has each of its prefixes too, so the longest one is found by halving
+            low, high = 0, min(len(piece), 63)
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if piece[:middle] in stored else (low, middle - 1)
+            if low:
+                start = low
+                last += stored[piece[:low]][:low]
         for end in range(start + 1, len(piece) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = get(piece[begin:end])
-                if token is not None and (begin == 0 and self.whole(piece[:end], token) or begin and apart(last[begin - 1], token)):
-                    last.append(token)
-                    break
+            prefix = piece[:end]
+            for begin in range(max(0, end - reach(prefix[-3:], 2)), end):
+                token = get(prefix[begin:])
+                if token is not None:
+                    if not begin:
+                        if self.whole(prefix, token):
+                            break
+                        continue
+                    pair = last[begin - 1] << 20 | token
+                    apart = known.get(pair)
+                    if apart is None:
+                        apart = known[pair] = self.stays_apart(last[begin - 1], token)
+                    if apart:
+                        break
             else:
                 raise ValueError(f"no token ends at byte {end} of {piece[:50]!r}")
+            last.append(token)
+            if end < 64:
+                stored[prefix] = last
         return last
 
     def whole(self, piece: bytes, token: int) -> bool:
-        """Whether these bytes, which are a token, are encoded as it when they stand alone: their last merge has to be reached."""
-        found = self.apart.get((token, -1))
-        if found is None:
-            found = self.apart[token, -1] = len(piece) == 1 or self.merged(piece) == [token]
-        return found
+        """Whether these bytes, which are a token, are encoded as it by merges."""
+        return len(piece) == 1 or token in self.split_of
 
     def read_back(self, piece: bytes, last: list[int]) -> list[int]:
         if (token := self.ranks.get(piece)) is not None:
@@ -106,23 +143,31 @@ class PrefixBpe:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         ids: list[int] = []
-        for piece in self.split.findall(chunk):
+        for piece in [chunk] if chunk.lstrip(" ").isalpha() and chunk[:2] != "  " else self.split.findall(chunk):
             raw = piece.encode()
             token = self.ranks.get(raw)
             ids += [token] if token is not None else self.read_back(raw, self.extend(raw, []))
         return ids
 
+    def learn(self, chunk: str) -> bytes:
+        if chunk[-1] in MARKS and chunk[:-1].lstrip(" ").isalpha():  # a word, then one mark: two pieces
+            out = (self.chunks.get(chunk[:-1]) or self.learn(chunk[:-1])) + b" %d" % self.ranks[chunk[-1].encode()]
+        else:
+            out = b"".join([b" %d" % i for i in self.encode_chunk(chunk)])
+        self.chunks[chunk] = out
+        return out
+
     def decimal(self, text: str) -> bytes:
         """Decimal ids, a space before each."""
         known, found = self.chunks, CHUNK.findall(text)
         try:
             return b"".join(map(known.__getitem__, found))
         except KeyError:
-            if len(known) > CACHE:
+            if len(known) > CHUNKS:
                 known.clear()
             for c in found:
                 if c not in known:
-                    known[c] = b"".join(b" %d" % i for i in self.encode_chunk(c))
+                    self.learn(c)
             return b"".join(map(known.__getitem__, found))
 
     def encode(self, text: str) -> list[int]:
