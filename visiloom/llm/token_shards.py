@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import CACHE, CHUNK, parts
-from .common import partitions, scratch
+from .bpe import CHUNK, CHUNKS, MARKS, parts
+from .common import partitions, scratch, slices
 
 MAGIC = b"VLTOK1\0\0"
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 1 << 14, 1 << 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES, PIECE = 4 << 20, 1 << 20
 SHARDS = "part int, shard int, first long, doc_ids binary, n_docs long, n_tokens long, data binary"
 
 
@@ -45,23 +45,44 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[str, bytes] = {}
         self.end = np.array([end_id], dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self.added and self.added.search(text):  # special tokens are found in whole texts
-            return np.array(self.of.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + self.end
-        out = []
-        for part in parts(text):
-            found = CHUNK.findall(part)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, found)))
-            except KeyError:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                new = list({c for c in found if c not in self.known})
-                for c, e in zip(new, self.of.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
-                out.append(b"".join(map(self.known.__getitem__, found)))
-        return b"".join(out) + self.end
+        (self.newline,) = self.of.encode("\n", add_special_tokens=False).ids
+        self.mark = {m: np.array(self.of.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in MARKS}
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes chunks that aren't known yet, in one call: a newline between two of them is a piece, and so an id, of its own."""
+        known, marked, plain = self.known, [], {}
+        for c in chunks:
+            if c.isspace():
+                known[c] = np.array(self.of.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            elif c[-1] in MARKS and c[:-1].lstrip(" ").isalpha():  # a word, then one mark: two pieces
+                marked.append(c)
+                if c[:-1] not in known:
+                    plain[c[:-1]] = None
+            else:
+                plain[c] = None
+        if plain:
+            self._encode_plain(list(plain))
+        for c in marked:
+            known[c] = known[c[:-1]] + self.mark[c[-1]]
+
+    def _encode_plain(self, plain: list[str]) -> None:
+        ids = np.array(self.of.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == self.newline)
+        raw = ids.tobytes()
+        for c, a, b in zip(plain, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+            self.known[c] = raw[a:b]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian 32-bit integers, with the end id."""
+        special = [bool(self.added and self.added.search(t)) for t in texts]  # these are found in whole texts
+        found = [[] if s else [CHUNK.findall(p) for p in parts(t)] for t, s in zip(texts, special)]
+        if len(self.known) > CHUNKS:
+            self.known.clear()
+        new = {c for lists in found for chunks in lists for c in chunks if c not in self.known}
+        if new:
+            self.learn(list(new))
+        get = self.known.__getitem__
+        return [(np.array(self.of.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if s else b"".join([b"".join(map(get, chunks)) for chunks in lists])) + self.end for t, s, lists in zip(texts, special, found)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -106,7 +127,7 @@ def fitted_dictionary(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, end_id)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([e.encode(x or "")[:SAMPLE_BYTES] for x in batch.column(0).to_pylist()], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in e.encode_all([x or "" for x in batch.column(0).to_pylist()])], pa.binary())], names=["ids"])
 
     ids = docs.select(F.col(doc_id).alias("i")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
     sample = docs.join(F.broadcast(ids.distinct()), docs[doc_id].eqNullSafe(ids["i"])).select(F.substring(text, 1, SAMPLE_BYTES).alias("t"))
@@ -127,7 +148,10 @@ def write_shards(docs: DataFrame, path: str, dictionary: bytes, tokenizer: str =
 
         part, shard, first, total, held = TaskContext.get().partitionId(), 0, 0, 0, 0
         e = encoder(tokenizer, end_id)
-        squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=3)
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=3)
+        squeeze = zstandard.ZstdCompressor(level=3, dict_data=shared)
         ids: list = []
         frames: list[bytes] = []
         counts: list[int] = []
@@ -142,17 +166,17 @@ def write_shards(docs: DataFrame, path: str, dictionary: bytes, tokenizer: str =
 
         for batch in batches:
             kind = batch.column(0).type
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = e.encode(x.as_py() or "")
-                ids.append(i)
-                counts.append(len(raw) // 4)
-                frames.append(squeeze.compress(raw))
-                total += counts[-1]
-                held += len(frames[-1])
-                if held >= SHARD_BYTES:
-                    yield row()
-                    shard, first, held = shard + 1, total, 0
-                    ids, frames, counts = [], [], []
+            for piece in slices(batch, 1, PIECE):
+                for i, raw in zip(piece.column(0).to_pylist(), e.encode_all([x or "" for x in piece.column(1).to_pylist()])):
+                    ids.append(i)
+                    counts.append(len(raw) // 4)
+                    frames.append(squeeze.compress(raw))
+                    total += counts[-1]
+                    held += len(frames[-1])
+                    if held >= SHARD_BYTES:
+                        yield row()
+                        shard, first, held = shard + 1, total, 0
+                        ids, frames, counts = [], [], []
         if ids:
             yield row()
 
