@@ -28,6 +28,14 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Decimal digits of other scripts that answers use, and what they stand for.
+OTHER_DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
+
+
+def _number(c: Column) -> Column:
+    return F.translate(c, OTHER_DIGITS, "0123456789" * 3).try_cast("int")
+
+
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -35,11 +43,11 @@ def _strip(c: Column) -> Column:
 def official_citations(text: str | Column) -> Column:
     """The first integer of every bracket that has digits and otherwise only marks."""
     found = F.regexp_extract_all(_col(text), F.lit(OFFICIAL), F.lit(0))
-    return F.transform(found, lambda m: F.regexp_extract(m, r"(?U)\d+", 0).cast("int"))
+    return F.transform(found, lambda m: _number(F.regexp_extract(m, r"(?U)\d+", 0)))
 
 
 def separate_citations(text: str | Column) -> Column:
-    return F.transform(F.regexp_extract_all(_col(text), F.lit(SEPARATE), F.lit(1)), lambda m: m.cast("int"))
+    return F.transform(F.regexp_extract_all(_col(text), F.lit(SEPARATE), F.lit(1)), _number)
 
 
 def cites(text: str | Column, k: str | Column) -> Column:
@@ -51,7 +59,7 @@ def expanded_numbers(text: str | Column) -> Column:
     """All numbers of [1], [1, 2] and [1-3] forms; a range gives its two ends."""
     bodies = F.regexp_extract_all(_col(text), F.lit(NUMERIC), F.lit(1))
     parts = F.flatten(F.transform(bodies, lambda b: F.split(b, r"(?U)\s*[,\-]\s*")))
-    return F.transform(parts, lambda p: p.cast("int"))
+    return F.transform(parts, _number)
 
 
 def sentences(text: str | Column) -> Column:

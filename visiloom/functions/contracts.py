@@ -148,7 +148,7 @@ def _column(of, schema: str, answer: str | Column, source_count: str | Column) -
 
     @F.pandas_udf(schema)
     def run(texts: pd.Series, counts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(t, int(n)) if t is not None and n == n else {} for t, n in zip(texts, counts)], columns=names, dtype=object)
+        return pd.DataFrame([of(t, int(n)) if t is not None and n == n else dict.fromkeys(names) for t, n in zip(texts, counts)], columns=names, dtype=object)
 
     return run(answer, source_count)
 

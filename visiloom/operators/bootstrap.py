@@ -32,7 +32,7 @@ def interval(values: list[float], resamples: int, seed: int, level: float = 0.95
         return values[0], values[0]
     rng, n = random.Random(seed), len(values)
     means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-    tail = (1 - level) / 2
+    tail = round((1 - level) / 2, 12)
     return linear_percentile(means, tail), linear_percentile(means, 1 - tail)
 
 
