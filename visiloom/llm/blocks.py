@@ -1,8 +1,9 @@
-"""Documents as blocks of a few MB, one row each, stored once in a table bucketed by block.
+"""Documents as blocks of a few MB, one row each, stored once in a table bucketed by the task that wrote them.
 
 Operators that ask other tasks about what is in a block (how often does this n-gram, this window occur?) send packed
 questions by bucket and get packed answers by block. The block table is bucketed, so it never moves again: only questions
-and answers are shuffled. A block keeps its number once it is written; retried tasks write it anew as a whole.
+and answers are shuffled. A block keeps its number, whose high half is its task's, once it is written; retried tasks write
+theirs anew as a whole.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import partitions, scratch, slices
 
 TARGET = 4 << 20
-SCHEMA = "block long, size long, payload binary"
+SCHEMA = "part int, block long, size long, tokens long, payload binary"
 
 
 def packed(rows: pa.Table | pa.RecordBatch) -> bytes:
@@ -39,12 +42,12 @@ def bucketed(df: DataFrame, label: str, column: str, n: int, sorted_: bool = Fal
     return spark.table(name)
 
 
-def as_is(rows: pa.Table) -> bytes:
-    return packed(rows)
+def as_is(rows: pa.Table) -> tuple[bytes, int]:
+    return packed(rows), 0
 
 
-def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callable[[pa.Table], bytes] = as_is) -> DataFrame:
-    """block, size (rows), payload: what `make` gives for the block's rows, all their columns as they are."""
+def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callable[[pa.Table], tuple[bytes, int]] = as_is) -> DataFrame:
+    """part, block, size (rows), tokens and payload: what `make` gives for the block's rows, all their columns as they are."""
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +57,8 @@ def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callabl
 
         def row() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([rows.num_rows], pa.int64()), pa.array([make(rows)], pa.binary())], names=["block", "size", "payload"])
+            payload, tokens = make(rows)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((number >> 32, pa.int32()), (number, pa.int64()), (rows.num_rows, pa.int64()), (tokens, pa.int64()), (payload, pa.binary()))], names=["part", "block", "size", "tokens", "payload"])
 
         for batch in batches:
             for piece in slices(batch, place, max(target // 8, 1)):
@@ -66,13 +70,20 @@ def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callabl
         if held:
             yield row()
 
-    return bucketed(docs.mapInArrow(run, SCHEMA), "blocks", "block", partitions(docs.sparkSession))
+    return bucketed(docs.mapInArrow(run, SCHEMA), "blocks", "part", partitions(docs.sparkSession))
 
 
-def answered(blocks: DataFrame, answers: DataFrame, run: Callable[[int, pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
-    """run(block, payload row, answer rows) for every block; the answers have a column block."""
+def answered(blocks: DataFrame, answers: DataFrame, run: Callable[[int, bytes, pa.Table], pa.Table], schema) -> DataFrame:
+    """run(block, payload, answer rows) for every block, one after another; the answers have a column block."""
 
     def both(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(key[0].as_py(), left, right)
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
+        right = right.sort_by("block")
+        number = np.asarray(right["block"])
+        out = []
+        for block, payload in zip(left["block"].to_pylist(), left["payload"]):
+            a, b = np.searchsorted(number, [block, block + 1])
+            out.append(run(block, payload.as_py(), right.slice(a, b - a)))
+        return pa.concat_tables(out)
+
+    asked = answers.withColumn("part", F.shiftright("block", 32).cast("int"))
+    return blocks.select("part", "block", "payload").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(both, schema)

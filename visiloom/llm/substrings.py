@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrays import U, buffer_of, mix, run_hashes, span_hashes, word_spans
 from .blocks import answered, bucketed, unpacked, write_blocks
@@ -100,7 +101,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, text: str = "text", width: int = WINDOW):
         self.spark, self.text, self.width = spark, text, width
-        self.buckets = partitions(spark)
+        self.buckets = max(1, partitions(spark) // 4)
         self.runs: list[DataFrame] = []
 
     def _write(self, rows: DataFrame) -> DataFrame:
@@ -156,20 +157,21 @@ def repeated(blocks: DataFrame, text: str, width: int, batches: int) -> DataFram
     # a hash that is mixed in any batch is looked at by window
     candidates = stored(candidates.groupBy("block", "fp").agg(F.max("mixed").alias("mixed")), "candidates")
 
-    def ask(block: int, payload: pa.Table, hits: pa.Table) -> pa.Table:
+    def ask(block: int, payload: bytes, hits: pa.Table) -> pa.Table:
         one = two = np.zeros(0, U)
         n = np.zeros(0, np.int64)
-        if payload.num_rows and hits.num_rows:
-            w = Windows(unpacked(payload["payload"][0].as_py()).column(text).combine_chunks(), width)
+        if hits.num_rows:
+            w = Windows(unpacked(payload).column(text).combine_chunks(), width)
             windows = w.windows_of(np.asarray(hits["fp"]).view(U))
             a, b = w.digests(windows)
             _, at, n = np.unique(mix(a) ^ b, return_index=True, return_counts=True)
             one, two = a[at], b[at]
         return pa.table([pa.array(np.full(len(one), block)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n)], names=["block", "a", "b", "n"])
 
-    asked = stored(answered(blocks, candidates.where("mixed").select("block", "fp"), ask, "block long, a long, b long, n long"), "windows")
-    twice = asked.groupBy("a", "b").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
-    windows = asked.join(twice, ["a", "b"]).select("block", F.lit(2).alias("kind"), "a", "b")
+    asked = answered(blocks, candidates.where("mixed").select("block", "fp"), ask, "block long, a long, b long, n long")
+    # a window has one row for each block that holds it, however often it does
+    total = F.sum("n").over(Window.partitionBy("a", "b"))
+    windows = asked.withColumn("m", total).where("m > 1").select("block", F.lit(2).alias("kind"), "a", "b")
     hashes = candidates.select("block", F.col("mixed").cast("int").alias("kind"), F.col("fp").alias("a"), F.lit(0).cast("long").alias("b"))
     return hashes.unionByName(windows)
 
@@ -178,8 +180,8 @@ def judged(docs: DataFrame, text: str, make: Callable[[pa.Table, Windows, np.nda
     """make(rows of a block, their windows, which words go) for each block."""
     blocks = write_blocks(docs, text)
 
-    def finish(block: int, payload: pa.Table, flags: pa.Table) -> pa.Table:
-        rows = unpacked(payload["payload"][0].as_py())
+    def finish(block: int, payload: bytes, flags: pa.Table) -> pa.Table:
+        rows = unpacked(payload)
         w = Windows(rows.column(text).combine_chunks(), width)
         kind, a, b = (np.asarray(flags[c]) for c in ("kind", "a", "b"))
         a, b = a.view(U), b.view(U)
