@@ -36,53 +36,102 @@ SHARD_BYTES, PIECE = 4 << 20, 1 << 20
 SHARDS = "part int, shard int, first long, doc_ids binary, n_docs long, n_tokens long, data binary"
 
 
+class _Places(dict):
+    """Chunk to its number; a chunk that is asked for the first time gets the next one and waits in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Encoder:
-    """The tokenizers library on distinct chunks; a chunk's ids don't depend on its neighbours (bpe.CHUNK)."""
+    """The tokenizers library on distinct chunks; a chunk's ids don't depend on its neighbours (bpe.CHUNK).
+
+    Ids of all chunks so far lie in one array; a text is gathered from it."""
 
     def __init__(self, name: str, end_id: int):
         self.of = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
         added = [t.content for t in self.of.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, bytes] = {}
-        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.end = end_id
         (self.newline,) = self.of.encode("\n", add_special_tokens=False).ids
-        self.mark = {m: np.array(self.of.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in MARKS}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that aren't known yet, in one call: a newline between two of them is a piece, and so an id, of its own."""
-        known, marked, plain = self.known, [], {}
-        for c in chunks:
+        self.mark = {m: self.of.encode(m, add_special_tokens=False).ids[0] for m in MARKS}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places, self.flat, self.used = _Places(), np.zeros(1 << 16, dtype="<u4"), 0
+        self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def _keep(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """The chunks of these numbers have these ids, one after another."""
+        while len(self.places) > len(self.start):
+            self.start, self.length = np.append(self.start, self.start), np.append(self.length, self.length)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, self.flat)
+        self.start[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these chunks, and where each begins."""
+        lengths = self.length[places]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        return self.flat[np.repeat(self.start[places] - upto[:-1], lengths) + np.arange(upto[-1])], upto
+
+    def _learn(self) -> None:
+        """Encodes the waiting chunks in one call: a newline between two of them is a piece, and so an id, of its own."""
+        places = self.places
+        new, places.new = places.new, []
+        plain, marked, spaces = [], [], []
+        for n, c in enumerate(new, len(places) - len(new)):
             if c.isspace():
-                known[c] = np.array(self.of.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                spaces.append((n, self.of.encode(c, add_special_tokens=False).ids))
             elif c[-1] in MARKS and c[:-1].lstrip(" ").isalpha():  # a word, then one mark: two pieces
-                marked.append(c)
-                if c[:-1] not in known:
-                    plain[c[:-1]] = None
+                marked.append((n, c))
             else:
-                plain[c] = None
+                plain.append((n, c))
+        bases = np.array([places[c[:-1]] for _, c in marked], dtype=np.int64)
+        plain += enumerate(places.new, len(places) - len(places.new))
+        places.new = []
         if plain:
-            self._encode_plain(list(plain))
-        for c in marked:
-            known[c] = known[c[:-1]] + self.mark[c[-1]]
-
-    def _encode_plain(self, plain: list[str]) -> None:
-        ids = np.array(self.of.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == self.newline)
-        raw = ids.tobytes()
-        for c, a, b in zip(plain, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-            self.known[c] = raw[a:b]
+            ids = np.array(self.of.encode_batch_fast(["\n".join([c for _, c in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            if len(cuts) != len(plain):
+                raise ValueError("chunks and ids don't match")
+            self._keep(np.array([n for n, _ in plain]), np.diff(cuts, prepend=-1) - 1, ids[ids != self.newline])
+        for n, own in spaces:
+            self._keep(np.array([n]), np.array([len(own)]), np.array(own, dtype="<u4"))
+        if marked:
+            ids, upto = self._gathered(bases)
+            self._keep(np.array([n for n, _ in marked]), np.diff(upto) + 1, np.insert(ids, upto[1:], [self.mark[c[-1]] for _, c in marked]))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers, with the end id."""
-        special = [bool(self.added and self.added.search(t)) for t in texts]  # these are found in whole texts
-        found = [[] if s else [CHUNK.findall(p) for p in parts(t)] for t, s in zip(texts, special)]
-        if len(self.known) > CHUNKS:
-            self.known.clear()
-        new = {c for lists in found for chunks in lists for c in chunks if c not in self.known}
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [(np.array(self.of.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if s else b"".join([b"".join(map(get, chunks)) for chunks in lists])) + self.end for t, s, lists in zip(texts, special, found)]
+        if len(self.places) > CHUNKS:
+            self.forget()
+        chunks: list[str] = []
+        counts, whole = [], {}
+        for i, t in enumerate(texts):
+            before = len(chunks)
+            if self.added and self.added.search(t):  # these are found in whole texts
+                whole[i] = np.array([*self.of.encode(t, add_special_tokens=False).ids, self.end], dtype="<u4").tobytes()
+            else:
+                for p in parts(t):
+                    chunks += CHUNK.findall(p)
+            counts.append(len(chunks) - before)
+        places = np.fromiter(map(self.places.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        if self.places.new:
+            self._learn()
+        ids, upto = self._gathered(places)
+        cuts = upto[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        end, raw = np.array([self.end], dtype="<u4").tobytes(), ids.tobytes()
+        return [whole[i] if i in whole else raw[4 * a : 4 * b] + end for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
