@@ -6,12 +6,18 @@ Hashes are 64-bit polynomial sums over random byte values, finished by a bit mix
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
 U = np.uint64
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library keeps what it likes
+    _trim = None
 PIECE = 1 << 20
 _rng = np.random.RandomState(20240229)
 BYTE_VALUES = _rng.randint(0, 2**63, 256).astype(U) * U(2) + U(1)
@@ -143,3 +149,10 @@ def pack_floats(x: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack_floats(values: bytes, which: bytes) -> np.ndarray:
     return np.frombuffer(_expand.decompress(values), dtype="<f8")[unpack(which).astype(np.int64)]
+
+
+def release() -> None:
+    """Gives freed memory back to the system; worth a call after a large group, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import release
 from .common import partitions, scratch, slices
 
 TARGET = 4 << 20
@@ -83,6 +84,7 @@ def answered(blocks: DataFrame, answers: DataFrame, run: Callable[[int, bytes, p
         for block, payload in zip(left["block"].to_pylist(), left["payload"]):
             a, b = np.searchsorted(number, [block, block + 1])
             out.append(run(block, payload.as_py(), right.slice(a, b - a)))
+            release()
         return pa.concat_tables(out)
 
     asked = answers.withColumn("part", F.shiftright("block", 32).cast("int"))

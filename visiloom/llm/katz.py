@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, U, buffer_of, mix, pack, pack_floats, pack_sorted, span_hashes, unpack, unpack_floats, unpack_sorted, word_spans
+from .arrays import LOWER, U, buffer_of, mix, pack, pack_floats, pack_sorted, release, span_hashes, unpack, unpack_floats, unpack_sorted, word_spans
 from .blocks import answered, packed, unpacked, write_blocks
 from .common import held_out, scratch
 
 CUTOFF = 5
-BUCKET_TOKENS, BLOCK_BYTES = 2_000_000, 8 << 20
+BUCKET_TOKENS, BLOCK_BYTES = 3_000_000, 6 << 20
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 PAIR = U(0xC2B2AE3D27D4EB4F)
 
@@ -96,7 +96,7 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 def tokenised(order: int, doc_id: str, text: str, held: str):
     """Rows of a block to: distinct token hashes (sorted), each token's place among them, tokens of each text, flags and ids."""
 
-    def make(rows: pa.Table) -> bytes:
+    def make(rows: pa.Table) -> tuple[bytes, int]:
         raw, offsets = buffer_of(rows.column(text).combine_chunks())
         buf = LOWER[raw]
         starts, ends, doc = word_spans(buf, offsets)
@@ -107,7 +107,7 @@ def tokenised(order: int, doc_id: str, text: str, held: str):
         h[at] = span_hashes(buf, starts, ends)
         vocabulary, which = np.unique(h, return_inverse=True)
         out = pa.table([rows.column(doc_id), rows.column(held), pa.array(words + 1)], names=["id", "held", "n"])
-        return packed(pa.table([pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([pack(which)], pa.binary()), pa.array([packed(out)], pa.binary())], names=["vocabulary", "which", "rows"]))
+        return packed(pa.table([pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([pack(which)], pa.binary()), pa.array([packed(out)], pa.binary())], names=["vocabulary", "which", "rows"])), len(which)
 
     return make
 
@@ -143,20 +143,21 @@ class Grams:
     """The distinct n-grams of a block at one level: their order, buckets, and what goes to each."""
 
     def __init__(self, block: Block, n: int, history_counts: np.ndarray, model: Model):
-        self.history = block.histories(n)
+        history = block.histories(n)
         word = block.vocabulary[block.which]
-        key = pair_hash(self.history, word)
-        hot = model.hot(history_counts)
-        bucket = np.where(hot, bucket_of(key, model.buckets), bucket_of(self.history, model.buckets))
+        key = pair_hash(history, word)
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        order = np.lexsort((word[first], self.history[first], bucket[first]))
+        hot = model.hot(history_counts[first])
+        bucket = bucket_of(np.where(hot, key[first], history[first]), model.buckets).astype(np.int32)
+        del key
+        order = np.lexsort((word[first], history[first], bucket))
         self.first = first[order]  # a token that is each n-gram, by bucket, history, word
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.inverse = rank[inverse]
         self.counts = np.bincount(self.inverse[block.train], minlength=len(first))
-        self.bucket = bucket[self.first]
-        self.h, self.w, self.hot = self.history[self.first], word[self.first], hot[self.first]
+        self.bucket = bucket[order]
+        self.h, self.w, self.hot = history[self.first], word[self.first], hot[order]
 
     def cuts(self):
         at = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.bucket) else np.zeros(0, np.int64)
@@ -196,7 +197,7 @@ def unigram_answers(blocks: DataFrame, buckets: int) -> DataFrame:
         np.add.at(total, inverse, own)
         mine = np.split(total[inverse], np.cumsum([len(w) for w in words])[:-1])
         k = key[0].as_py()
-        return _answer(block=[*rows["block"].to_pylist(), None], level=[1] * (len(mine) + 1), bucket=[k] * (len(mine) + 1), counts=[*map(pack, mine), None], stats=[None] * len(mine) + [_stats(total)])
+        return _answer(block=[*rows["block"].to_pylist(), None], level=[1] * (len(mine) + 1), bucket=[k] * (len(mine) + 1), counts=[*map(pack, mine), None], stats=[None] * len(mine) + [[*_stats(total), int(total[inverse[np.concatenate(words) == END][:1]].sum())]])
 
     asked = blocks.select("block", "payload").mapInArrow(ask, "bucket int, block long, h binary, n binary")
     return asked.groupBy("bucket").applyInArrow(count, ANSWER)
@@ -213,19 +214,24 @@ def _count_grams(level: int):
             hot.append(np.repeat(unpack(r["hot"]).astype(bool), runs))
             w.append(unpack_sorted(r["words"])[unpack(r["word"]).astype(np.int64)])
             p.append(unpack_floats(r["p_values"], r["p"]))
-            n.append(unpack(r["n"]).astype(np.int64))
+            n.append(unpack(r["n"]).astype(np.int32))
             sizes.append(len(runs) and len(n[-1]))
         h, w, p, n, hot = map(np.concatenate, (h, w, p, n, hot))
-        _, first, inverse = np.unique(pair_hash(h, w), return_index=True, return_inverse=True)
-        total = np.zeros(len(first), dtype=np.int64)
-        np.add.at(total, inverse, n)
-        histories, of = np.unique(h[first], return_inverse=True)
-        seen = total > 0
-        low = np.bincount(of, weights=np.where(seen, p[first], 0.0), minlength=len(histories))
+        key_ = pair_hash(h, w)
+        del w
+        _, first, inverse = np.unique(key_, return_index=True, return_inverse=True)
+        h, p, hot = h[first], p[first], hot[first]
+        del key_, first
+        inverse = inverse.astype(np.int32)
+        total = np.bincount(inverse, weights=n, minlength=len(h)).astype(np.int64)
+        histories, of = np.unique(h, return_inverse=True)
+        of = of.astype(np.int32)
+        del h
+        low = np.bincount(of, weights=np.where(total > 0, p, 0.0), minlength=len(histories))
         # mass[h]: how many continuations have each count to CUTOFF, then the sum of all counts
         mass = np.stack([np.bincount(of[total == r], minlength=len(histories)) for r in range(1, CUTOFF + 1)] + [np.bincount(of, weights=total, minlength=len(histories)).astype(np.int64)], axis=1)
         is_hot = np.zeros(len(histories), dtype=bool)
-        is_hot[of] = hot[first]
+        is_hot[of] = hot
         totals = np.split(total[inverse], np.cumsum(sizes)[:-1])
         whose = np.split(of[inverse], np.cumsum(sizes)[:-1])
         counts, places, sums, masses = [], [], [], []
@@ -240,8 +246,9 @@ def _count_grams(level: int):
             masses.append(pack(mass[hs].ravel()) + low[hs].astype("<f8").tobytes())
         k, m = key[0].as_py(), len(totals)
         hot_at = np.flatnonzero(is_hot)
+        release()
         return pa.concat_tables([
-            _answer(block=[*rows["block"].to_pylist(), None], level=[level] * (m + 1), bucket=[k] * (m + 1), counts=[*counts, None], places=[*places, None], mass=[*masses, None], stats=[None] * m + [_stats(total)]),
+            _answer(block=[*rows["block"].to_pylist(), None], level=[level] * (m + 1), bucket=[k] * (m + 1), counts=[*counts, None], places=[*places, None], mass=[*masses, None], stats=[None] * m + [[*_stats(total), 0]]),
             _answer(block=[None] * len(hot_at), level=[level] * len(hot_at), bucket=[k] * len(hot_at), hot_h=histories[hot_at].view(np.int64).tolist(), hot_sum=low[hot_at].tolist(), hot_mass=[pack(mass[i]) for i in hot_at]),
         ])
 
@@ -253,7 +260,7 @@ class Evaluation:
 
     def __init__(self, block: Block, answers: pa.Table, model: Model, hot: dict[int, dict[int, tuple[np.ndarray, float]]]):
         self.block, self.model, self.hot = block, model, hot
-        self.answers: dict[tuple[int, int], dict] = {(r["level"], r["bucket"]): r for r in answers.to_pylist()}
+        self.answers = {(r["level"], r["bucket"]): r for r in answers.to_pylist()}
         own = np.zeros(len(block.vocabulary), dtype=np.int64)
         at = bucket_of(block.vocabulary, model.buckets)
         cuts = np.searchsorted(at, np.arange(model.buckets + 1))
@@ -279,42 +286,45 @@ class Evaluation:
         g, model = self.grams(n), self.model
         d = model.levels[n - 1]
         total = np.zeros(len(g.first), dtype=np.int64)
-        m = len(g.first)
-        mass, low, have = np.zeros((m, CUTOFF + 1), np.int64), np.zeros(m), np.zeros(m, bool)
+        slot = np.full(len(g.first), -1, dtype=np.int32)  # into what is known of histories: masses and lower sums
+        masses, lows, used = [np.zeros((0, CUTOFF + 1), np.int64)], [np.zeros(0)], 0
         for bucket, a, b in g.cuts():
             r = self.answers[n, bucket]
             total[a:b] = unpack(r["counts"]).astype(np.int64)
             where = unpack(r["places"]).astype(np.int64)
             if len(where):
                 blob = r["mass"]
-                sums = np.frombuffer(blob[-8 * len(where) :], "<f8")
-                masses = unpack(blob[: -8 * len(where)]).astype(np.int64).reshape(-1, CUTOFF + 1)
+                lows.append(np.frombuffer(blob[-8 * len(where) :], "<f8"))
+                masses.append(unpack(blob[: -8 * len(where)]).astype(np.int64).reshape(-1, CUTOFF + 1))
                 run = np.cumsum(np.concatenate([[0], g.h[a + 1 : b] != g.h[a : b - 1]]))
-                slot = np.full(run[-1] + 1, -1)
-                slot[where] = np.arange(len(where))
-                mine = slot[run]
-                ok = np.flatnonzero(mine >= 0)
-                mass[a + ok], low[a + ok], have[a + ok] = masses[mine[ok]], sums[mine[ok]], True
+                of_run = np.full(run[-1] + 1, -1, dtype=np.int32)
+                of_run[where] = np.arange(used, used + len(where))
+                slot[a:b] = of_run[run]
+                used += len(where)
         table = self.hot.get(n, {})
-        for i in np.flatnonzero(g.hot):
-            found = table.get(int(g.h[i]))
-            if found is not None:
-                mass[i], low[i], have[i] = found[0], found[1], True
-        ch = self.history_counts[g.first].astype(np.float64)
-        below = self.p[g.first]
+        histories, of = np.unique(g.h[g.hot], return_inverse=True)
+        found = np.full(len(histories), -1, dtype=np.int32)
+        for i, h in enumerate(histories.tolist()):
+            if h in table:
+                masses.append(table[h][0].reshape(1, -1))
+                lows.append(np.array([table[h][1]]))
+                found[i], used = used, used + 1
+        slot[g.hot] = found[of]
+        mass, low = np.concatenate(masses), np.concatenate(lows)
         freed = (mass[:, :CUTOFF] * (np.arange(1, CUTOFF + 1) * (1 - d.d[1:]))).sum(axis=1)
-        left = np.where(ch > 0, freed / np.maximum(ch, 1), 1.0)
-        bare = have & (freed <= 0) & (ch > 0)
-        left = np.where(bare, 1 / (ch + 1), left)
-        alpha = left / np.maximum(1 - low, 1e-300)
-        seen = d.of(total) * total / np.maximum(ch, 1) * np.where(bare, ch / (ch + 1), 1.0)
-        p = np.where(total > 0, seen, np.where(ch > 0, alpha * below, below))
+        sums = mass[:, CUTOFF].astype(np.float64)
+        bare = (freed <= 0) & (sums > 0)
+        left = np.where(bare, 1 / (sums + 1), np.where(sums > 0, freed / np.maximum(sums, 1), 1.0))
+        alpha = np.append(left / np.maximum(1 - low, 1e-300), 1.0)
+        scale = np.append(np.where(bare, sums / (sums + 1), 1.0), 1.0)  # the last is for histories without an entry
+        ch = self.history_counts[g.first]
+        p = np.where(total > 0, d.of(total) * total / np.maximum(ch, 1) * scale[slot], np.where(ch > 0, alpha[slot], 1.0) * self.p[g.first])
         self.p = p[g.inverse]
         self.history_counts = self._before(total[g.inverse])
 
 
 def _totals(answers: DataFrame, level: int) -> list[int]:
-    row = answers.where((F.col("level") == level) & F.col("stats").isNotNull()).agg(*[F.sum(F.col("stats")[i]) for i in range(CUTOFF + 3)]).first()
+    row = answers.where((F.col("level") == level) & F.col("stats").isNotNull()).agg(*[F.sum(F.col("stats")[i]) for i in range(CUTOFF + 4)]).first()
     return [int(x or 0) for x in row]
 
 
@@ -327,9 +337,8 @@ class KatzScorer:
         self.blocks = write_blocks(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(held).alias("h")), "t", block_bytes, tokenised(order, "id", "t", "h"))
         self.model = Model(order, hot_least=hot_least)
         self.hot: dict[int, dict[int, tuple[np.ndarray, float]]] = {}
-        size, n_texts = self._sizes()
+        size = self.blocks.agg(F.sum("tokens")).first()[0] or 0
         self.model.buckets = max(1, -(-size // bucket_tokens))
-        self.model.texts = n_texts
         self.table = scratch(spark, "katz")
         for level in range(1, order + 1):
             made = unigram_answers(self.blocks, self.model.buckets) if level == 1 else self._gram_answers(level)
@@ -345,21 +354,12 @@ class KatzScorer:
             out = out.unionByName(self._read(level))
         return out.where(F.col("block").isNotNull()).select("block", "level", "bucket", "counts", "places", "mass")
 
-    def _sizes(self) -> tuple[int, int]:
-        def run(batches):
-            for b in batches:
-                sizes = [Block(p.as_py()) for p in b.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array([len(s.which) for s in sizes], pa.int64()), pa.array([int((~np.asarray(s.rows["held"].combine_chunks())).sum()) for s in sizes], pa.int64())], names=["tokens", "texts"])
-
-        row = self.blocks.select("payload").mapInArrow(run, "tokens long, texts long").agg(F.sum("tokens"), F.sum("texts")).first()
-        return int(row[0] or 0), int(row[1] or 0)
-
     def _learn(self, level: int) -> None:
         answers, model = self._read(level), self.model
-        *n, types, tokens = _totals(answers, level)
+        *n, types, tokens, texts = _totals(answers, level)
         model.levels.append(Level.fitted(n))
         if level == 1:
-            model.types, model.tokens = types, tokens
+            model.types, model.tokens, model.texts = types, tokens, texts
             freed = sum(r * c * (1 - model.levels[0].d[r]) for r, c in zip(range(1, CUTOFF + 1), n))
             left = freed / tokens if tokens else 1.0
             model.unknown = max(left, 1 / (tokens + 1))
@@ -374,9 +374,9 @@ class KatzScorer:
     def _gram_answers(self, level: int) -> DataFrame:
         model, hot = self.model, self.hot
 
-        def ask(number: int, payload: pa.Table, answers: pa.Table) -> pa.Table:
+        def ask(number: int, payload: bytes, answers: pa.Table) -> pa.Table:
             out: dict[str, list] = {c.split()[0]: [] for c in QUESTION.split(", ")}
-            e = Evaluation(Block(payload["payload"][0].as_py()), answers, model, hot)
+            e = Evaluation(Block(payload), answers, model, hot)
             for k in range(2, level):
                 e.step(k)
             g, p = e.grams(level), e.p
@@ -397,8 +397,8 @@ class KatzScorer:
         """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
         model, hot = self.model, self.hot
 
-        def finish(number: int, payload: pa.Table, answers: pa.Table) -> pa.Table:
-            b = Block(payload["payload"][0].as_py())
+        def finish(number: int, payload: bytes, answers: pa.Table) -> pa.Table:
+            b = Block(payload)
             e = Evaluation(b, answers, model, hot)
             c = e.unigrams
             base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
