@@ -255,3 +255,22 @@ def test_resume(spark, tmp_path):
         work.write.mode("append").parquet(source)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 10
+
+
+def test_diagnostics(spark):
+    from visiloom.functions.contracts import diagnostics as views
+    from visiloom.operators import diagnostics
+
+    df = frame(spark, [("Supported [1].", 2), ("Uncited. Claim [3].", 2)], "t string, n int").select("t", "n", views("t", "n").alias("d"))
+    r = diagnostics.rollup(df).first()
+    assert (r.answers, r.v2_ok, r.v2_fail, r.v4_ok, r.v4_fail, r.invalid_citation, r.v6_ok) == (2, 1, 1, 1, 1, 1, 1)
+    x = frame(spark, [("Supported [1].", 2, False, None)], "answer string, source_count int, stored_v2 boolean, stored_v4 boolean")
+    s = diagnostics.change_summary(diagnostics.recomputed(x)).first()
+    assert (s.v2_before, s.v2_after, s.v2_changed, s.v4_changed) == (0, 1, 1, 1)
+    assert frame(spark, [(None, 3, 3)], "a int, b int, c int").select(diagnostics.consistent_count("a", "b", "c")).first()[0] == 3
+    with pytest.raises(Exception, match="differ"):
+        frame(spark, [(2, 3)], "a int, b int").select(diagnostics.consistent_count("a", "b")).collect()
+    scores = frame(spark, [("k", "b", 0.5), ("l", "b", 1.5)], "k string, benchmark string, v double")
+    with pytest.raises(checks.IntegrityError):
+        diagnostics.score_map(scores, ["k"], F.col("v"), 0, 1)
+    assert diagnostics.score_map(scores.limit(1), ["k"], F.col("v"), 0, 1).first().score == 0.5

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, keys
 from ..functions.canonical import canonical_column, detached_repaired
+from ..functions.contracts import diagnostics as all_views
 from ..functions.contracts import exact_diagnostics, optional_diagnostics
 from ..functions.templates import source_blocks, source_labels
-from ..operators import checks, conditions, generation, judge, lengths, objective, sampling, texts
+from ..operators import checks, conditions, diagnostics, generation, judge, lengths, objective, sampling, texts
 from ..operators import improvement as imp
 from ..operators.bootstrap import intervals
 from ..sources.sinks import heat_table
@@ -317,9 +318,38 @@ def contract_diagnostics(spark, d):
 
 @query("diagnostic_rollup")
 def diagnostic_rollup(spark, d):
-    x = a.answers(spark, d).select(citations.basic_diagnostics("answer", "source_count").alias("b"), citations.strict_diagnostics("answer", "source_count").alias("v2"), optional_diagnostics("answer", "source_count").alias("v4"), exact_diagnostics("answer", "source_count").alias("v6"))
-    flags = {"numeric": "b.has_numeric_citation", "named": "b.has_named_bracket_citation", "scorable": "b.citation_format_scorable", "v2_ok": "v2.contract_compliant", "v4_ok": "v4.contract_compliant", "citationless": "v4.citationless_answer", "in_range": "v4.has_in_range_numeric_citation", "v6_ok": "v6.contract_compliant"}
-    return x.agg(F.count("*").alias("answers"), *[F.count_if(F.col(c)).alias(n) for n, c in flags.items()], *[F.count_if(F.col(f"{v}.contract_compliant") == F.lit(False)).alias(f"{v}_fail") for v in ("v2", "v4", "v6")])
+    return diagnostics.rollup(a.answers(spark, d).select(all_views("answer", "source_count").alias("d")))
+
+
+@query("diagnostic_changes")
+def diagnostic_changes(spark, d):
+    x = a.answers(spark, d).withColumns({"stored_v2": F.col("doc_id") % 2 == 0, "stored_v4": F.when(F.col("doc_id") % 3 > 0, F.lit(True))})
+    return diagnostics.change_summary(diagnostics.recomputed(x))
+
+
+@query("score_map", f"WITH {a.SCORES} SELECT model, sample_id, method, answer_seed, benchmark, round(objective, 6) + 0.0 AS score FROM scores")
+def score_map(spark, d):
+    nested = a.scores(spark, d).withColumn("zero_fallback", F.struct(F.col("objective").alias("overall")))
+    return rounded(diagnostics.score_map(nested, KEYS, F.col("zero_fallback.overall"), 0, 1))
+
+
+@query("token_sums", "SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id END) AS BIGINT) AS input_tokens, CAST(sum(user_id) AS BIGINT) AS output_tokens FROM events GROUP BY event_type")
+def token_sums(spark, d):
+    e = a.table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("input_tokens"), F.col("user_id").alias("output_tokens"))
+    return diagnostics.token_sums(e, "event_type")
+
+
+@query("failure_kinds", "SELECT CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'invalid_json' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1")
+def failure_kinds(spark, d):
+    e = a.table(spark, d, "events")
+    first = e.agg(F.min("event_type").alias("m"))
+    x = e.join(first, e["event_type"] == first["m"], "left").select(texts.failure_kind(F.when(F.col("m").isNotNull(), "Invalid JSON at 3").otherwise("timeout")).alias("kind"))
+    return x.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("prompt_families", f"WITH {a.SCORES} SELECT split_part(method || '.' || model, '.', 1) AS family, count(*) AS n FROM scores GROUP BY 1")
+def prompt_families(spark, d):
+    return a.scores(spark, d).select(keys.prompt_family(F.concat_ws(".", "method", "model")).alias("family")).groupBy("family").agg(F.count("*").alias("n"))
 
 
 @query("canonical_answers")
