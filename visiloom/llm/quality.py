@@ -102,3 +102,36 @@ def verdicts(counts: DataFrame) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stored(counted(spark.read.parquet(f"{sf_dir}/documents.parquet")), "counts")
     return verdicts(counts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The sketches are exact on few rows (accuracy 10,000): the value of rank ceil(q n).
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3
+), k AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM p
+), r AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM k WHERE c > 1) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbol, n_dup_lines / greatest(n_lines, 1) AS dup_line, n_repeat_words / greatest(n_words, 1) AS repeat, word_chars / greatest(n_words, 1) AS length FROM m
+), x AS (
+  SELECT lang, source, symbol, dup_line, repeat, length, 0 AS level FROM b WHERE NOT base_failed UNION ALL SELECT lang, NULL, symbol, dup_line, repeat, length, 1 FROM b WHERE NOT base_failed UNION ALL SELECT NULL, NULL, symbol, dup_line, repeat, length, 3 FROM b WHERE NOT base_failed
+), q AS (
+  SELECT level, lang, source, count(*) AS n, list_sort(list(symbol)) AS s, list_sort(list(dup_line)) AS u, list_sort(list(repeat)) AS e, list_sort(list(length)) AS g, CAST(ceil(0.25 * count(*)) AS INTEGER) AS lo, CAST(ceil(0.75 * count(*)) AS INTEGER) AS hi FROM x GROUP BY level, lang, source
+), f AS (
+  SELECT level, lang, source, n, s[hi] + 3 * greatest(s[hi] - s[lo], 0.05) AS fs, u[hi] + 3 * greatest(u[hi] - u[lo], 0.1) AS fu, e[hi] + 3 * greatest(e[hi] - e[lo], 0.1) AS fe, g[hi] + 3 * greatest(g[hi] - g[lo], 0.5) AS fg, g[lo] - 3 * greatest(g[hi] - g[lo], 0.5) AS fl FROM q
+), j AS (
+  SELECT b.*, CASE WHEN f0.n >= 30 THEN 0 WHEN f1.n >= 30 AND f0.n IS NOT NULL THEN 1 ELSE 3 END AS use, f0, f1, f3 FROM b
+  LEFT JOIN f f0 ON f0.level = 0 AND f0.lang IS NOT DISTINCT FROM b.lang AND f0.source IS NOT DISTINCT FROM b.source LEFT JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM b.lang LEFT JOIN f f3 ON f3.level = 3
+), v AS (
+  SELECT *, CASE use WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f3 END AS z FROM j
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(symbol <= z.fs, true) AND coalesce(dup_line <= z.fu, true) AND coalesce(repeat <= z.fe, true) AND coalesce(length <= z.fg, true) AND coalesce(length >= z.fl, true) AS kept FROM v
+"""
