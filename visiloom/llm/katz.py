@@ -8,7 +8,8 @@ Round n of the evaluation is the n-gram level. A block knows, for each of its to
 below; it sends its distinct n-grams (history, word, training count, P) to the partitioned count table by history. There
 counts are summed, and for every history the backoff mass and the sum of the lower-level P over its seen words. The
 answers (counts; backoff data where a block has unseen n-grams) go back to the block, which evaluates the next level.
-Questions carry each n-gram of a block once. Histories with a large share of all tokens are dealt out by n-gram instead
+Questions carry each n-gram of a block once, as ids that the unigram
+table gives out by frequency. Histories with a large share of all tokens are dealt out by n-gram instead
 of by history, and only their sums are put together: at most four of them for each table partition.
 
 Where Good-Turing can't be used (n_1 is 0 or a ratio isn't in (0, 1]), d_r = (r - 0.5) / r. A history none of whose
@@ -34,7 +35,7 @@ from .common import held_out, scratch
 
 CUTOFF = 5
 BUCKET_TOKENS, BLOCK_BYTES = 3_000_000, 6 << 20
-END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
+END, START = U(0x5851F42D4C957F2D), U(0)
 PAIR = U(0xC2B2AE3D27D4EB4F)
 
 
@@ -125,30 +126,29 @@ class Block:
     def own_counts(self) -> np.ndarray:
         return np.bincount(self.which[self.train], minlength=len(self.vocabulary))
 
-    def histories(self, n: int) -> np.ndarray:
-        """A hash of the n - 1 tokens before each token; before the first come as many starts as it takes."""
-        h = self.vocabulary[self.which]
+    def histories(self, n: int, ids: np.ndarray) -> np.ndarray:
+        """The id of the token before each token, or for longer histories a hash of the ids of the n - 1 before it. Before a text come as many starts (0) as it takes."""
+        h = ids[self.which]
         out = np.zeros(len(h), U)
+        place = np.arange(len(h)) - np.repeat(self.begin, self.n)
         for back in range(n - 1, 0, -1):
-            before = np.empty(len(h), U)
-            before[back:] = h[:-back] if len(h) > back else h[:0]
-            before[:back] = START
-            place = np.arange(len(h)) - np.repeat(self.begin, self.n)
+            before = np.zeros(len(h), U)
+            before[back:] = h[:-back]
             before[place < back] = START
-            out = pair_hash(out, before)
+            out = before if n == 2 else pair_hash(out, before)
         return out
 
 
 class Grams:
     """The distinct n-grams of a block at one level: their order, buckets, and what goes to each."""
 
-    def __init__(self, block: Block, n: int, history_counts: np.ndarray, model: Model):
-        history = block.histories(n)
-        word = block.vocabulary[block.which]
+    def __init__(self, block: Block, n: int, ids: np.ndarray, history_counts: np.ndarray, model: Model):
+        history = block.histories(n, ids)
+        word = ids[block.which]
         key = pair_hash(history, word)
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         hot = model.hot(history_counts[first])
-        bucket = bucket_of(np.where(hot, key[first], history[first]), model.buckets).astype(np.int32)
+        bucket = bucket_of(np.where(hot, key[first], mix(history[first])), model.buckets).astype(np.int32)
         del key
         order = np.lexsort((word[first], history[first], bucket))
         self.first = first[order]  # a token that is each n-gram, by bucket, history, word
@@ -193,11 +193,14 @@ def unigram_answers(blocks: DataFrame, buckets: int) -> DataFrame:
         words = [unpack_sorted(x) for x in rows["h"].to_pylist()]
         own = np.concatenate([unpack(x) for x in rows["n"].to_pylist()]).astype(np.int64)
         _, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.zeros(inverse.max() + 1, dtype=np.int64)
-        np.add.at(total, inverse, own)
-        mine = np.split(total[inverse], np.cumsum([len(w) for w in words])[:-1])
+        total = np.bincount(inverse, weights=own).astype(np.int64)
         k = key[0].as_py()
-        return _answer(block=[*rows["block"].to_pylist(), None], level=[1] * (len(mine) + 1), bucket=[k] * (len(mine) + 1), counts=[*map(pack, mine), None], stats=[None] * len(mine) + [[*_stats(total), int(total[inverse[np.concatenate(words) == END][:1]].sum())]])
+        # ids: small for frequent words, from 1; they make the questions of higher levels small
+        ids = np.empty(len(total), dtype=np.int64)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(total)) * buckets + k + 1
+        ends = np.cumsum([len(w) for w in words])[:-1]
+        mine, named = np.split(total[inverse], ends), np.split(ids[inverse], ends)
+        return _answer(block=[*rows["block"].to_pylist(), None], level=[1] * (len(mine) + 1), bucket=[k] * (len(mine) + 1), counts=[*map(pack, mine), None], places=[*map(pack, named), None], stats=[None] * len(mine) + [[*_stats(total), int(total[inverse[np.concatenate(words) == END][:1]].sum())]])
 
     asked = blocks.select("block", "payload").mapInArrow(ask, "bucket int, block long, h binary, n binary")
     return asked.groupBy("bucket").applyInArrow(count, ANSWER)
@@ -261,12 +264,13 @@ class Evaluation:
     def __init__(self, block: Block, answers: pa.Table, model: Model, hot: dict[int, dict[int, tuple[np.ndarray, float]]]):
         self.block, self.model, self.hot = block, model, hot
         self.answers = {(r["level"], r["bucket"]): r for r in answers.to_pylist()}
-        own = np.zeros(len(block.vocabulary), dtype=np.int64)
+        own, self.ids = np.zeros(len(block.vocabulary), dtype=np.int64), np.zeros(len(block.vocabulary), dtype=U)
         at = bucket_of(block.vocabulary, model.buckets)
         cuts = np.searchsorted(at, np.arange(model.buckets + 1))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if b > a:
                 own[a:b] = unpack(self.answers[1, i]["counts"]).astype(np.int64)
+                self.ids[a:b] = unpack(self.answers[1, i]["places"])
         self.unigrams = own[block.which]
         self.p = model.unigram(self.unigrams)
         #: training count of the history of each token at the next level: of the token before, or how many texts there are
@@ -279,7 +283,7 @@ class Evaluation:
         return out
 
     def grams(self, n: int) -> Grams:
-        return Grams(self.block, n, self.history_counts, self.model)
+        return Grams(self.block, n, self.ids, self.history_counts, self.model)
 
     def step(self, n: int) -> None:
         """From level n - 1 to level n."""
