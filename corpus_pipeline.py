@@ -38,9 +38,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids by byte-level BPE, a row for each row; a null text counts as empty."""
-    return bpe.encoded(docs, keep=("doc_id", "lang", "source", "n_chars"), ids=True)
+    return bpe.encoded(docs, keep=("doc_id", "lang", "source", "n_chars"), ids=True, chunks=KEPT_CHUNKS)
 
 
+#: Workers that run all stages keep fewer chunks than those that only encode.
+KEPT_CHUNKS = 150_000
+
 STAGES = [
     ("toxicity", remove_toxic),
     ("simhash_near_dedup", remove_near_duplicates),

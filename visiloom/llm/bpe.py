@@ -30,7 +30,8 @@ SAFE = re.compile(rf"(?<={OTHER}) (?={OTHER})")
 #: Marks that are pieces of their own after a word.
 MARKS = ".,!?;:"
 LONG = 1 << 20
-CACHE, CHUNKS = 400_000, 1_000_000
+#: Chunks kept by a worker (some 200 bytes each), and half as many prefixes and pairs; only speed depends on it.
+CHUNKS = 500_000
 
 
 def parts(text: str, most: int = LONG) -> Iterator[str]:
@@ -46,8 +47,8 @@ def parts(text: str, most: int = LONG) -> Iterator[str]:
 
 
 class PrefixBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, chunks: int = CHUNKS):
+        self.ranks, self.most = ranks, chunks
         #: The longest token by its last three bytes; those of one or two bytes aren't in it.
         self.longest: dict[bytes, int] = {}
         for raw in ranks:
@@ -72,9 +73,9 @@ class PrefixBpe:
         self.text_of = {str(i).encode(): b for b, i in ranks.items()}
 
     @classmethod
-    def load(cls, name: str) -> PrefixBpe:
+    def load(cls, name: str, chunks: int = CHUNKS) -> PrefixBpe:
         with open(public_tokenizers.path(name) if "/" not in name else name, "rb") as lines:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, chunks=chunks)
 
     def stays_apart(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of both gives a, b: undoes the latest merge on either side of the cut, again and again, and looks for an earlier merge across it."""
@@ -94,9 +95,9 @@ class PrefixBpe:
     def extend(self, piece: bytes, last: list[int], start: int = 0) -> list[int]:
         """last[i]: the last token of piece[: i + 1]; appends those from `start` on, which must be len(last)."""
         get, reach, stored, known = self.ranks.get, self.longest.get, self.prefixes, self.apart
-        if len(stored) > CACHE:
+        if len(stored) > self.most // 2:
             stored.clear()
-        if len(known) > CACHE:
+        if len(known) > self.most // 2:
             known.clear()
         if not start:  # what is kept has each of its prefixes too, so the longest one is found by halving
             low, high = 0, min(len(piece), 63)
@@ -163,7 +164,7 @@ class PrefixBpe:
         try:
             return b"".join(map(known.__getitem__, found))
         except KeyError:
-            if len(known) > CHUNKS:
+            if len(known) > self.most:
                 known.clear()
             for c in found:
                 if c not in known:
@@ -225,16 +226,17 @@ class EncodedText:
         return [i for ids in self.ids_of for i in ids]
 
 
-_loaded: dict[str, PrefixBpe] = {}
+_loaded: dict[tuple[str, int], PrefixBpe] = {}
 
 
-def loaded(name: str) -> PrefixBpe:
-    if name not in _loaded:
-        _loaded[name] = PrefixBpe.load(name)
-    return _loaded[name]
+def loaded(name: str, chunks: int = CHUNKS) -> PrefixBpe:
+    """One for each worker, with up to so many chunks kept between texts."""
+    if (name, chunks) not in _loaded:
+        _loaded[name, chunks] = PrefixBpe.load(name, chunks)
+    return _loaded[name, chunks]
 
 
-def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False, chunks: int = CHUNKS) -> DataFrame:
     """The kept columns, n_tokens, ids_sha256 (of decimal ids joined by one space) and decoded_sha256 (of the decoded bytes); with ids=True also the ids."""
     kept = docs.select(*keep)
     out = kept.schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
@@ -242,7 +244,7 @@ def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text: st
         out = out.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(vocabulary)
+        bpe = loaded(vocabulary, chunks)
         of = bpe.text_of
         for batch in batches:
             texts = batch.column(len(keep))

@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import CHUNK, CHUNKS, MARKS, parts
+from .bpe import CHUNK, MARKS, parts
 from .common import partitions, scratch, slices
 
 MAGIC = b"VLTOK1\0\0"
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 1 << 14, 1 << 16
 SHARD_BYTES, PIECE = 4 << 20, 1 << 20
+CHUNKS = 1_000_000
 SHARDS = "part int, shard int, first long, doc_ids binary, n_docs long, n_tokens long, data binary"
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, buffer_of, mix, pack, span_hashes, unpack
+from .arrays import LOWER, buffer_of, mix, pack, release, span_hashes, unpack
 from .common import clear_of, held_out, slices, stored
 
 BUCKETS = 1 << 20
@@ -95,6 +95,7 @@ def _chosen(sample: DataFrame, n: int, positive: int) -> np.ndarray:
                 marked += np.bincount(pair[y[pair // BUCKETS]] % BUCKETS, minlength=BUCKETS)
         some = np.flatnonzero(has)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(has[some]), pa.array(marked[some])], names=["b", "has", "marked"])
+        release()
 
     sums = sample.mapInArrow(run, "b long, has long, marked long").groupBy("b").agg(F.sum("has").alias("has"), F.sum("marked").alias("marked")).where("has >= 3")
     rate = positive / n
@@ -173,6 +174,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
                 worst = [None if i is None else raw[a[i] : b[i]].tobytes().decode(errors="replace") for i in worst]
                 n_bad = np.bincount(of[bad], minlength=piece.num_rows) if len(bad) else np.zeros(piece.num_rows, np.int64)
                 yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(len(keep))] + [pa.array(-np.expm1(-total)), pa.array(n_bad.astype(np.int64)), pa.array(worst, pa.string())], names=out.names)
+        release()
 
     return docs.select(*keep, text).mapInArrow(run, out)
 
