@@ -48,7 +48,7 @@ def balanced(df: DataFrame, n: int, seed: int, stratum: str = "domain", key: str
     w = Window.orderBy(stratum)
     numbered = strata.select(stratum, "available", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy()).alias("k"))
     quota = numbered.select(F.col(stratum).alias("s_"), (F.floor(F.lit(n) / F.col("k")) + F.when(F.col("i") <= F.lit(n) % F.col("k"), 1).otherwise(0)).cast("int").alias("quota"))
-    ranked = df.withColumn("draw", F.row_number().over(Window.partitionBy(stratum).orderBy(draw_order(key, seed), key)))
+    ranked = df.withColumn("draw", F.row_number().over(Window.partitionBy(stratum).orderBy(draw_order(key, seed), key))).where(F.col("draw") <= n)  # no quota is over n, so each task keeps n rows of a stratum at most
     return ranked.join(quota, F.col(stratum).eqNullSafe(F.col("s_"))).where("draw <= quota").drop("s_", "draw")
 
 
@@ -59,9 +59,13 @@ def random_index(key: str | Column, n: str | Column, seed: int) -> Column:
 
 
 def shuffled(df: DataFrame, seed: int, key: str = "sample_id", name: str = "manifest_index") -> DataFrame:
-    """A final order from 0: range-partitioned sort by hash, then numbered within partitions from their offsets."""
-    ordered = df.withColumn("o_", draw_order(key, seed))
-    return ordered.withColumn(name, (F.row_number().over(Window.orderBy("o_", key)) - 1).cast("int")).drop("o_")
+    """A final order from 0, by hash: rows are numbered within 4,096 ranges of the hash, and ranges by running sums of their counts, so no task sorts all rows."""
+    ordered = df.withColumn("o_", draw_order(key, seed)).withColumn("b_", F.substring("o_", 1, 3))
+    counts = ordered.groupBy("b_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("b_", before.alias("before_"))
+    place = F.row_number().over(Window.partitionBy("b_").orderBy("o_", key)) - 1
+    return ordered.withColumn("place_", place).join(offsets, "b_").withColumn(name, (F.col("before_") + F.col("place_")).cast("int")).drop("o_", "b_", "before_", "place_")
 
 
 def hash_shard(df: DataFrame, index: int, shards: int, limit: int | None = None, order: str | None = None) -> DataFrame:
