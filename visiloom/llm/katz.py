@@ -206,7 +206,7 @@ def unigram_answers(blocks: DataFrame, buckets: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(count, ANSWER)
 
 
-def _count_grams(level: int):
+def _count_grams(level: int, model: Model):
     """The partitioned count table's part of one bucket."""
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
@@ -215,8 +215,9 @@ def _count_grams(level: int):
             runs = unpack(r["runs"]).astype(np.int64)
             h.append(np.repeat(unpack_sorted(r["h"]), runs))
             hot.append(np.repeat(unpack(r["hot"]).astype(bool), runs))
-            w.append(unpack_sorted(r["words"])[unpack(r["word"]).astype(np.int64)])
-            p.append(unpack_floats(r["p_values"], r["p"]))
+            word = unpack(r["word"]).astype(np.int64)
+            w.append(unpack_sorted(r["words"])[word])
+            p.append(model.unigram(unpack(r["p"]).astype(np.int64))[word] if level == 2 else unpack_floats(r["p_values"], r["p"]))
             n.append(unpack(r["n"]).astype(np.int32))
             sizes.append(len(runs) and len(n[-1]))
         h, w, p, n, hot = map(np.concatenate, (h, w, p, n, hot))
@@ -387,15 +388,16 @@ class KatzScorer:
             for bucket, a, b in g.cuts():
                 h = g.h[a:b]
                 at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                words, word = np.unique(g.w[a:b], return_inverse=True)
-                values, which = pack_floats(p[g.first[a:b]])
+                words, at_word, word = np.unique(g.w[a:b], return_index=True, return_inverse=True)
+                # at level 2 the lower P follows from the word's own count
+                values, which = (b"", pack(e.unigrams[g.first[a:b]][at_word])) if level == 2 else pack_floats(p[g.first[a:b]])
                 for c, v in zip(out, (bucket, number, pack_sorted(h[at]), pack(np.diff(np.append(at, b - a))), pack(g.hot[a:b][at].astype(np.int64)), pack_sorted(words), pack(word), values, which, pack(g.counts[a:b]))):
                     out[c].append(v)
             kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
             return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
         asked = answered(self.blocks, self.answers(level - 1), ask, QUESTION)
-        return asked.groupBy("bucket").applyInArrow(_count_grams(level), ANSWER)
+        return asked.groupBy("bucket").applyInArrow(_count_grams(level, model), ANSWER)
 
     def scores(self) -> DataFrame:
         """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
