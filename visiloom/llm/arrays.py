@@ -153,6 +153,7 @@ def unpack_floats(values: bytes, which: bytes) -> np.ndarray:
 
 def release() -> None:
     """Gives freed memory back to the system; worth a call after a large group, as workers live on."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .arrays import release
+
 #: White space as Unicode has it; Python's \s also takes the four separators from x1c to x1f.
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 CHUNK = re.compile(rf" ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+")
@@ -268,6 +270,10 @@ def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text: st
                 if ids:
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
+        if chunks < CHUNKS:  # a worker that has other things to do keeps nothing
+            _loaded.pop((vocabulary, chunks), None)
+            del bpe, of
+            release()
 
     return docs.select(*keep, text).mapInArrow(run, out)
 

@@ -8,7 +8,7 @@ any shared store works; documents are in ascending id order over partitions and
 
 The dictionary is fitted on a bounded sample (`SAMPLE` documents of lowest id hash, `SAMPLE_BYTES` of each); everything
 else covers all rows. A null text counts as empty: only the end id. Null ids come first; rows with equal ids keep their
-own entries, in any order among them that the text decides; an empty table gives no shards. Other columns aren't read.
+own entries, in input order among them; an empty table gives no shards. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -231,7 +231,10 @@ def write_shards(docs: DataFrame, path: str, dictionary: bytes, tokenizer: str =
             yield row()
 
     n = partitions(docs.sparkSession)
-    docs.select(doc_id, text).repartitionByRange(n, F.col(doc_id).asc_nulls_first(), F.xxhash64(text)).sortWithinPartitions(F.col(doc_id).asc_nulls_first(), F.xxhash64(text)).mapInArrow(run, SHARDS).write.parquet(path)
+    # rows that share an id are told apart by their place, so that many of them are no one task's; range sampling then reads no texts
+    placed = docs.select(doc_id, text, F.monotonically_increasing_id().alias("place_"))
+    order = (F.col(doc_id).asc_nulls_first(), F.col("place_").asc())
+    placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(doc_id, text).mapInArrow(run, SHARDS).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, dictionary: bytes, doc_id_type: str = "long") -> DataFrame:

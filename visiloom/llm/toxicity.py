@@ -85,16 +85,16 @@ def _chosen(sample: DataFrame, n: int, positive: int) -> np.ndarray:
     """The buckets most associated with the label, over documents that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has, marked = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        has, marked = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for piece in slices(batch, 1, PIECE):
                 y = np.asarray(piece.column(0)) > 0
                 bucket, sentence, of, *_ = words_of(piece.column(1))
                 pair = np.unique(of[sentence] * BUCKETS + bucket)
-                has += np.bincount(pair % BUCKETS, minlength=BUCKETS)
-                marked += np.bincount(pair[y[pair // BUCKETS]] % BUCKETS, minlength=BUCKETS)
+                np.add.at(has, pair % BUCKETS, 1)
+                np.add.at(marked, pair[y[pair // BUCKETS]] % BUCKETS, 1)
         some = np.flatnonzero(has)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(has[some]), pa.array(marked[some])], names=["b", "has", "marked"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(has[some].astype(np.int64)), pa.array(marked[some].astype(np.int64))], names=["b", "has", "marked"])
         release()
 
     sums = sample.mapInArrow(run, "b long, has long, marked long").groupBy("b").agg(F.sum("has").alias("has"), F.sum("marked").alias("marked")).where("has >= 3")
