@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import release
-from .common import partitions, scratch, slices
+from .common import partitions, scratch, slices, small_batches
 
 TARGET = 4 << 20
 SCHEMA = "part int, block long, size long, tokens long, payload binary"
@@ -49,6 +49,7 @@ def as_is(rows: pa.Table) -> tuple[bytes, int]:
 
 def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callable[[pa.Table], tuple[bytes, int]] = as_is) -> DataFrame:
     """part, block, size (rows), tokens and payload: what `make` gives for the block's rows, all their columns as they are."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .arrays import release
+from .common import small_batches
 
 #: White space as Unicode has it; Python's \s also takes the four separators from x1c to x1f.
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -240,6 +241,7 @@ def loaded(name: str, chunks: int = CHUNKS) -> PrefixBpe:
 
 def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False, chunks: int = CHUNKS) -> DataFrame:
     """The kept columns, n_tokens, ids_sha256 (of decimal ids joined by one space) and decoded_sha256 (of the decoded bytes); with ids=True also the ids."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep)
     out = kept.schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:

@@ -47,6 +47,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch of this session: with rows that are documents the default of 10,000 takes tens of MB in the JVM and in the worker of every task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def clear_of(columns: list[str], name: str) -> str:
     """name, with underscores before it until no column of the caller is called so."""
     taken = {c.lower() for c in columns}

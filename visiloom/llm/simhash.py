@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clear_of, stored
+from .common import clear_of, small_batches, stored
 from .graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             fps = np.fromiter((fingerprint(x.as_py() or "", width) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -112,6 +113,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
             fps = np.fromiter((fingerprint(x.as_py() or "", width) for x in batch.column(place)), dtype=np.uint64, count=batch.num_rows)
             yield batch.append_column(fp, pa.array(fps.view(np.int64)))
 
+    small_batches(docs.sparkSession)
     marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
     marked = stored(marked.withColumn(row, F.monotonically_increasing_id()), "fingerprints")
     slim = marked.select(F.col(doc_id).alias("i"), F.col(fp).alias("fp"), F.col(row).alias("r"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import CHUNK, MARKS, parts
-from .common import partitions, scratch, slices
+from .common import partitions, scratch, slices, small_batches
 
 MAGIC = b"VLTOK1\0\0"
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 1 << 14, 1 << 16
@@ -230,6 +230,7 @@ def write_shards(docs: DataFrame, path: str, dictionary: bytes, tokenizer: str =
         if ids:
             yield row()
 
+    small_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     # rows that share an id are told apart by their place, so that many of them are no one task's; range sampling then reads no texts
     placed = docs.select(doc_id, text, F.monotonically_increasing_id().alias("place_"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, buffer_of, mix, pack, release, span_hashes, unpack
-from .common import clear_of, held_out, slices, stored
+from .common import clear_of, held_out, slices, small_batches, stored
 
 BUCKETS = 1 << 20
 SAMPLE, FEATURES, ROUNDS = 8000, 3000, 200
@@ -105,6 +105,7 @@ def _chosen(sample: DataFrame, n: int, positive: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fits the sentence weights to document labels by gradient steps (Adam) through the noisy-or."""
+    small_batches(docs.sparkSession)
     sample = _sample(docs, labels, label, most, doc_id, text)
     count, positive = sample.agg(F.count("*"), F.count_if(F.col("y") > 0)).first()
     rate = (positive + 0.5) / (count + 1)
@@ -153,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str, str] = ("score", "n_offending", "worst_sentence")) -> DataFrame:
     """The kept columns, the score, how many sentences have at least 0.5 on their own, and the worst of these (else null)."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep)
     out = kept.schema.add(names[0], "double").add(names[1], "long").add(names[2], "string")
 
