@@ -16,7 +16,7 @@ from visiloom.llm.common import stored
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go. Null and empty texts score as one sentence without words and stay; rows that repeat are judged alike; without labels nobody goes unless half of all labelled documents are toxic."""
+    """Documents with a toxicity score of 0.5 or more go. Null and empty texts score as one sentence without words and stay; rows that repeat are judged alike; without a toxic label nobody goes."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.rejected_removed(docs, model)
 

@@ -10,8 +10,8 @@ the `FEATURES` most associated with the label; scoring covers every row and whol
 enter a score.
 
 Rows: a null or empty text has no sentence and gets the bag's floor, the score of one sentence without words. Rows that
-repeat a doc_id are scored each by its own text; a null doc_id is in the held-out part. With no labelled rows, or labels
-of one kind, the weights are zero and the score is that rate. An empty table gives no rows.
+repeat a doc_id are scored each by its own text; a null doc_id is in the held-out part. Without a toxic label all
+scores are next to 0; with no other label, next to 1. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,9 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     small_batches(docs.sparkSession)
     sample = _sample(docs, labels, label, most, doc_id, text)
     count, positive = sample.agg(F.count("*"), F.count_if(F.col("y") > 0)).first()
-    rate = (positive + 0.5) / (count + 1)
     if not positive or positive == count:
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -30.0 if not positive else float(np.log(2 * count + 1)))
     chosen = _chosen(sample, count, positive)
     n = len(chosen)
 
