@@ -33,7 +33,7 @@ from .common import partitions, scratch, slices, small_batches
 MAGIC = b"VLTOK1\0\0"
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 1 << 14, 1 << 16
 SHARD_BYTES, PIECE = 4 << 20, 1 << 20
-CHUNKS = 1_000_000
+CHUNKS = 1_600_000
 SHARDS = "part int, shard int, first long, doc_ids binary, n_docs long, n_tokens long, data binary"
 
 
