@@ -34,7 +34,7 @@ SAFE = re.compile(rf"(?<={OTHER}) (?={OTHER})")
 MARKS = ".,!?;:"
 LONG = 1 << 20
 #: Chunks kept by a worker (some 200 bytes each), and half as many prefixes and pairs; only speed depends on it.
-CHUNKS = 500_000
+CHUNKS = 1_000_000
 
 
 def parts(text: str, most: int = LONG) -> Iterator[str]:
