@@ -421,4 +421,4 @@ class KatzScorer:
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out("doc_id", 10).alias("held_out"))
-    return KatzScorer(docs).scores()
+    return KatzScorer(docs, order=3).scores()
