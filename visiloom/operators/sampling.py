@@ -92,7 +92,15 @@ def first_groups(rows: DataFrame, by: str, within: str, k: int) -> DataFrame:
     return rows.withColumn("g_", F.dense_rank().over(Window.partitionBy(within).orderBy(by))).where(F.col("g_") <= k).drop("g_")
 
 
-def disordered(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """Rows whose key isn't above that of the row before, in file order."""
-    w = Window.orderBy(place)
-    return rows.withColumn("k_", F.struct(*keys)).withColumn("before_", F.lag("k_").over(w)).where("before_ is not null and not (k_ > before_)").drop("k_", "before_")
+def disordered(rows: DataFrame, keys: list[str], place: str, range_rows: int = 65_536) -> DataFrame:
+    """Rows whose key isn't above that of the row before, in file order; place is a number, and rows at one place go by key.
+
+    Rows are compared within ranges of the place, of about range_rows where places are even, and the first of each range with the last of the range before, so no task sorts all rows."""
+    p = F.col(place).cast("double")
+    width = (F.max(p) - F.min(p)) * range_rows / F.greatest(F.count(p), F.lit(1))
+    span = rows.agg(F.min(p).alias("low_"), F.greatest(width, F.lit(1e-9)).alias("width_"))
+    dealt = rows.join(F.broadcast(span), F.lit(True)).withColumn("b_", F.coalesce(F.floor((p - F.col("low_")) / F.col("width_")), F.lit(-1))).withColumn("k_", F.struct(*keys)).drop("low_", "width_")
+    ends = dealt.groupBy("b_").agg(F.max(F.struct(F.col(place).alias("place_"), "k_")).alias("end_"))
+    ends = ends.select("b_", F.lag("end_.k_").over(Window.orderBy("b_")).alias("end_"))  # one row a range
+    inner = dealt.withColumn("before_", F.lag("k_").over(Window.partitionBy("b_").orderBy(place, "k_")))
+    return inner.join(ends, "b_").withColumn("before_", F.coalesce("before_", "end_")).where("before_ is not null and not (k_ > before_)").drop("b_", "k_", "before_", "end_")

@@ -250,6 +250,11 @@ def strict_order(spark, d):
     return sampling.disordered(e, ["user_id", "event_type"], "event_id").select("event_id")
 
 
+@query("strict_order_all", "SELECT event_id FROM (SELECT event_id, user_id, event_type, lag((user_id, event_type)) OVER (ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL AND NOT ((user_id, event_type) > b)")
+def strict_order_all(spark, d):
+    return sampling.disordered(a.table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("event_id")
+
+
 # --- objective scores ------------------------------------------------------------------------------------------------
 
 WS = "[ \\t\\n\\x0B\\x0C\\r]"
