@@ -23,3 +23,12 @@ def test_order_across_ranges(spark):
     for range_rows in (1, 7, 1000):
         assert {r.p for r in sampling.disordered(df, ["a", "b"], "p", range_rows).collect()} == want
     assert sampling.disordered(df.limit(0), ["a", "b"], "p").count() == 0
+
+
+def test_truncation_keeps_all_rows_and_whole_texts(spark, tmp_path):
+    texts = {1: "ab " * 50, 2: None, 3: "", 4: "x", 5: "abc " * 5_000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in catalog.QUERIES["prefix_truncation"](spark, str(tmp_path)).collect()}
+    assert {i: (got[i].keep_fraction, got[i].tokens_after) for i in (1, 2, 3, 4)} == {1: (1.0, 50), 2: (1.0, 0), 3: (1.0, 0), 4: (1.0, 1)}
+    # of 5,000 words 300 may stay; of the first 8,000 characters it would be 300 of 2,000
+    assert got[5].tokens_after == 300 and abs(got[5].keep_fraction - 0.06) < 0.001

@@ -579,8 +579,9 @@ def source_prompts(spark, d):
 
 @query("prefix_truncation")
 def prefix_truncation(spark, d):
-    x = a.table(spark, d, "documents").select("doc_id", F.array(F.substring("text", 1, 4000), F.substring("text", 4001, 4000)).alias("documents"))
-    return lengths.prefix_truncated(x.where(F.length(F.col("documents")[1]) > 0), "documents", 300).select("doc_id", "keep_fraction", "tokens_after")
+    half = F.ceil(F.length("text") / 2).cast("int")
+    x = a.table(spark, d, "documents").select("doc_id", F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))).alias("documents"))
+    return lengths.prefix_truncated(x, "documents", 300).select("doc_id", "keep_fraction", "tokens_after")
 
 
 # --- texts, registries, restarts, generation -------------------------------------------------------------------------
