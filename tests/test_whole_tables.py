@@ -1,5 +1,6 @@
 """Queries cover whole tables and whole texts."""
 
+import hashlib
 import random
 
 from visiloom.operators import sampling
@@ -32,3 +33,21 @@ def test_truncation_keeps_all_rows_and_whole_texts(spark, tmp_path):
     assert {i: (got[i].keep_fraction, got[i].tokens_after) for i in (1, 2, 3, 4)} == {1: (1.0, 50), 2: (1.0, 0), 3: (1.0, 0), 4: (1.0, 1)}
     # of 5,000 words 300 may stay; of the first 8,000 characters it would be 300 of 2,000
     assert got[5].tokens_after == 300 and abs(got[5].keep_fraction - 0.06) < 0.001
+
+
+def test_conditions_of_whole_texts(spark, tmp_path):
+    texts = {0: "é" * 100 + "b" * 100 + "c" * 101, 1: "short", 2: "", 3: None, 4: "xy" * 4_000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, prompts = {}, {}
+    for i, t in texts.items():
+        t = t or ""
+        k = -(-len(t) // 3)
+        parts = [t[:k], t[k : 2 * k], t[2 * k :]]
+        assert "".join(parts) == t
+        prompts[i] = "\n\n".join(f"Source {n + 1}:\n{x}" for n, x in enumerate(parts))
+        for p in ("original.no_rewrite", "p1", "p2"):
+            new = [f"rewrite {p[1]}: {x}" if p[0] == "p" and n == i % 3 else x for n, x in enumerate(parts)]
+            want[i, p] = hashlib.md5("|".join(new).encode()).hexdigest()
+    got = catalog.QUERIES["conditions_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.sample_id, r.prompt_id): r.digest for r in got} == want
+    assert {r.doc_id: r.sources for r in catalog.QUERIES["source_prompts_whole"](spark, str(tmp_path)).collect()} == prompts

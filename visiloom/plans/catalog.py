@@ -561,22 +561,52 @@ def selected_in_order(spark, d):
 INSTANCES = "inst AS (SELECT doc_id, [substr(text, 1, 40), substr(text, 41, 40), substr(text, 81, 40)] AS documents, CAST(doc_id % 3 AS INTEGER) AS t FROM documents WHERE length(text) > 120)"
 
 
-@query("conditions", f"WITH {INSTANCES}, c AS (SELECT doc_id, p, list_transform(documents, lambda d, i: CASE WHEN p > 0 AND i = t + 1 THEN 'rewrite ' || p || ': ' || d ELSE d END) AS documents FROM inst, range(3) r(p)) SELECT doc_id AS sample_id, CASE p WHEN 0 THEN 'original.no_rewrite' ELSE 'p' || p END AS prompt_id, md5(array_to_string(documents, '|')) AS digest FROM c")
-def conditions_query(spark, d):
+#: the same over whole texts: three parts of about the same length, short texts included
+WHOLE_INSTANCES = "inst AS (SELECT doc_id, [substr(text, 1, k), substr(text, k + 1, k), substr(text, 2 * k + 1)] AS documents, CAST(doc_id % 3 AS INTEGER) AS t FROM (SELECT doc_id, coalesce(text, '') AS text, CAST((length(coalesce(text, '')) + 2) // 3 AS BIGINT) AS k FROM documents))"
+CONDITIONS = "c AS (SELECT doc_id, p, list_transform(documents, lambda d, i: CASE WHEN p > 0 AND i = t + 1 THEN 'rewrite ' || p || ': ' || d ELSE d END) AS documents FROM inst, range(3) r(p)) SELECT doc_id AS sample_id, CASE p WHEN 0 THEN 'original.no_rewrite' ELSE 'p' || p END AS prompt_id, md5(array_to_string(documents, '|')) AS digest FROM c"
+PROMPTS = "SELECT doc_id, 'Source 1:' || chr(10) || documents[1] || chr(10) || chr(10) || 'Source 2:' || chr(10) || documents[2]"
+
+
+def _prefixes(spark, d):
     docs = a.table(spark, d, "documents").where(F.length("text") > 120)
-    inst = docs.select(F.col("doc_id").alias("sample_id"), F.lit("b").alias("benchmark"), F.lit("d").alias("domain"), F.col("doc_id").cast("string").alias("instance_id"), F.lit("q").alias("query"), F.array(*[F.substring("text", i, 40) for i in (1, 41, 81)]).alias("documents"), (F.col("doc_id") % 3).cast("int").alias("target_document_index"))
+    return docs.select("doc_id", F.array(*[F.substring("text", i, 40) for i in (1, 41, 81)]).alias("documents"))
+
+
+def _thirds(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    k = F.ceil(F.length(t) / 3).cast("int")
+    return a.table(spark, d, "documents").select("doc_id", F.array(F.substring(t, F.lit(1), k), F.substring(t, k + 1, k), F.substring(t, k * 2 + 1, F.length(t))).alias("documents"))
+
+
+def _conditions(spark, docs):
+    inst = docs.select(F.col("doc_id").alias("sample_id"), F.lit("b").alias("benchmark"), F.lit("d").alias("domain"), F.col("doc_id").cast("string").alias("instance_id"), F.lit("q").alias("query"), "documents", (F.col("doc_id") % 3).cast("int").alias("target_document_index"))
     target = F.get("documents", F.col("target_document_index"))
     rewrites = checks.grid(spark, inst, prompt_id=("p1", "p2")).select("sample_id", "prompt_id", target.alias("source_text"), F.concat(F.lit("rewrite "), F.right("prompt_id", F.lit(1)), F.lit(": "), target).alias("rewritten_text"))
     out = conditions.build(inst.drop("documents"), inst.drop("sample_id", "target_document_index", "query"), rewrites, ("p1", "p2"), imp.ORIGINAL, strict=False)
     return out.select("sample_id", "prompt_id", F.md5(F.array_join("documents", "|")).alias("digest"))
 
 
-@query("source_prompts", f"WITH {INSTANCES} SELECT doc_id, 'Source 1:' || chr(10) || documents[1] || chr(10) || chr(10) || 'Source 2:' || chr(10) || documents[2] AS sources, '[1], [2]' AS labels FROM inst")
+@query("conditions", f"WITH {INSTANCES}, {CONDITIONS}")
+def conditions_query(spark, d):
+    return _conditions(spark, _prefixes(spark, d))
+
+
+@query("conditions_whole", f"WITH {WHOLE_INSTANCES}, {CONDITIONS}")
+def conditions_whole(spark, d):
+    return _conditions(spark, _thirds(spark, d))
+
+
+@query("source_prompts", f"WITH {INSTANCES} {PROMPTS} AS sources, '[1], [2]' AS labels FROM inst")
 def source_prompts(spark, d):
-    x = a.table(spark, d, "documents").where(F.length("text") > 120).select("doc_id", F.array(F.substring("text", 1, 40), F.substring("text", 41, 40)).alias("d"))
+    x = _prefixes(spark, d).select("doc_id", F.slice("documents", 1, 2).alias("d"))
     return x.select("doc_id", source_blocks("d").alias("sources"), source_labels("d").alias("labels"))
 
 
+@query("source_prompts_whole", f"WITH {WHOLE_INSTANCES} {PROMPTS} || chr(10) || chr(10) || 'Source 3:' || chr(10) || documents[3] AS sources, '[1], [2], [3]' AS labels FROM inst")
+def source_prompts_whole(spark, d):
+    return _thirds(spark, d).select("doc_id", source_blocks("documents").alias("sources"), source_labels("documents").alias("labels"))
+
+
 @query("prefix_truncation")
 def prefix_truncation(spark, d):
     half = F.ceil(F.length("text") / 2).cast("int")
