@@ -3,7 +3,10 @@
 import hashlib
 import random
 
+from visiloom.operators import improvement as imp
 from visiloom.operators import sampling
+from visiloom.operators.bootstrap import interval, stable_seed
+from visiloom.plans import adapters as a
 from visiloom.plans import catalog
 
 
@@ -51,3 +54,13 @@ def test_conditions_of_whole_texts(spark, tmp_path):
     got = catalog.QUERIES["conditions_whole"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.sample_id, r.prompt_id): r.digest for r in got} == want
     assert {r.doc_id: r.sources for r in catalog.QUERIES["source_prompts_whole"](spark, str(tmp_path)).collect()} == prompts
+
+
+def test_bootstrap_has_the_reference_resamples(spark):
+    d = "/root/testdata/sf0.001"
+    units = imp.units(a.scores(spark, d), original=a.ORIGINAL).toPandas()
+    got = catalog.QUERIES["bootstrap_ci"](spark, d).orderBy("benchmark", "model", "method").first()
+    key = (got.benchmark, got.model, got.method)
+    g = units[(units.benchmark == key[0]) & (units.model == key[1]) & (units.method == key[2])].sort_values("sample_id")
+    assert len(g) == got.n > 1
+    assert (got.objective_ci_low, got.objective_ci_high) == interval(g.objective.tolist(), 1000, stable_seed(20260906, f"{key}:objective"))

@@ -142,7 +142,7 @@ def heat(spark, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    return intervals(imp.units(a.scores(spark, d), original=a.ORIGINAL), ["benchmark", "model", "method"], ["objective", "subjective"], resamples=200)
+    return intervals(imp.units(a.scores(spark, d), original=a.ORIGINAL), ["benchmark", "model", "method"], ["objective", "subjective"])
 
 
 # --- accounting ------------------------------------------------------------------------------------------------------
