@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 from visiloom.operators import improvement as imp
 from visiloom.operators import sampling
 from visiloom.operators.bootstrap import interval, stable_seed
@@ -64,3 +65,13 @@ def test_bootstrap_has_the_reference_resamples(spark):
     g = units[(units.benchmark == key[0]) & (units.model == key[1]) & (units.method == key[2])].sort_values("sample_id")
     assert len(g) == got.n > 1
     assert (got.objective_ci_low, got.objective_ci_high) == interval(g.objective.tolist(), 1000, stable_seed(20260906, f"{key}:objective"))
+
+
+def test_all_identity_patterns(spark, tmp_path):
+    text = "a.b@c.org, https://github.com/some-one/x; /home/user/y and C:\\Users\\me.\nAcknowledgements: a friend"
+    spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.kind, r.found) for r in catalog.QUERIES["identity_scan_all"](spark, str(tmp_path)).collect()}
+    want = {("email", "a.b@c.org"), ("code_host", "https://github.com/some-one"), ("absolute_path", "/home/user"), ("absolute_path", "C:\\Users\\me."), ("acknowledgement", "Acknowledgements")}
+    assert got == {(1, *w) for w in want}
+    found = duckdb.connect().execute(f"WITH documents AS (FROM '{tmp_path}/documents.parquet/*.parquet') {catalog.ORACLE_SQL['identity_scan_all']}").fetchall()
+    assert set(found) == got

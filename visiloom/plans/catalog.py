@@ -622,6 +622,11 @@ def identity_scan(spark, d):
     return texts.identity_matches(a.table(spark, d, "documents"), "doc_id", "text", {"email": texts.IDENTITY["email"]})
 
 
+@query("identity_scan_all", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS found FROM documents" for k, p in texts.IDENTITY.items()))
+def identity_scan_all(spark, d):
+    return texts.identity_matches(a.table(spark, d, "documents"), "doc_id", "text")
+
+
 REPEAT = r"""WITH l AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\r\n|[\n\r]')), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS u FROM documents), p AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\n\s*\n')), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS u FROM documents),
 c AS (SELECT doc_id, 'l' AS kind, u, count(*) AS n FROM l WHERE length(u) >= 80 GROUP BY ALL UNION ALL SELECT doc_id, 'p', u, count(*) FROM p WHERE length(u) >= 80 GROUP BY ALL), g AS (SELECT doc_id, sum(CASE WHEN kind = 'p' THEN n - 1 ELSE 0 END) AS more, max(CASE WHEN n >= 2 THEN n END) AS top FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST((SELECT count(*) FROM p WHERE p.doc_id = d.doc_id AND u <> '') AS INTEGER) AS paragraph_count, CAST(coalesce(more, 0) AS BIGINT) AS duplicate_long_paragraphs, coalesce(top, 0) AS max_identical_units FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
