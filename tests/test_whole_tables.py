@@ -4,8 +4,8 @@ import hashlib
 import random
 
 import duckdb
+from visiloom.operators import generation, sampling
 from visiloom.operators import improvement as imp
-from visiloom.operators import sampling
 from visiloom.operators.bootstrap import interval, stable_seed
 from visiloom.plans import adapters as a
 from visiloom.plans import catalog
@@ -75,3 +75,16 @@ def test_all_identity_patterns(spark, tmp_path):
     assert got == {(1, *w) for w in want}
     found = duckdb.connect().execute(f"WITH documents AS (FROM '{tmp_path}/documents.parquet/*.parquet') {catalog.ORACLE_SQL['identity_scan_all']}").fetchall()
     assert set(found) == got
+
+
+def test_stages_get_whole_texts(spark, tmp_path, monkeypatch):
+    class Whole(generation.Stub):
+        def generate(self, stage_id, messages, max_new_tokens, seed):
+            if not messages[-1]["content"].startswith("word " * 100):
+                raise ValueError("a cut text")
+            return super().generate(stage_id, messages, max_new_tokens, seed)
+
+    monkeypatch.setattr(generation, "Stub", Whole)
+    spark.createDataFrame([(1, "word " * 100)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["stage_methods"](spark, str(tmp_path)).first()
+    assert (got.calls, got.ok) == (3, True)

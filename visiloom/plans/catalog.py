@@ -670,9 +670,13 @@ def generation_query(spark, d):
     return checks.histogram(generation.generated(rows, ["sample_id", "answer_seed"], generation.Stub, "answer", 16, budget=3), "error_type")
 
 
+def _two_stages():
+    return generation.Method("two", [generation.Stage("queries", lambda t, o, i: t), generation.Stage("final", lambda t, o, i: t + o["queries"][0], 2)])
+
+
 @query("stage_methods")
 def stage_methods(spark, d):
-    m = generation.Method("two", [generation.Stage("queries", lambda t, o, i: t[:50]), generation.Stage("final", lambda t, o, i: t[:50] + o["queries"][0], 2)])
+    m = _two_stages()
     docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("two").alias("method_id"), F.coalesce("text", F.lit("")).alias("source_text"))
     out = generation.rewritten(docs, {"two": m}, generation.Stub)
     return out.select("sample_id", F.size("stage_records").alias("calls"), F.col("error").isNull().alias("ok"))
