@@ -5,7 +5,7 @@ mass goes to unseen continuations by exactly normalised backoff weights. P(w | h
 alpha(h) P(w | shorter h), down to the discounted unigrams, whose freed mass is the probability of the one unknown token.
 
 Round n of the evaluation is the n-gram level. A block knows, for each of its tokens, the probability P at the level
-below; it sends its distinct n-grams (history, word, training count, P) to the partitioned count table by history. There
+below; it sends its distinct n-grams (history, word, training count, P) to tasks that are dealt out by history. There
 counts are summed, and for every history the backoff mass and the sum of the lower-level P over its seen words. The
 answers (counts; backoff data where a block has unseen n-grams) go back to the block, which evaluates the next level.
 Questions carry each n-gram of a block once, as ids that the unigram
@@ -207,7 +207,7 @@ def unigram_answers(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _count_grams(level: int, model: Model):
-    """The partitioned count table's part of one bucket."""
+    """Counts of one bucket, which exist only here, and the answers for each block."""
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         h, w, p, n, hot, sizes = [], [], [], [], [], []
@@ -334,7 +334,7 @@ def _totals(answers: DataFrame, level: int) -> list[int]:
 
 
 class KatzScorer:
-    """Trains on the rows whose `held` flag is false and scores all; `table` is where counts and answers are, by level."""
+    """Trains on the rows whose `held` flag is false and scores all; `table` is where the answers for its blocks are, by level: neither n-grams nor backoff weights are kept."""
 
     def __init__(self, docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text", held: str = "held_out", bucket_tokens: int = BUCKET_TOKENS, block_bytes: int = BLOCK_BYTES, hot_least: int = 1000):
         spark = docs.sparkSession
