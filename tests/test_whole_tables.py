@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import duckdb
-from visiloom.operators import generation, sampling
+from visiloom.operators import generation, sampling, texts
 from visiloom.operators import improvement as imp
 from visiloom.operators.bootstrap import interval, stable_seed
 from visiloom.plans import adapters as a
@@ -31,8 +31,8 @@ def test_order_across_ranges(spark):
 
 
 def test_truncation_keeps_all_rows_and_whole_texts(spark, tmp_path):
-    texts = {1: "ab " * 50, 2: None, 3: "", 4: "x", 5: "abc " * 5_000}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = {1: "ab " * 50, 2: None, 3: "", 4: "x", 5: "abc " * 5_000}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in catalog.QUERIES["prefix_truncation"](spark, str(tmp_path)).collect()}
     assert {i: (got[i].keep_fraction, got[i].tokens_after) for i in (1, 2, 3, 4)} == {1: (1.0, 50), 2: (1.0, 0), 3: (1.0, 0), 4: (1.0, 1)}
     # of 5,000 words 300 may stay; of the first 8,000 characters it would be 300 of 2,000
@@ -40,10 +40,10 @@ def test_truncation_keeps_all_rows_and_whole_texts(spark, tmp_path):
 
 
 def test_conditions_of_whole_texts(spark, tmp_path):
-    texts = {0: "é" * 100 + "b" * 100 + "c" * 101, 1: "short", 2: "", 3: None, 4: "xy" * 4_000}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = {0: "é" * 100 + "b" * 100 + "c" * 101, 1: "short", 2: "", 3: None, 4: "xy" * 4_000}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want, prompts = {}, {}
-    for i, t in texts.items():
+    for i, t in docs.items():
         t = t or ""
         k = -(-len(t) // 3)
         parts = [t[:k], t[k : 2 * k], t[2 * k :]]
@@ -77,6 +77,13 @@ def test_all_identity_patterns(spark, tmp_path):
     assert set(found) == got
 
 
+def test_identity_patterns_find_what_the_reference_finds(spark):
+    text = "see github.com/some-one, ACKNOWLEDGMENT, AcknowledgeMents and /Users/ here"
+    df = spark.createDataFrame([(1, text)], "k long, t string")
+    want = {("code_host", "github.com/some-one"), ("acknowledgement", "ACKNOWLEDGMENT"), ("acknowledgement", "AcknowledgeMents"), ("absolute_path", "/Users/")}
+    assert {(r.kind, r.found) for r in texts.identity_matches(df, "k", "t").collect()} == want
+
+
 def test_stages_get_whole_texts(spark, tmp_path, monkeypatch):
     class Whole(generation.Stub):
         def generate(self, stage_id, messages, max_new_tokens, seed):

@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 # The identity patterns, in the common subset of regular expression dialects.
 IDENTITY = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "code_host": r"https?://(?:www\.)?(?:github|gitlab|bitbucket)\.(?:com|org)/[A-Za-z0-9_.-]+",
-    "absolute_path": r"(?:/home/|/Users/|C:\\Users\\)[A-Za-z0-9_.-]+",
-    "acknowledgement": r"(?:Acknowledg(?:e)?ments?|acknowledg(?:e)?ments?)",
+    "code_host": r"(?:https?://)?(?:www\.)?(?:github|gitlab|bitbucket)\.(?:com|org)/[A-Za-z0-9_.-]+",
+    "absolute_path": r"(?:/home/|/Users/|C:\\Users\\)[A-Za-z0-9_.-]*",
+    "acknowledgement": r"(?i:acknowledg(?:e)?ments?)",
 }
 
 
