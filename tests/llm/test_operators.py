@@ -141,7 +141,7 @@ def test_token_shards(spark, odd_documents):
     dictionary = token_shards.fitted_dictionary(docs, "byte_bpe_50k.json", 0)
     path = scratch(spark, "t")
     token_shards.write_shards(docs, path, dictionary)
-    got = token_shards.read_shards(spark, path, dictionary).collect()
+    got = token_shards.read_shards(spark, path).collect()
     of = token_shards.Encoder("byte_bpe_50k.json", 0).of
     ids = [(i, of.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in rows_of(docs, "doc_id", "text")]
     want = Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
@@ -150,14 +150,25 @@ def test_token_shards(spark, odd_documents):
     assert [r.start for r in order] == list(np.cumsum([0] + [r.n_tokens for r in order])[:-1])
     known = [r.doc_id for r in order if r.doc_id is not None]
     assert known == sorted(known)
-    shard = spark.read.schema(token_shards.SHARDS).parquet(path).first()
+    # single documents, from the path alone
+    read = Counter((r.doc_id, tuple(r.ids)) for r in token_shards.documents(spark, path, [5, 83, 9999]).collect())
+    assert read == Counter((i, tuple(x)) for i, x in ids if i in (5, 83))
+    shard = spark.read.parquet(f"{path}/shards").first()
     one = token_shards.Shard(bytes(shard.data), dictionary)
     assert len(one.document(0)) == 4 * int(one.counts[0])
     with pytest.raises(ValueError, match="dictionary"):
         token_shards.Shard(bytes(shard.data), dictionary + b"x")
     empty = scratch(spark, "t")
     token_shards.write_shards(docs.limit(0), empty, b"")
-    assert token_shards.read_shards(spark, empty, b"").count() == 0
+    assert token_shards.read_shards(spark, empty).count() == 0
+
+
+def test_dictionary_takes_whole_documents(spark, odd_documents):
+    """The same bytes however rows are dealt out, though ids repeat; nothing of a text is cut off."""
+    docs = odd_documents.select("doc_id", "text")
+    more = docs.unionByName(docs.select("doc_id", F.concat("text", F.lit(" more")).alias("text")))
+    one = token_shards.fitted_dictionary(more.repartition(5, "text"), "byte_bpe_50k.json", 0)
+    assert one and one == token_shards.fitted_dictionary(more.coalesce(1), "byte_bpe_50k.json", 0)
 
 
 # --- toxicity

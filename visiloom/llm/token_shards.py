@@ -3,16 +3,18 @@
 A shard is one binary value: the magic, the SHA-256 of the dictionary, the number of documents n, n + 1 little-endian
 64-bit frame offsets, n 32-bit token counts, then the frames (ids as little-endian unsigned 32-bit integers). `Shard`
 opens one and reads single documents without decompressing others; it refuses a dictionary with another hash. Spark's own
-writers store shards (rows of Parquet: partition, shard number, first token within the partition, document ids, bytes), so
-any shared store works; documents are in ascending id order over partitions and shards.
+writers store shards (rows of Parquet: partition, shard number, first token within the partition, least and greatest
+document id, document ids, bytes) and, beside them, the dictionary, so any shared store works and a path is all that a
+reader needs; documents are in ascending id order over partitions and shards.
 
-The dictionary is fitted on a bounded sample (`SAMPLE` documents of lowest id hash, `SAMPLE_BYTES` of each); everything
-else covers all rows. A null text counts as empty: only the end id. Null ids come first; rows with equal ids keep their
+The dictionary is fitted on a bounded sample (whole documents of lowest id hash: `SAMPLE` of them, and no more than
+`SAMPLE_BYTES` in all); everything else covers all rows. A null text counts as empty: only the end id. Null ids come first; rows with equal ids keep their
 own entries, in input order among them; an empty table gives no shards. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -21,118 +23,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import CHUNK, MARKS, parts
-from .common import partitions, scratch, slices, small_batches
+from .arrays import buffer_of
+from .chunks import ChunkIds
+from .common import partitions, scratch, slices, small_batches, stored
 
 MAGIC = b"VLTOK1\0\0"
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 1 << 14, 1 << 16
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 16 << 20, 1 << 16
 SHARD_BYTES, PIECE = 4 << 20, 1 << 20
-CHUNKS = 1_600_000
-SHARDS = "part int, shard int, first long, doc_ids binary, n_docs long, n_tokens long, data binary"
-
-
-class _Places(dict):
-    """Chunk to its number; a chunk that is asked for the first time gets the next one and waits in `new`."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.new.append(chunk)
-        return n
+CHUNKS = 2_000_000
+SHARDS = "part int, shard int, first long, least {id}, most {id}, doc_ids binary, n_docs long, n_tokens long, data binary"
 
 
 class Encoder:
-    """The tokenizers library on distinct chunks; a chunk's ids don't depend on its neighbours (bpe.CHUNK).
-
-    Ids of all chunks so far lie in one array; a text is gathered from it."""
+    """The tokenizers library on distinct chunks; a chunk's ids don't depend on its neighbours (`chunks`)."""
 
     def __init__(self, name: str, end_id: int):
         self.of = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
         added = [t.content for t in self.of.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.end = end_id
+        self.end = np.array([end_id], dtype="<u4")
         (self.newline,) = self.of.encode("\n", add_special_tokens=False).ids
-        self.mark = {m: self.of.encode(m, add_special_tokens=False).ids[0] for m in MARKS}
-        self.forget()
-
-    def forget(self) -> None:
-        self.places, self.flat, self.used = _Places(), np.zeros(1 << 16, dtype="<u4"), 0
-        self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-
-    def _keep(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
-        """The chunks of these numbers have these ids, one after another."""
-        while len(self.places) > len(self.start):
-            self.start, self.length = np.append(self.start, self.start), np.append(self.length, self.length)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, self.flat)
-        self.start[numbers] = self.used + np.cumsum(lengths) - lengths
-        self.length[numbers] = lengths
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of these chunks, and where each begins."""
-        lengths = self.length[places]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[np.repeat(self.start[places] - upto[:-1], lengths) + np.arange(upto[-1])], upto
-
-    def _learn(self) -> None:
-        """Encodes the waiting chunks in one call: a newline between two of them is a piece, and so an id, of its own."""
-        places = self.places
-        new, places.new = places.new, []
-        plain, marked, spaces = [], [], []
-        for n, c in enumerate(new, len(places) - len(new)):
-            if c.isspace():
-                spaces.append((n, self.of.encode(c, add_special_tokens=False).ids))
-            elif c[-1] in MARKS and c[:-1].lstrip(" ").isalpha():  # a word, then one mark: two pieces
-                marked.append((n, c))
-            else:
-                plain.append((n, c))
-        bases = np.array([places[c[:-1]] for _, c in marked], dtype=np.int64)
-        plain += enumerate(places.new, len(places) - len(places.new))
-        places.new = []
+        self.known = ChunkIds(self._learnt, CHUNKS)
+
+    def _learnt(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes new chunks in one call: a newline between two of them is a piece, and so an id, of its own."""
+        texts = [c.decode() for c in chunks]
+        spaces = {n: self.of.encode(t, add_special_tokens=False).ids for n, t in enumerate(texts) if t.isspace()}
+        plain = [t for n, t in enumerate(texts) if n not in spaces]
+        lengths, ids = np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.uint32)
         if plain:
-            ids = np.array(self.of.encode_batch_fast(["\n".join([c for _, c in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.of.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             cuts = np.append(np.flatnonzero(ids == self.newline), len(ids))
             if len(cuts) != len(plain):
                 raise ValueError("chunks and ids don't match")
-            self._keep(np.array([n for n, _ in plain]), np.diff(cuts, prepend=-1) - 1, ids[ids != self.newline])
-        for n, own in spaces:
-            self._keep(np.array([n]), np.array([len(own)]), np.array(own, dtype="<u4"))
-        if marked:
-            ids, upto = self._gathered(bases)
-            self._keep(np.array([n for n, _ in marked]), np.diff(upto) + 1, np.insert(ids, upto[1:], [self.mark[c[-1]] for _, c in marked]))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers, with the end id."""
-        if len(self.places) > CHUNKS:
-            self.forget()
-        chunks: list[str] = []
-        counts, whole = [], {}
-        for i, t in enumerate(texts):
-            before = len(chunks)
-            if self.added and self.added.search(t):  # these are found in whole texts
-                whole[i] = np.array([*self.of.encode(t, add_special_tokens=False).ids, self.end], dtype="<u4").tobytes()
-            else:
-                for p in parts(t):
-                    chunks += CHUNK.findall(p)
-            counts.append(len(chunks) - before)
-        places = np.fromiter(map(self.places.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        if self.places.new:
-            self._learn()
-        ids, upto = self._gathered(places)
-        cuts = upto[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        end, raw = np.array([self.end], dtype="<u4").tobytes(), ids.tobytes()
-        return [whole[i] if i in whole else raw[4 * a : 4 * b] + end for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            lengths[[n for n in range(len(texts)) if n not in spaces]] = np.diff(cuts, prepend=-1) - 1
+            ids = ids[ids != self.newline]
+        if spaces:
+            where = (np.cumsum(lengths) - lengths)[list(spaces)]
+            ids = np.insert(ids, np.repeat(where, [len(x) for x in spaces.values()]), [i for x in spaces.values() for i in x])
+            lengths[list(spaces)] = [len(x) for x in spaces.values()]
+        return lengths, ids
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids as little-endian 32-bit integers, with the end id; null counts as empty."""
+        whole = {}
+        if self.added:  # these are found in whole texts
+            marked = pc.fill_null(pc.match_substring_regex(texts, self.added.pattern), False)
+            whole = {i: self.of.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(np.asarray(marked)).tolist()}
+        ids, upto = self.known.ids(*buffer_of(texts))
+        raw, end, cuts = ids.astype("<u4").tobytes(), self.end.tobytes(), (4 * upto).tolist()
+        return [(np.array(whole[i], dtype="<u4").tobytes() if i in whole else raw[a:b]) + end for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -172,16 +119,23 @@ class Shard:
 
 
 def fitted_dictionary(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> bytes:
-    """At most DICTIONARY_BYTES, from at most SAMPLE documents; empty where the sample is too small to train on."""
+    """At most DICTIONARY_BYTES; empty where the sample is too small to train on. Of rows that share an id the one of least length, then text hash, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, end_id)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in e.encode_all([x or "" for x in batch.column(0).to_pylist()])], pa.binary())], names=["ids"])
-
-    ids = docs.select(F.col(doc_id).alias("i")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
-    sample = docs.join(F.broadcast(ids.distinct()), docs[doc_id].eqNullSafe(ids["i"])).select(F.substring(text, 1, SAMPLE_BYTES).alias("t"))
-    found = [bytes(r.ids) for r in sample.limit(4 * SAMPLE).mapInArrow(run, "ids binary").collect()]
+            yield pa.RecordBatch.from_arrays([pa.array(e.encode_all(batch.column(0)), pa.binary())], names=["ids"])
+
+    ids = docs.select(F.col(doc_id).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
+    named = docs.select(F.col(doc_id).alias("i"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(ids), "i")
+    least = F.min(F.struct(F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"), "t")).alias("x")
+    sample = stored(named.groupBy("i").agg(least).select(F.xxhash64("i").alias("h"), "i", "x.n", "x.t"), "sample")
+    chosen, total = [], 0
+    for r in sorted(sample.select("h", "i", "n").collect(), key=lambda r: (r.h, r.i)):
+        if total + r.n <= SAMPLE_BYTES:
+            chosen.append(r.i)
+            total += r.n
+    found = [bytes(r.ids) for r in sample.where(F.col("i").isin(chosen)).select("t").mapInArrow(run, "ids binary").collect()]
     found.sort()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, found, level=3).as_bytes()
@@ -190,7 +144,9 @@ def fitted_dictionary(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str
 
 
 def write_shards(docs: DataFrame, path: str, dictionary: bytes, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes the shards under `path`, by ranges of document ids."""
+    """Writes the shards, by ranges of document ids, and the dictionary under `path`."""
+    spark = docs.sparkSession
+    spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     digest = hashlib.sha256(dictionary).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +167,15 @@ def write_shards(docs: DataFrame, path: str, dictionary: bytes, tokenizer: str =
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("doc_id", kind)])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, kind)], names=["doc_id"]))
-            values = [[part], [shard], [first], [sink.getvalue().to_pybytes()], [len(ids)], [sum(counts)], [build(frames, counts, digest)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "shard", "first", "doc_ids", "n_docs", "n_tokens", "data"])
+            known = [i for i in ids if i is not None]
+            values = [part, shard, first, known[0] if known else None, known[-1] if known else None, sink.getvalue().to_pybytes(), len(ids), sum(counts), build(frames, counts, digest)]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), kind, kind, pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["part", "shard", "first", "least", "most", "doc_ids", "n_docs", "n_tokens", "data"])
 
         for batch in batches:
             kind = batch.column(0).type
             for piece in slices(batch, 1, PIECE):
-                for i, raw in zip(piece.column(0).to_pylist(), e.encode_all([x or "" for x in piece.column(1).to_pylist()])):
+                for i, raw in zip(piece.column(0).to_pylist(), e.encode_all(piece.column(1))):
                     ids.append(i)
                     counts.append(len(raw) // 4)
                     frames.append(squeeze.compress(raw))
@@ -230,17 +188,42 @@ def write_shards(docs: DataFrame, path: str, dictionary: bytes, tokenizer: str =
         if ids:
             yield row()
 
-    small_batches(docs.sparkSession)
-    n = partitions(docs.sparkSession)
+    small_batches(spark)
+    n = partitions(spark)
     # rows that share an id are told apart by their place, so that many of them are no one task's; range sampling then reads no texts
     placed = docs.select(doc_id, text, F.monotonically_increasing_id().alias("place_"))
     order = (F.col(doc_id).asc_nulls_first(), F.col("place_").asc())
-    placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(doc_id, text).mapInArrow(run, SHARDS).write.parquet(path)
+    placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(doc_id, text).mapInArrow(run, SHARDS.format(id=docs.schema[doc_id].dataType.simpleString())).write.parquet(f"{path}/shards")
+
+
+def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    return spark.read.parquet(f"{path}/shards"), bytes(spark.read.parquet(f"{path}/dictionary").first().data)
+
+
+def _ids(blob: bytes) -> pa.Array:
+    return pa.ipc.open_stream(blob).read_all().column(0).combine_chunks()
+
+
+def documents(spark: SparkSession, path: str, wanted: list) -> DataFrame:
+    """doc_id, ids of the documents of these ids: only shards whose range holds one are read, and only those frames decompressed."""
+    shards, dictionary = _opened(spark, path)
+    kind = shards.schema["least"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, data in zip(batch.column(0), batch.column(1)):
+                ids = _ids(blob.as_py())
+                at = np.flatnonzero(np.asarray(pc.is_in(ids, pa.array(wanted, ids.type))))
+                shard = Shard(data.as_py(), dictionary)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array([np.frombuffer(shard.document(i), "<u4").astype(np.int64) for i in at.tolist()], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    near = functools.reduce(lambda a, b: a | b, [F.lit(w).between(F.col("least"), F.col("most")) for w in wanted], F.lit(False))
+    return shards.where(near).select("doc_ids", "data").mapInArrow(run, f"doc_id {kind}, ids array<long>")
 
 
-def read_shards(spark: SparkSession, path: str, dictionary: bytes, doc_id_type: str = "long") -> DataFrame:
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    shards = spark.read.schema(SHARDS).parquet(path)
+    shards, dictionary = _opened(spark, path)
     # one row for each partition of the writer: as many as its setting says, however large the corpus
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
     before, at = {}, 0
@@ -253,12 +236,12 @@ def read_shards(spark: SparkSession, path: str, dictionary: bytes, doc_id_type:
             for k in range(batch.num_rows):
                 part, first, ids, data = (batch.column(j)[k].as_py() for j in range(4))
                 shard = Shard(data, dictionary)
-                ids = pa.ipc.open_stream(ids).read_all().column(0).combine_chunks()
+                ids = _ids(ids)
                 ends = np.cumsum(shard.counts, dtype=np.int64)
                 crcs = [zlib.crc32(shard.document(i)) for i in range(shard.n)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(before[part] + first + ends - shard.counts, pa.int64()), pa.array(shard.counts.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "first", "doc_ids", "data").mapInArrow(run, f"doc_id {doc_id_type}, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "first", "doc_ids", "data").mapInArrow(run, f"doc_id {shards.schema['least'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,4 +249,4 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionary = fitted_dictionary(docs, "byte_bpe_50k.json", 0)
     path = scratch(spark, "shards")
     write_shards(docs, path, dictionary)
-    return read_shards(spark, path, dictionary, docs.schema["doc_id"].dataType.simpleString())
+    return read_shards(spark, path)
