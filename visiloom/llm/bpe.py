@@ -5,6 +5,10 @@ stays apart from the last token of what is before it when the two are encoded to
 token for each prefix, so a piece can grow at its end without being encoded anew, and the ids are read backwards from it.
 `EncodedText` keeps whole texts that way: appends and edits encode only the chunks around them.
 
+Whole texts are cut into chunks that don't depend on their neighbours (`chunks`); only chunks that a worker hasn't met are
+encoded, and ids are gathered, and decoded, a piece of about 1 MB at a time. Ids of a piece that don't decode to its bytes
+(hashes of chunks that clash) are made anew without the kept ones.
+
 Rows: a null text counts as empty (no ids; digests of the empty string). Texts of any length are read in pieces of about
 1 MB cut before a lone space, which never changes the ids. Repeated rows give repeated results; an empty table gives none;
 columns other than the id and the text are not read.
@@ -17,24 +21,24 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .arrays import release
-from .common import small_batches
+from .arrays import buffer_of, release
+from .chunks import ChunkIds, gathered
+from .common import slices, small_batches
 
 #: White space as Unicode has it; Python's \s also takes the four separators from x1c to x1f.
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 CHUNK = re.compile(rf" ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+")
 SAFE = re.compile(rf"(?<={OTHER}) (?={OTHER})")
-#: Marks that are pieces of their own after a word.
-MARKS = ".,!?;:"
-LONG = 1 << 20
-#: Chunks kept by a worker (some 200 bytes each), and half as many prefixes and pairs; only speed depends on it.
-CHUNKS = 1_000_000
+LONG = PIECE = 1 << 20
+#: Chunks kept by a worker (some 30 bytes each), and a tenth as many prefixes and pairs; only speed depends on it.
+CHUNKS = 2_000_000
 
 
 def parts(text: str, most: int = LONG) -> Iterator[str]:
@@ -72,8 +76,11 @@ class PrefixBpe:
         #: Of byte prefixes seen lately, the last tokens up to there; and of pairs, whether they stay apart.
         self.prefixes: dict[bytes, list[int]] = {}
         self.apart: dict[int, bool] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.text_of = {str(i).encode(): b for b, i in ranks.items()}
+        self.known = ChunkIds(self._learnt, chunks)
+        #: Bytes of all tokens, and a space and the digits of all ids, end to end, with starts and lengths by id.
+        n = max(self.bytes_of, default=-1) + 1
+        self.raw = _laid([self.bytes_of.get(i, b"") for i in range(n)])
+        self.digits = _laid([b" %d" % i for i in range(n)])
 
     @classmethod
     def load(cls, name: str, chunks: int = CHUNKS) -> PrefixBpe:
@@ -98,9 +105,9 @@ class PrefixBpe:
     def extend(self, piece: bytes, last: list[int], start: int = 0) -> list[int]:
         """last[i]: the last token of piece[: i + 1]; appends those from `start` on, which must be len(last)."""
         get, reach, stored, known = self.ranks.get, self.longest.get, self.prefixes, self.apart
-        if len(stored) > self.most // 2:
+        if len(stored) > self.most // 10:
             stored.clear()
-        if len(known) > self.most // 2:
+        if len(known) > self.most // 10:
             known.clear()
         if not start:  # what is kept has each of its prefixes too, so the longest one is found by halving
             low, high = 0, min(len(piece), 63)
@@ -153,34 +160,32 @@ class PrefixBpe:
             ids += [token] if token is not None else self.read_back(raw, self.extend(raw, []))
         return ids
 
-    def learn(self, chunk: str) -> bytes:
-        if chunk[-1] in MARKS and chunk[:-1].lstrip(" ").isalpha():  # a word, then one mark: two pieces
-            out = (self.chunks.get(chunk[:-1]) or self.learn(chunk[:-1])) + b" %d" % self.ranks[chunk[-1].encode()]
-        else:
-            out = b"".join([b" %d" % i for i in self.encode_chunk(chunk)])
-        self.chunks[chunk] = out
-        return out
-
-    def decimal(self, text: str) -> bytes:
-        """Decimal ids, a space before each."""
-        known, found = self.chunks, CHUNK.findall(text)
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for c in found:
-                if c not in known:
-                    self.learn(c)
-            return b"".join(map(known.__getitem__, found))
+    def _learnt(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.encode_chunk(c.decode()) for c in chunks]
+        return np.array([len(x) for x in found]), np.array([i for x in found for i in x], dtype=np.uint32)
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and where those of each begin."""
+        buf, offsets = buffer_of(texts)
+        ids, upto = self.known.ids(buf, offsets)
+        raw, _ = gathered(*self.raw, ids)
+        if len(raw) == len(buf) and (raw == buf).all():
+            return ids, upto
+        lists = [self.encode(x.as_py() or "") for x in texts]
+        return np.array([i for x in lists for i in x], dtype=np.uint32), np.cumsum([0, *map(len, lists)])
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in parts(text) for i in map(int, self.decimal(part).split())]
+        return [i for part in parts(text) for c in CHUNK.findall(part) for i in self.encode_chunk(c)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _laid(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    length = np.array([len(v) for v in values], dtype=np.int64)
+    return np.frombuffer(b"".join(values), dtype=np.uint8), np.cumsum(length) - length, length
+
+
 class EncodedText:
     """A text with its ids by chunk. append() and edit() give exactly what encoding the new text would, from the chunks around the change."""
 
@@ -249,32 +254,32 @@ def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary, chunks)
-        of = bpe.text_of
         for batch in batches:
-            texts = batch.column(len(keep))
-            for at in range(0, len(texts), 256):
-                counts, digests, decoded, lists = [], [], [], []
-                for x in texts.slice(at, 256):
-                    n, a, b, got = 0, hashlib.sha256(), hashlib.sha256(), []
-                    for k, part in enumerate(parts(x.as_py() or "")):
-                        decimal = bpe.decimal(part)
-                        listed = decimal.split()
-                        a.update(decimal if n else decimal[1:])
-                        b.update(b"".join(map(of.__getitem__, listed)))
-                        n += len(listed)
-                        if ids:
-                            got += map(int, listed)
-                    counts.append(n)
-                    digests.append(a.hexdigest())
-                    decoded.append(b.hexdigest())
-                    lists.append(got)
-                columns = [batch.column(i).slice(at, 256) for i in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            for piece in slices(batch, len(keep), PIECE):
+                texts = piece.column(len(keep))
+                if piece.num_rows == 1 and len(texts[0].as_py() or "") > LONG:
+                    found = map(pa.array, ([p] for p in parts(texts[0].as_py())))
+                else:
+                    found = [texts]
+                a, b = ([hashlib.sha256() for _ in range(piece.num_rows)] for _ in range(2))
+                n, flat = np.zeros(piece.num_rows, dtype=np.int64), []
+                for some in found:  # the rows, or one after another the parts of a single long row
+                    given, upto = bpe.ids_of(some)
+                    for digests, laid, skip in ((a, bpe.digits, 1), (b, bpe.raw, 0)):
+                        data, at = gathered(*laid, given)
+                        cuts, view = at[upto].tolist(), memoryview(data)
+                        for i, digest in enumerate(digests):
+                            digest.update(view[cuts[i] + (skip if not n[i] and cuts[i + 1] > cuts[i] else 0) : cuts[i + 1]])
+                    n += np.diff(upto)
+                    if ids:
+                        flat.append(given.astype(np.int32))
+                columns = [piece.column(i) for i in range(len(keep))] + [pa.array(n), pa.array([x.hexdigest() for x in a], pa.string()), pa.array([x.hexdigest() for x in b], pa.string())]
                 if ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(flat))))
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
         if chunks < CHUNKS:  # a worker that has other things to do keeps nothing
             _loaded.pop((vocabulary, chunks), None)
-            del bpe, of
+            del bpe
             release()
 
     return docs.select(*keep, text).mapInArrow(run, out)
