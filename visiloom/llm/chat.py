@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import loaded, parts
-from .common import partitions
+from .bpe import PIECE, loaded
+from .chunks import gathered
+from .common import partitions, slices
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, END, ROLES = "<|im_start|>", "<|im_end|>", 1000
 CONTROL = re.compile(r"<(\\*)(?=\|im_(?:start|end)\|>)")
 ESCAPED = re.compile(r"<\\(\\*)(?=\|im_(?:start|end)\|>)")
 
@@ -38,6 +39,15 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"<\1", text)
 
 
+def role_line(role: str) -> str:
+    """A role as one line: its backslashes are doubled and its line ends written as \\n, so the first line end is the text's."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def role_of(line: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(line))
+
+
 class Template:
     """Token ids and mask of a turn: START role newline text END newline."""
 
@@ -47,33 +57,36 @@ class Template:
         self.start, self.end = n, n + 1
         self.newline = self.bpe.encode("\n")
         self.roles: dict[str, list[int]] = {}
-
-    def segment(self, text: str) -> np.ndarray:
-        return np.concatenate([np.array(self.bpe.decimal(p).split(), dtype=np.int64) if p else np.zeros(0, np.int64) for p in parts(text)])
-
-    def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-        head = self.roles.get(role)
-        if head is None:
-            head = self.roles[role] = [self.start, *self.bpe.encode(escape(role)), *self.newline]
-        body = self.segment(escape(text))
-        ids = np.concatenate([head, body, [self.end], self.newline]).astype(np.int64)
-        edges = np.zeros(len(ids) + 1, dtype=np.int64)
-        if role == "assistant":
-            edges[len(head)] += 1
-            edges[len(head) + len(body)] -= 1
-        return ids, np.cumsum(edges[:-1]).astype(bool)
+        #: Bytes of all tokens and of the two reserved ones, with starts and lengths by id.
+        flat, start, length = self.bpe.raw
+        gap = n - len(length)
+        self.raw = np.concatenate([flat, np.frombuffer((START + END).encode(), np.uint8)]), np.concatenate([start, [0] * gap, [len(flat), len(flat) + len(START)]]), np.concatenate([length, [0] * gap, [len(START), len(END)]])
+
+    def turns(self, roles: list[str], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and mask of each turn."""
+        bodies, upto = self.bpe.ids_of(pa.array([escape(t) for t in texts], pa.large_string()))
+        for role, a, b in zip(roles, upto[:-1], upto[1:]):
+            head = self.roles.get(role)
+            if head is None:
+                head = [self.start, *self.bpe.encode(role_line(role)), *self.newline]
+                if len(self.roles) < ROLES:
+                    self.roles[role] = head
+            ids = np.concatenate([head, bodies[a:b], [self.end], self.newline]).astype(np.int32)
+            edges = np.zeros(len(ids) + 1, dtype=np.int8)
+            if role == "assistant":
+                edges[len(head)] += 1
+                edges[len(head) + b - a] -= 1
+            yield ids, np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
 
     def text(self, ids: np.ndarray) -> str:
-        names = {self.start: START.encode(), self.end: END.encode()}
-        of = self.bpe.bytes_of
-        return b"".join(names.get(i) or of[i] for i in ids.tolist()).decode()
+        return gathered(*self.raw, ids)[0].tobytes().decode()
 
     def read(self, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[str, str, str]]:
         """Role, text and text under the mask of each turn, from ids and mask alone."""
         starts, ends = np.flatnonzero(ids == self.start), np.flatnonzero(ids == self.end)
         for a, b in zip(starts, ends):
             role, _, text = self.text(ids[a + 1 : b]).partition("\n")
-            yield unescape(role), unescape(text), unescape(self.text(ids[a : b + 1][mask[a : b + 1]]))
+            yield role_of(role), unescape(text), unescape(self.text(ids[a : b + 1][mask[a : b + 1]]))
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -88,10 +101,11 @@ def formatted(rows: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Template(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                turns = [made.turn(r, t) for r, t in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([i for i, _ in turns], pa.list_(pa.int32())), pa.array([m for _, m in turns], pa.list_(pa.bool_()))], names=["conv_id", "turn", "ids", "mask"])
+            for piece in slices(batch, 3, PIECE):
+                turns = list(made.turns(piece.column(2).to_pylist(), piece.column(3).to_pylist()))
+                ends = pa.array(np.cumsum([0, *(len(i) for i, _ in turns)]), pa.int32())
+                ids, masks = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in zip(*turns))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), ids, masks], names=["conv_id", "turn", "ids", "mask"])
 
     schema = rows.select("conv_id", "turn").schema.add("ids", T.ArrayType(T.IntegerType())).add("mask", T.ArrayType(T.BooleanType()))
     return in_order(rows).mapInArrow(run, schema)
