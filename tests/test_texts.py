@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visiloom.functions import citations
-from visiloom.functions.canonical import attach_detached, canonical_column, canonicalize, without_tails
+from visiloom.functions.canonical import LISTED, attach_detached, canonical_column, canonicalize, without_tails
 from visiloom.functions.contracts import diagnostics, optional_contract, strict_contract
 from visiloom.functions.jsontext import query_diagnosis, repair_format, repaired_json, strict_json, suggestions
 from visiloom.functions.scores import parsed_score
@@ -166,3 +166,19 @@ def test_json_shapes(spark):
     assert [g.valid for g in got] == [True, False, False, False, False] and got[1].distinct_count == 1
     s = '{"suggestions": [{"excerpt": "e", "suggestion": "s", "necessity": 60}]}'
     assert [g.valid for g in column(spark, [s, s.replace('"e"', '" "')], lambda c: suggestions(c, 3))] == [True, False]
+
+
+def test_numbers_of_any_length(spark):
+    """Numbers beyond 32 bits are out of range, not unknown; long ranges and thousands of digits cost nothing and don't fail."""
+    rows = [(1, "Text one [3000000000]."), (2, "Text [1][2]."), (3, "Text [00000000000000000000001]."), (4, f"Text [{'9' * 5000}]."), (5, "Text [1-3000000].")]
+    df = spark.createDataFrame(rows, "id int, answer string")
+    got = {r.id: r for r in df.select("id", citations.basic_diagnostics("answer", F.lit(5)).alias("b"), citations.strict_diagnostics("answer", F.lit(5)).alias("s")).collect()}
+    assert got[1].b.numeric_citations == [3000000000] == got[1].b.invalid_numeric_citations == got[1].s.invalid_numeric_citations
+    assert not got[1].b.citation_format_scorable and not got[1].s.contract_compliant and got[2].s.contract_compliant
+    assert got[3].b.numeric_citations == [1] and got[3].b.citation_format_scorable
+    assert got[4].b.invalid_numeric_citations == [citations.BEYOND] and not got[4].s.contract_compliant
+    assert got[5].b.numeric_citations == [1, 3000000]
+    for text, want, beyond in (("x [1-3000000].", "x [1][2][3][4][5].", 2999995), ("x [1-1000000000].", "x [1][2][3][4][5].", 999999995), ("x [0-2].", "x [1][2].", 1), (f"x [{'7' * 5000}][2].", "x [2].", 1), (f"x [{'7' * 5000}, 3].", "x [3].", 1)):
+        c = canonicalize(text, 5)
+        assert c["answer"] == want and c["action_counts"]["remove_invalid_or_out_of_range_label"] == beyond, (text[:20], c["answer"][:40])
+        assert len(c["out_of_range"]) == min(beyond, LISTED)

@@ -32,8 +32,23 @@ def _col(c: str | Column) -> Column:
 OTHER_DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 
 
+#: What numbers of more than 18 digits count as: beyond any source, like all numbers that long.
+BEYOND = 10**18
+
+
+def whole_number(digits: str) -> int:
+    return int(digits) if len(digits) <= 18 or len(digits := digits.lstrip("0")) <= 18 else BEYOND
+
+
 def _number(c: Column) -> Column:
-    return F.translate(c, OTHER_DIGITS, "0123456789" * 3).try_cast("int")
+    """Digits as a long; longer ones as BEYOND, none as null."""
+    digits = F.translate(c, OTHER_DIGITS, "0123456789" * 3)
+    return F.coalesce(F.least(digits.try_cast("long"), F.lit(BEYOND)), F.when(digits.rlike(r"^0*\d{19,}$"), F.lit(BEYOND)))
+
+
+def _index(c: Column) -> Column:
+    """A number as a source's; those that no source can have are null."""
+    return _number(c).try_cast("int")
 
 
 def _strip(c: Column) -> Column:
@@ -43,11 +58,11 @@ def _strip(c: Column) -> Column:
 def official_citations(text: str | Column) -> Column:
     """The first integer of every bracket that has digits and otherwise only marks."""
     found = F.regexp_extract_all(_col(text), F.lit(OFFICIAL), F.lit(0))
-    return F.transform(found, lambda m: _number(F.regexp_extract(m, r"(?U)\d+", 0)))
+    return F.transform(found, lambda m: _index(F.regexp_extract(m, r"(?U)\d+", 0)))
 
 
 def separate_citations(text: str | Column) -> Column:
-    return F.transform(F.regexp_extract_all(_col(text), F.lit(SEPARATE), F.lit(1)), _number)
+    return F.transform(F.regexp_extract_all(_col(text), F.lit(SEPARATE), F.lit(1)), _index)
 
 
 def cites(text: str | Column, k: str | Column) -> Column:
@@ -56,7 +71,7 @@ def cites(text: str | Column, k: str | Column) -> Column:
 
 
 def expanded_numbers(text: str | Column) -> Column:
-    """All numbers of [1], [1, 2] and [1-3] forms; a range gives its two ends."""
+    """All numbers of [1], [1, 2] and [1-3] forms, as longs; a range gives its two ends."""
     bodies = F.regexp_extract_all(_col(text), F.lit(NUMERIC), F.lit(1))
     parts = F.flatten(F.transform(bodies, lambda b: F.split(b, r"(?U)\s*[,\-]\s*")))
     return F.transform(parts, _number)

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import units
-from .citations import basic_diagnostics, strict_diagnostics
+from .citations import basic_diagnostics, strict_diagnostics, whole_number
 
 # The patterns of the two contracts.
 V2_END = re.compile(r"(?<=[.!?。！？])\s+(?=[A-Z0-9\"'“‘])")
@@ -41,7 +41,7 @@ class Unit:
 
     def __post_init__(self) -> None:
         self.tokens = list(TOKEN.finditer(self.text))
-        self.numbers = [int(t[1]) for t in self.tokens]
+        self.numbers = [whole_number(t[1]) for t in self.tokens]
         block = self.final.search(self.text)
         # all tokens lie in the block before the final mark, and there are some, all in range
         self.at_end = bool(block and self.tokens) and all(block.start(1) <= t.start() and t.end() <= block.end(1) for t in self.tokens)
@@ -100,7 +100,7 @@ def joined_units(answer: str, split=units.sentences) -> list[str]:
 
 
 def _invalid(answer: str, n: int) -> tuple[list[int], list[int]]:
-    numbers = [int(k) for k in TOKEN.findall(answer)]
+    numbers = [whole_number(k) for k in TOKEN.findall(answer)]
     return numbers, sorted({k for k in numbers if not 1 <= k <= n})
 
 
@@ -135,7 +135,7 @@ def strict_contract(answer: str, n: int) -> dict:
 
 def _schema(sample: dict) -> str:
     def kind(name: str, v) -> str:
-        return "boolean" if isinstance(v, bool) else "int" if isinstance(v, int) else "array<int>" if name in ("numeric_citations", "invalid_numeric_citations") else "array<string>"
+        return "boolean" if isinstance(v, bool) else "int" if isinstance(v, int) else "array<bigint>" if name in ("numeric_citations", "invalid_numeric_citations") else "array<string>"
 
     return "struct<" + ",".join(f"{k}:{kind(k, v)}" for k, v in sample.items()) + ">"
 
