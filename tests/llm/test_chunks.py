@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 
-from visiloom.llm.arrays import U, buffer_of
+from visiloom.llm.arrays import U, buffer_of, grouped
 from visiloom.llm.chunks import Numbers, chunk_starts, gathered
 
 ALPHABET = "aB3'.,- \n\t\x1c\x85\xa0\u1680\u2009\u2028\u202f\u205f\u3000\u2010éß×÷Ö́日$\x00"
@@ -39,3 +39,14 @@ def test_numbers_are_a_dict():
 def test_gathered():
     flat, at = gathered(np.arange(10), np.array([0, 3, 3]), np.array([2, 0, 4]), np.array([2, 1, 0, 0]))
     assert flat.tolist() == [3, 4, 5, 6, 0, 1, 0, 1] and at.tolist() == [0, 4, 4, 6, 8]
+
+
+def test_grouped():
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        n = int(rng.integers(1, 3000))
+        key = rng.integers(0, [5, 2**20, 2**63][k % 3], n).astype(U)
+        if k % 3 == 2:  # values that differ in bits which places displace
+            key[: n // 2] = key[0] + rng.integers(0, [3, 2000][k % 2], n // 2).astype(U)
+        first, group = grouped(key)
+        assert (key[first][group] == key).all() and len(np.unique(key)) == len(first)

@@ -13,13 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import release
 from .common import partitions, scratch, slices, small_batches
 
-TARGET = 4 << 20
+TARGET = 2 << 20
 SCHEMA = "part int, block long, size long, tokens long, payload binary"
 
 
@@ -34,15 +34,43 @@ def unpacked(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all().combine_chunks()
 
 
-def bucketed(df: DataFrame, label: str, column: str, n: int, sorted_: bool = False) -> DataFrame:
-    """Writes df as a table in the shared folder, bucketed by the column, and reads it."""
+def bucketed(df: DataFrame, label: str, column: str, n: int, sorted_: bool = False, path: str | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder (or at a path), bucketed by the column, and reads it."""
     spark: SparkSession = df.sparkSession
     name = f"visiloom_{label}_{uuid.uuid4().hex[:12]}"
-    writer = df.write.format("parquet").option("path", scratch(spark, label)).bucketBy(n, column)
+    writer = df.write.format("parquet").option("path", path or scratch(spark, label)).bucketBy(n, column)
     (writer.sortBy(column) if sorted_ else writer).saveAsTable(name)
     return spark.table(name)
 
 
+def bucketed_at(spark: SparkSession, label: str, path: str, schema: str, column: str, n: int) -> DataFrame:
+    """Reads what bucketed() has sorted and written there in an earlier session."""
+    name = f"visiloom_{label}_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({column}) SORTED BY ({column}) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def part_of(block: str) -> Column:
+    return F.shiftright(block, 32).cast("int")
+
+
+class Answers:
+    """Rows for blocks by level, in a table that is bucketed as the blocks are: each row is moved once, when it is written."""
+
+    def __init__(self, blocks: DataFrame, label: str):
+        self.spark, self.n = blocks.sparkSession, partitions(blocks.sparkSession)
+        self.name, self.path = f"visiloom_{label}_{uuid.uuid4().hex[:12]}", scratch(self.spark, label)
+
+    def add(self, rows: DataFrame) -> None:
+        """rows have a level, and a block or, where that is null, a bucket."""
+        part = F.coalesce(part_of("block"), F.pmod("bucket", F.lit(self.n)))
+        moved = rows.withColumn("part", part).repartition(self.n, "part")
+        moved.write.format("parquet").option("path", self.path).option("compression", "uncompressed").mode("append").partitionBy("level").bucketBy(self.n, "part").saveAsTable(self.name)
+
+    def upto(self, level: int) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("level") <= level)
+
+
 def as_is(rows: pa.Table) -> tuple[bytes, int]:
     return packed(rows), 0
 
@@ -76,7 +104,7 @@ def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callabl
 
 
 def answered(blocks: DataFrame, answers: DataFrame, run: Callable[[int, bytes, pa.Table], pa.Table], schema) -> DataFrame:
-    """run(block, payload, answer rows) for every block, one after another; the answers have a column block."""
+    """run(block, payload, answer rows) for every block, one after another; the answers have a column block, and those of a table that is bucketed like the blocks their part too, so that they don't move."""
 
     def both(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("block")
@@ -88,5 +116,5 @@ def answered(blocks: DataFrame, answers: DataFrame, run: Callable[[int, bytes, p
             release()
         return pa.concat_tables(out)
 
-    asked = answers.withColumn("part", F.shiftright("block", 32).cast("int"))
+    asked = answers if "part" in answers.columns else answers.withColumn("part", part_of("block"))
     return blocks.select("part", "block", "payload").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(both, schema)
