@@ -5,12 +5,12 @@ mass goes to unseen continuations by exactly normalised backoff weights. P(w | h
 alpha(h) P(w | shorter h), down to the discounted unigrams, whose freed mass is the probability of the one unknown token.
 
 Round n of the evaluation is the n-gram level. A block knows, for each of its tokens, the probability P at the level
-below; it sends its distinct n-grams (history, word, training count, P) to tasks that are dealt out by history. There
+below; it sends its distinct n-grams (history, word, training count, and what P follows from) to tasks that are dealt out by history. There
 counts are summed, and for every history the backoff mass and the sum of the lower-level P over its seen words. The
 answers (counts; backoff data where a block has unseen n-grams) go back to the block, which evaluates the next level.
-Questions carry each n-gram of a block once, as ids that the unigram
-table gives out by frequency. Histories with a large share of all tokens are dealt out by n-gram instead
-of by history, and only their sums are put together: at most four of them for each table partition.
+They lie in one table, partitioned by level and bucketed as the blocks are, so they move once. Questions carry each n-gram
+of a block once, as ids that the unigram table gives out by frequency. Histories with a large share of all tokens are dealt
+out by n-gram instead of by history; their sums are put together and joined to the blocks that hold them.
 
 Where Good-Turing can't be used (n_1 is 0 or a ratio isn't in (0, 1]), d_r = (r - 0.5) / r. A history none of whose
 counts is discounted gives 1 / (c(h) + 1) to unseen words; unigrams likewise. So every distribution sums to exactly 1.
@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, U, buffer_of, mix, pack, pack_floats, pack_sorted, release, span_hashes, unpack, unpack_floats, unpack_sorted, word_spans
-from .blocks import answered, packed, unpacked, write_blocks
-from .common import held_out, scratch
+from .arrays import LOWER, U, buffer_of, grouped, mix, pack, pack_floats, pack_sorted, release, span_hashes, unpack, unpack_floats, unpack_sorted, word_spans
+from .blocks import Answers, answered, packed, unpacked, write_blocks
+from .common import held_out, shuffles_released
 
 CUTOFF = 5
-BUCKET_TOKENS, BLOCK_BYTES = 3_000_000, 6 << 20
+#: Tokens to a count bucket, least and most (some 70 bytes each in a worker), and bytes to a block. Between them both the size and the number of buckets follow the root of the corpus, so messages from blocks to buckets shrink slowly.
+BUCKET_TOKENS, MOST_BUCKET_TOKENS, BLOCK_BYTES = 1_000_000, 20_000_000, 6 << 20
 END, START = U(0x5851F42D4C957F2D), U(0)
 PAIR = U(0xC2B2AE3D27D4EB4F)
 
@@ -75,6 +76,7 @@ class Model:
     scale: float = 1.0
     buckets: int = 1
     hot_least: int = 1000
+    pairs: bool = True  # whether all ids are below 2^32
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         if not self.tokens:
@@ -94,6 +96,13 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
+def _order(values: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of fewer than 2^bits values."""
+    if len(values) and int(values.max()) >> (64 - bits):
+        return np.argsort(values, kind="stable")
+    return (np.sort(values << U(bits) | np.arange(len(values), dtype=U)) & U((1 << bits) - 1)).astype(np.int64)
+
+
 def tokenised(order: int, doc_id: str, text: str, held: str):
     """Rows of a block to: distinct token hashes (sorted), each token's place among them, tokens of each text, flags and ids."""
 
@@ -123,11 +132,16 @@ class Block:
         self.begin = np.cumsum(self.n) - self.n
         self.train = np.repeat(~np.asarray(self.rows["held"].combine_chunks()), self.n) if len(self.n) else np.zeros(0, bool)
 
+    def ranked(self, ids: np.ndarray) -> None:
+        """The place of each of its words by id."""
+        self.rank = np.empty(len(ids), dtype=np.int32)
+        self.rank[np.argsort(ids)] = np.arange(len(ids), dtype=np.int32)
+
     def own_counts(self) -> np.ndarray:
         return np.bincount(self.which[self.train], minlength=len(self.vocabulary))
 
-    def histories(self, n: int, ids: np.ndarray) -> np.ndarray:
-        """The id of the token before each token, or for longer histories a hash of the ids of the n - 1 before it. Before a text come as many starts (0) as it takes."""
+    def histories(self, n: int, ids: np.ndarray, pairs: bool) -> np.ndarray:
+        """The id of the token before each token; the ids of the two before it, or for longer histories (or ids over 32 bits: no pairs) a hash of the ids of the n - 1 before it. Before a text come as many starts (0) as it takes."""
         h = ids[self.which]
         out = np.zeros(len(h), U)
         place = np.arange(len(h)) - np.repeat(self.begin, self.n)
@@ -135,37 +149,53 @@ class Block:
             before = np.zeros(len(h), U)
             before[back:] = h[:-back]
             before[place < back] = START
-            out = before if n == 2 else pair_hash(out, before)
+            out = before if n == 2 else out << U(32) | before if n == 3 and pairs else pair_hash(out, before)
         return out
 
 
+    def short(self, n: int, at: np.ndarray) -> np.ndarray:
+        """For some tokens the places of the two words before them, in the order of their ids: a short form of pairs."""
+        place = at - np.repeat(self.begin, self.n)[at]
+        rank = self.rank.astype(U) + U(1)
+        one, two = (np.where(place >= back, rank[self.which[at - back]], START) for back in (1, 2))
+        return two << U(max(1, len(rank).bit_length())) | one
+
+
 class Grams:
     """The distinct n-grams of a block at one level: their order, buckets, and what goes to each."""
 
     def __init__(self, block: Block, n: int, ids: np.ndarray, history_counts: np.ndarray, model: Model):
-        history = block.histories(n, ids)
+        history = block.histories(n, ids, model.pairs)
         word = ids[block.which]
         key = pair_hash(history, word)
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        first, inverse = grouped(key)
+        h = history[first]
         hot = model.hot(history_counts[first])
-        bucket = bucket_of(np.where(hot, key[first], mix(history[first])), model.buckets).astype(np.int32)
+        bucket = bucket_of(np.where(hot, key[first], mix(h)), model.buckets)
         del key
-        order = np.lexsort((word[first], history[first], bucket))
+        # by history and word, then by bucket: values with places in their low bits sort fastest
+        bits = max(1, (len(first) - 1).bit_length())
+        both = grouped(block.short(n, first) if n == 3 and model.pairs else h)[1].astype(U) << U(31) | block.rank[block.which[first]].astype(U)
+        order = _order(both, bits)
+        order = order[_order(bucket[order].astype(U), bits)]
         self.first = first[order]  # a token that is each n-gram, by bucket, history, word
+        self.bucket, self.hot = bucket[order].astype(np.int32), hot[order]
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         self.inverse = rank[inverse]
         self.counts = np.bincount(self.inverse[block.train], minlength=len(first))
-        self.bucket = bucket[order]
-        self.h, self.w, self.hot = history[self.first], word[self.first], hot[order]
+        self.h, self.w = history[self.first], word[self.first]
+        self.word_rank = block.rank[block.which[self.first]]
 
     def cuts(self):
         at = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.bucket) else np.zeros(0, np.int64)
         return [(int(self.bucket[a]), int(a), int(b)) for a, b in zip(at, np.append(at[1:], len(self.bucket)))]
 
 
-QUESTION = "bucket int, block long, h binary, runs binary, hot binary, words binary, word binary, p_values binary, p binary, n binary"
-ANSWER = "block long, level int, bucket int, counts binary, places binary, mass binary, hot_h long, hot_sum double, hot_mass binary, stats array<long>"
+#: lower: training counts at the level below, of words at level 2 and of n-grams above; there P = d(lower) * lower * scale / whole, which belong to the shorter history.
+QUESTION = "bucket int, block long, h binary, runs binary, hot binary, words binary, word binary, lower binary, whole binary, scales binary, scale binary, n binary"
+HOT = -1  # in place of a bucket: what is known of a block's histories that were dealt out by n-gram
+ANSWER = "block long, level int, bucket int, counts binary, places binary, mass binary, hot_h long, hot_sum double, hot_mass binary, hot array<long>, stats array<long>"
 
 
 def _stats(counts: np.ndarray) -> list[int]:
@@ -174,7 +204,7 @@ def _stats(counts: np.ndarray) -> list[int]:
 
 
 def _answer(**columns) -> pa.Table:
-    kinds = {"block": pa.int64(), "level": pa.int32(), "bucket": pa.int32(), "counts": pa.binary(), "places": pa.binary(), "mass": pa.binary(), "hot_h": pa.int64(), "hot_sum": pa.float64(), "hot_mass": pa.binary(), "stats": pa.list_(pa.int64())}
+    kinds = {"block": pa.int64(), "level": pa.int32(), "bucket": pa.int32(), "counts": pa.binary(), "places": pa.binary(), "mass": pa.binary(), "hot_h": pa.int64(), "hot_sum": pa.float64(), "hot_mass": pa.binary(), "hot": pa.list_(pa.int64()), "stats": pa.list_(pa.int64())}
     n = max(len(v) for v in columns.values())
     return pa.table([pa.array(columns.get(c, [None] * n), k) for c, k in kinds.items()], names=list(kinds))
 
@@ -192,7 +222,7 @@ def unigram_answers(blocks: DataFrame, buckets: int) -> DataFrame:
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         words = [unpack_sorted(x) for x in rows["h"].to_pylist()]
         own = np.concatenate([unpack(x) for x in rows["n"].to_pylist()]).astype(np.int64)
-        _, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        _, inverse = grouped(np.concatenate(words))
         total = np.bincount(inverse, weights=own).astype(np.int64)
         k = key[0].as_py()
         # ids: small for frequent words, from 1; they make the questions of higher levels small
@@ -200,12 +230,19 @@ def unigram_answers(blocks: DataFrame, buckets: int) -> DataFrame:
         ids[np.argsort(-total, kind="stable")] = np.arange(len(total)) * buckets + k + 1
         ends = np.cumsum([len(w) for w in words])[:-1]
         mine, named = np.split(total[inverse], ends), np.split(ids[inverse], ends)
-        return _answer(block=[*rows["block"].to_pylist(), None], level=[1] * (len(mine) + 1), bucket=[k] * (len(mine) + 1), counts=[*map(pack, mine), None], places=[*map(pack, named), None], stats=[None] * len(mine) + [[*_stats(total), int(total[inverse[np.concatenate(words) == END][:1]].sum())]])
+        return _answer(block=[*rows["block"].to_pylist(), None], level=[1] * (len(mine) + 1), bucket=[k] * (len(mine) + 1), counts=[*map(pack, mine), None], places=[*map(pack, named), None], stats=[None] * len(mine) + [[*_stats(total), int(total[inverse[np.concatenate(words) == END][:1]].sum()), int(ids.max())]])
 
     asked = blocks.select("block", "payload").mapInArrow(ask, "bucket int, block long, h binary, n binary")
     return asked.groupBy("bucket").applyInArrow(count, ANSWER)
 
 
+def _shorter(h: np.ndarray, level: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of histories of a question one for each shorter history, and which one each has: pairs have that of their last word, hashes don't show theirs."""
+    if level == 3 and model.pairs:
+        return grouped(h & U(0xFFFFFFFF))
+    return np.arange(len(h)), np.arange(len(h))
+
+
 def _count_grams(level: int, model: Model):
     """Counts of one bucket, which exist only here, and the answers for each block."""
 
@@ -213,24 +250,25 @@ def _count_grams(level: int, model: Model):
         h, w, p, n, hot, sizes = [], [], [], [], [], []
         for r in rows.to_pylist():
             runs = unpack(r["runs"]).astype(np.int64)
-            h.append(np.repeat(unpack_sorted(r["h"]), runs))
+            h_ = unpack_sorted(r["h"])
+            h.append(np.repeat(h_, runs))
             hot.append(np.repeat(unpack(r["hot"]).astype(bool), runs))
             word = unpack(r["word"]).astype(np.int64)
             w.append(unpack_sorted(r["words"])[word])
-            p.append(model.unigram(unpack(r["p"]).astype(np.int64))[word] if level == 2 else unpack_floats(r["p_values"], r["p"]))
+            lower = unpack(r["lower"]).astype(np.int64)
+            p.append(model.unigram(lower)[word] if level == 2 else model.levels[level - 2].of(lower) * lower * np.repeat((unpack_floats(r["scales"], r["scale"]) / unpack(r["whole"]).astype(np.int64))[_shorter(h_, level, model)[1]], runs))
             n.append(unpack(r["n"]).astype(np.int32))
             sizes.append(len(runs) and len(n[-1]))
         h, w, p, n, hot = map(np.concatenate, (h, w, p, n, hot))
         key_ = pair_hash(h, w)
         del w
-        _, first, inverse = np.unique(key_, return_index=True, return_inverse=True)
+        first, inverse = grouped(key_)
         h, p, hot = h[first], p[first], hot[first]
         del key_, first
-        inverse = inverse.astype(np.int32)
         total = np.bincount(inverse, weights=n, minlength=len(h)).astype(np.int64)
-        histories, of = np.unique(h, return_inverse=True)
-        of = of.astype(np.int32)
-        del h
+        at, of = grouped(h)
+        histories = h[at]
+        del h, at
         low = np.bincount(of, weights=np.where(total > 0, p, 0.0), minlength=len(histories))
         # mass[h]: how many continuations have each count to CUTOFF, then the sum of all counts
         mass = np.stack([np.bincount(of[total == r], minlength=len(histories)) for r in range(1, CUTOFF + 1)] + [np.bincount(of, weights=total, minlength=len(histories)).astype(np.int64)], axis=1)
@@ -238,7 +276,7 @@ def _count_grams(level: int, model: Model):
         is_hot[of] = hot
         totals = np.split(total[inverse], np.cumsum(sizes)[:-1])
         whose = np.split(of[inverse], np.cumsum(sizes)[:-1])
-        counts, places, sums, masses = [], [], [], []
+        counts, places, masses, asked = [], [], [], []
         for t, o in zip(totals, whose):
             at = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))  # each history of the question
             unseen = np.bincount(np.cumsum(np.concatenate([[0], o[1:] != o[:-1]])), weights=t == 0, minlength=len(at)) > 0
@@ -248,11 +286,12 @@ def _count_grams(level: int, model: Model):
             counts.append(pack(t))
             places.append(pack(want))
             masses.append(pack(mass[hs].ravel()) + low[hs].astype("<f8").tobytes())
+            asked.append(histories[np.unique(o[at][is_hot[o[at]]])].view(np.int64).tolist() or None)
         k, m = key[0].as_py(), len(totals)
         hot_at = np.flatnonzero(is_hot)
         release()
         return pa.concat_tables([
-            _answer(block=[*rows["block"].to_pylist(), None], level=[level] * (m + 1), bucket=[k] * (m + 1), counts=[*counts, None], places=[*places, None], mass=[*masses, None], stats=[None] * m + [[*_stats(total), 0]]),
+            _answer(block=[*rows["block"].to_pylist(), None], level=[level] * (m + 1), bucket=[k] * (m + 1), counts=[*counts, None], places=[*places, None], mass=[*masses, None], hot=[*asked, None], stats=[None] * m + [[*_stats(total), 0, 0]]),
             _answer(block=[None] * len(hot_at), level=[level] * len(hot_at), bucket=[k] * len(hot_at), hot_h=histories[hot_at].view(np.int64).tolist(), hot_sum=low[hot_at].tolist(), hot_mass=[pack(mass[i]) for i in hot_at]),
         ])
 
@@ -262,8 +301,8 @@ def _count_grams(level: int, model: Model):
 class Evaluation:
     """Probabilities of a block's tokens, level by level, from the answers that it has had."""
 
-    def __init__(self, block: Block, answers: pa.Table, model: Model, hot: dict[int, dict[int, tuple[np.ndarray, float]]]):
-        self.block, self.model, self.hot = block, model, hot
+    def __init__(self, block: Block, answers: pa.Table, model: Model):
+        self.block, self.model = block, model
         self.answers = {(r["level"], r["bucket"]): r for r in answers.to_pylist()}
         own, self.ids = np.zeros(len(block.vocabulary), dtype=np.int64), np.zeros(len(block.vocabulary), dtype=U)
         at = bucket_of(block.vocabulary, model.buckets)
@@ -272,8 +311,10 @@ class Evaluation:
             if b > a:
                 own[a:b] = unpack(self.answers[1, i]["counts"]).astype(np.int64)
                 self.ids[a:b] = unpack(self.answers[1, i]["places"])
+        block.ranked(self.ids)
         self.unigrams = own[block.which]
         self.p = model.unigram(self.unigrams)
+        self.whole, self.scale = np.zeros(0, np.int64), np.zeros(0)
         #: training count of the history of each token at the next level: of the token before, or how many texts there are
         self.history_counts = self._before(self.unigrams)
 
@@ -306,15 +347,13 @@ class Evaluation:
                 of_run[where] = np.arange(used, used + len(where))
                 slot[a:b] = of_run[run]
                 used += len(where)
-        table = self.hot.get(n, {})
-        histories, of = np.unique(g.h[g.hot], return_inverse=True)
-        found = np.full(len(histories), -1, dtype=np.int32)
-        for i, h in enumerate(histories.tolist()):
-            if h in table:
-                masses.append(table[h][0].reshape(1, -1))
-                lows.append(np.array([table[h][1]]))
-                found[i], used = used, used + 1
-        slot[g.hot] = found[of]
+        if g.hot.any():
+            table = self.answers[n, HOT]
+            at = np.flatnonzero(g.hot)
+            known = unpack_sorted(table["counts"])
+            slot[at] = used + np.searchsorted(known, g.h[at])
+            lows.append(np.frombuffer(table["mass"], "<f8"))
+            masses.append(unpack(table["places"]).astype(np.int64).reshape(-1, CUTOFF + 1))
         mass, low = np.concatenate(masses), np.concatenate(lows)
         freed = (mass[:, :CUTOFF] * (np.arange(1, CUTOFF + 1) * (1 - d.d[1:]))).sum(axis=1)
         sums = mass[:, CUTOFF].astype(np.float64)
@@ -325,87 +364,100 @@ class Evaluation:
         ch = self.history_counts[g.first]
         p = np.where(total > 0, d.of(total) * total / np.maximum(ch, 1) * scale[slot], np.where(ch > 0, alpha[slot], 1.0) * self.p[g.first])
         self.p = p[g.inverse]
-        self.history_counts = self._before(total[g.inverse])
-
-
-def _totals(answers: DataFrame, level: int) -> list[int]:
-    row = answers.where((F.col("level") == level) & F.col("stats").isNotNull()).agg(*[F.sum(F.col("stats")[i]) for i in range(CUTOFF + 4)]).first()
-    return [int(x or 0) for x in row]
+        self.totals, self.whole, self.scale = total[g.inverse], np.maximum(ch, 1)[g.inverse], scale[slot][g.inverse]  # counts of n-grams, of their histories, and these' scale
+        self.history_counts = self._before(self.totals)
 
 
 class KatzScorer:
-    """Trains on the rows whose `held` flag is false and scores all; `table` is where the answers for its blocks are, by level: neither n-grams nor backoff weights are kept."""
+    """Trains on the rows whose `held` flag is false and scores all. `answers` is a table of what its blocks were told, by level: neither n-grams nor backoff weights are kept.
+
+    Columns other than the three named aren't read, so their names don't matter; texts of any length are a block of their own."""
 
-    def __init__(self, docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text", held: str = "held_out", bucket_tokens: int = BUCKET_TOKENS, block_bytes: int = BLOCK_BYTES, hot_least: int = 1000):
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text", held: str = "held_out", bucket_tokens: int | None = None, block_bytes: int = BLOCK_BYTES, hot_least: int = 1000):
         self.id_type = docs.schema[doc_id].dataType.simpleString()
         self.blocks = write_blocks(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(held).alias("h")), "t", block_bytes, tokenised(order, "id", "t", "h"))
         self.model = Model(order, hot_least=hot_least)
-        self.hot: dict[int, dict[int, tuple[np.ndarray, float]]] = {}
         size = self.blocks.agg(F.sum("tokens")).first()[0] or 0
-        self.model.buckets = max(1, -(-size // bucket_tokens))
-        self.table = scratch(spark, "katz")
+        each = bucket_tokens or min(max(BUCKET_TOKENS, int((100_000 * size) ** 0.5)), MOST_BUCKET_TOKENS)
+        self.model.buckets = max(1, -(-size // each))
+        self.answers = Answers(self.blocks, "katz")
         for level in range(1, order + 1):
-            made = unigram_answers(self.blocks, self.model.buckets) if level == 1 else self._gram_answers(level)
-            made.write.option("compression", "uncompressed").parquet(f"{self.table}/level={level}")
+            self.answers.add(unigram_answers(self.blocks, self.model.buckets) if level == 1 else self._gram_answers(level))
             self._learn(level)
+            shuffles_released(docs.sparkSession)
 
-    def _read(self, level: int) -> DataFrame:
-        return self.blocks.sparkSession.read.schema(ANSWER).parquet(f"{self.table}/level={level}")
-
-    def answers(self, upto: int) -> DataFrame:
-        out = self._read(1)
-        for level in range(2, upto + 1):
-            out = out.unionByName(self._read(level))
-        return out.where(F.col("block").isNotNull()).select("block", "level", "bucket", "counts", "places", "mass")
+    def _told(self, upto: int) -> DataFrame:
+        return self.answers.upto(upto).where(F.col("block").isNotNull()).select("part", "block", "level", "bucket", "counts", "places", "mass")
 
     def _learn(self, level: int) -> None:
-        answers, model = self._read(level), self.model
-        *n, types, tokens, texts = _totals(answers, level)
+        mine, model = self.answers.upto(level).where(F.col("level") == level), self.model
+        row = mine.where(F.col("stats").isNotNull()).agg(*[F.sum(F.col("stats")[i]) for i in range(CUTOFF + 4)], F.max(F.col("stats")[CUTOFF + 4])).first()
+        *n, types, tokens, texts, top = (int(x or 0) for x in row)
         model.levels.append(Level.fitted(n))
         if level == 1:
-            model.types, model.tokens, model.texts = types, tokens, texts
+            model.types, model.tokens, model.texts, model.pairs = types, tokens, texts, top < 1 << 32
             freed = sum(r * c * (1 - model.levels[0].d[r]) for r, c in zip(range(1, CUTOFF + 1), n))
             left = freed / tokens if tokens else 1.0
             model.unknown = max(left, 1 / (tokens + 1))
             model.scale = (1 - model.unknown) / (1 - left) if left < 1 else 1.0
         else:
-            # fewer than 4 * buckets histories, each with a few numbers
-            found: dict[int, tuple[np.ndarray, float]] = {}
-            for r in answers.where(F.col("hot_h").isNotNull()).groupBy("hot_h").agg(F.sort_array(F.collect_list(F.struct("bucket", "hot_sum", "hot_mass"))).alias("parts")).collect():
-                found[int(np.int64(r.hot_h).view(U))] = sum(unpack(bytes(x.hot_mass)).astype(np.int64) for x in r.parts), sum(x.hot_sum for x in r.parts)
-            self.hot[level] = found
+            self.answers.add(self._hot_answers(mine, level))
+
+    def _hot_answers(self, mine: DataFrame, level: int) -> DataFrame:
+        """For each block that holds hot histories their masses and lower sums, put together from all buckets."""
+
+        def put(key: tuple, rows: pa.Table) -> pa.Table:
+            # in order of bucket, so that sums round alike on each run
+            mass, low, at = np.zeros(CUTOFF + 1, np.int64), 0.0, np.argsort(np.asarray(rows["bucket"]), kind="stable")
+            for i in at.tolist():
+                mass += unpack(rows["hot_mass"][i].as_py()).astype(np.int64)
+                low += rows["hot_sum"][i].as_py()
+            return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([mass.tolist()], pa.list_(pa.int64())), pa.array([low])], names=["hot_h", "m", "s"])
+
+        def tell(key: tuple, rows: pa.Table) -> pa.Table:
+            h = np.asarray(rows["hot_h"]).view(U)
+            at = np.argsort(h)
+            mass = np.array(rows["m"].to_pylist(), dtype=np.int64)[at]
+            return _answer(block=[key[0].as_py()], level=[level], bucket=[HOT], counts=[pack_sorted(h[at])], places=[pack(mass.ravel())], mass=[np.asarray(rows["s"])[at].astype("<f8").tobytes()])
+
+        sums = mine.where(F.col("hot_h").isNotNull()).select("hot_h", "bucket", "hot_sum", "hot_mass").groupBy("hot_h").applyInArrow(put, "hot_h long, m array<long>, s double")
+        asked = mine.where(F.col("hot").isNotNull()).select("block", F.explode("hot").alias("hot_h")).distinct()
+        return asked.join(sums, "hot_h").groupBy("block").applyInArrow(tell, ANSWER)
 
     def _gram_answers(self, level: int) -> DataFrame:
-        model, hot = self.model, self.hot
+        model = self.model
 
         def ask(number: int, payload: bytes, answers: pa.Table) -> pa.Table:
             out: dict[str, list] = {c.split()[0]: [] for c in QUESTION.split(", ")}
-            e = Evaluation(Block(payload), answers, model, hot)
+            e = Evaluation(Block(payload), answers, model)
             for k in range(2, level):
                 e.step(k)
-            g, p = e.grams(level), e.p
+            g = e.grams(level)
             for bucket, a, b in g.cuts():
                 h = g.h[a:b]
                 at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                words, at_word, word = np.unique(g.w[a:b], return_index=True, return_inverse=True)
-                # at level 2 the lower P follows from the word's own count
-                values, which = (b"", pack(e.unigrams[g.first[a:b]][at_word])) if level == 2 else pack_floats(p[g.first[a:b]])
-                for c, v in zip(out, (bucket, number, pack_sorted(h[at]), pack(np.diff(np.append(at, b - a))), pack(g.hot[a:b][at].astype(np.int64)), pack_sorted(words), pack(word), values, which, pack(g.counts[a:b]))):
+                at_word, word = grouped(g.word_rank[a:b].astype(U))
+                words = g.w[a:b][at_word]
+                # P at the level below follows from counts and, above words, a factor of the history
+                tokens = g.first[a:b]
+                lower = e.unigrams[tokens][at_word] if level == 2 else e.totals[tokens]
+                shorter = tokens[at][_shorter(h[at], level, model)[0]] if level > 2 else at[:0]
+                parts = pack(e.whole[shorter]), *pack_floats(e.scale[shorter])
+                for c, v in zip(out, (bucket, number, pack_sorted(h[at]), pack(np.diff(np.append(at, b - a))), pack(g.hot[a:b][at].astype(np.int64)), pack_sorted(words), pack(word), pack(lower), *parts, pack(g.counts[a:b]))):
                     out[c].append(v)
-            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
+            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 10
             return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-        asked = answered(self.blocks, self.answers(level - 1), ask, QUESTION)
+        asked = answered(self.blocks, self._told(level - 1), ask, QUESTION)
         return asked.groupBy("bucket").applyInArrow(_count_grams(level, model), ANSWER)
 
     def scores(self) -> DataFrame:
         """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-        model, hot = self.model, self.hot
+        model = self.model
 
         def finish(number: int, payload: bytes, answers: pa.Table) -> pa.Table:
             b = Block(payload)
-            e = Evaluation(b, answers, model, hot)
+            e = Evaluation(b, answers, model)
             c = e.unigrams
             base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
             for k in range(2, model.order + 1):
@@ -416,7 +468,7 @@ class KatzScorer:
             return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         schema = f"doc_id {self.id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return answered(self.blocks, self.answers(model.order), finish, schema)
+        return answered(self.blocks, self._told(model.order), finish, schema)
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
