@@ -10,7 +10,8 @@ source are its distinct sizes, at most as many as the longest document has words
 additional copy is decided by id hash, in `SUBS` sub-cells for each shuffle partition, so no cell is sorted in one task.
 
 Rows: null or empty texts have size 0, take nothing and get 0 words; null sources are one source, the last. Rows that
-repeat are documents of their own. An empty table gives no rows.
+repeat are documents of their own; of those that share an id, a hash of their plain columns decides, so reruns agree. Texts
+of any length are counted whole. Other columns pass through, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,6 +74,8 @@ def rates(cells: DataFrame, wanted: DataFrame, cap: int = CAP, tolerance: float
         state = stored(new, "dual")
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"the dual did not settle in {STEPS} steps: {state.where(~F.col('done')).limit(20).collect()}")
     r = F.when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.exp(F.greatest(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)), F.lit(-50.0))), F.lit(float(cap))))
     return joined.join(state, same).select("source", "size", "m", F.coalesce(r, F.lit(0.0)).alias("rate"))
 
@@ -109,7 +112,8 @@ def with_copies(docs: DataFrame, size: str, copies: str, source: str = "source",
     parts = slim.join(kept, ["key", "size"], "left").select("source", "key", "size", "sub", F.expr("k div m").alias("each"), (F.floor(extra * upto / F.col("m")) - F.floor(extra * (upto - F.col("n")) / F.col("m"))).alias("more"))
     parts = parts.join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     parts = stored(parts.select(F.col("key").alias(key), F.col("sub").alias(sub), F.col("size").alias(z), F.struct("each", "more", "source_size", "target").alias(copies)), "subcells")
-    place = F.row_number().over(Window.partitionBy(key, z, sub).orderBy(h, doc_id))
+    plain = [c for c, t in docs.dtypes if not t.startswith(("map", "struct", "array", "variant"))]
+    place = F.row_number().over(Window.partitionBy(key, z, sub).orderBy(h, doc_id, F.xxhash64(*plain)))
     n = F.coalesce(F.col(f"{copies}.each") + F.when(place <= F.col(f"{copies}.more"), 1).otherwise(0), F.lit(0)).cast("int")
     return keyed.join(parts, [key, z, sub]).select(*docs.columns, F.struct(n.alias("n"), F.col(f"{copies}.source_size"), F.col(f"{copies}.target")).alias(copies))
 
