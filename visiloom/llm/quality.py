@@ -7,7 +7,8 @@ the base rules; a ratio beyond its quartile by more than `WIDE` interquartile ra
 (under `FEW` documents) use the next wider one. The thresholds are joined back and filter the corpus.
 
 Rows: a null text counts as empty (no words: base_failed). Null languages and sources are groups of their own. Rows that
-repeat are judged each on its own. An empty table gives no rows. Texts are counted whole; windows that repeat are found by
+repeat are judged each on its own. An empty table gives no rows. Columns that are kept may have any name that doesn't begin
+with two underscores (nor one of the counts'). Texts are counted whole; windows that repeat are found by
 sorting, so a long text takes n log n steps.
 """
 
@@ -55,12 +56,12 @@ def counted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"
 
 def ratios(counts: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
-    return counts.withColumns({"symbol": F.col("n_symbols") / n, "dup_line": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "repeat": F.col("n_repeat_words") / n, "length": F.col("word_chars") / n})
+    return counts.withColumns({"__symbol": F.col("n_symbols") / n, "__dup_line": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "__repeat": F.col("n_repeat_words") / n, "__length": F.col("word_chars") / n})
 
 
 def thresholds(judged: DataFrame) -> DataFrame:
     """One row for each (lang, source), lang and the whole, by `level` 0, 1 and 3 (grouping_id), with the fences of each ratio."""
-    q = {r: F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.75)), F.lit(ACCURACY)).alias(r) for r in RATIOS}
+    q = {r: F.percentile_approx(f"__{r}", F.array(F.lit(0.25), F.lit(0.75)), F.lit(ACCURACY)).alias(r) for r in RATIOS}
     rows = judged.where(~F.col("base_failed")).rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *q.values())
     out = ["lang", "source", "level", "n"]
     for r, (least, both) in RATIOS.items():
@@ -74,9 +75,9 @@ def thresholds(judged: DataFrame) -> DataFrame:
 def kept_column() -> Column:
     ok = ~F.col("base_failed")
     for r, (_, both) in RATIOS.items():
-        ok &= F.coalesce(F.col(r) <= F.col(f"{r}_most"), F.lit(True))
+        ok &= F.coalesce(F.col(f"__{r}") <= F.col(f"__{r}_most"), F.lit(True))
         if both:
-            ok &= F.coalesce(F.col(r) >= F.col(f"{r}_least"), F.lit(True))
+            ok &= F.coalesce(F.col(f"__{r}") >= F.col(f"__{r}_least"), F.lit(True))
     return ok
 
 
@@ -95,7 +96,7 @@ def verdicts(counts: DataFrame) -> DataFrame:
     joined = judged.join(by_group, judged["lang"].eqNullSafe(by_group["__l"]) & judged["source"].eqNullSafe(by_group["__s"]), "left").drop("__l", "__s")
     first = whole.collect()  # one row
     fallback = F.struct(*[F.lit(first[0]["__all"][c] if first else None).cast("double").alias(c) for c in fences])
-    joined = joined.withColumn("__f", F.coalesce("__chosen", fallback)).select("*", *[F.col(f"__f.{c}").alias(c) for c in fences])
+    joined = joined.withColumn("__f", F.coalesce("__chosen", fallback)).select("*", *[F.col(f"__f.{c}").alias(f"__{c}") for c in fences])
     return joined.select(*counts.columns, kept_column().alias("kept"))
 
 
