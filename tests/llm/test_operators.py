@@ -8,13 +8,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 from visiloom.llm import bpe, chat, mixing, quality, simhash, substrings, token_shards, topk, toxicity
-from visiloom.llm.common import scratch, stored
+from visiloom.llm.blocks import unpacked
+from visiloom.llm.common import scratch, stored, listed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,6 +69,31 @@ def test_substrings_in_batches(spark, odd_documents):
     assert len(index.runs) == 1 and index.add(substrings.write_blocks(a, "text").withColumn("block", F.col("block") + 200)).select("block").distinct().count() == 3
 
 
+def test_substring_index_is_reopened(spark):
+    """An index of batches A and B, opened again by its path, finds which blocks of history a batch C repeats; old runs are gone."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(24)]
+    frame = lambda k: substrings.write_blocks(spark.createDataFrame([(t,) for t in texts[k::3]], "text string").repartition(8), "text", 1).withColumn("block", F.col("block") * 3 + k)
+    batches = [frame(k) for k in range(3)]
+    index = substrings.FingerprintIndex(spark, width=5)
+    for b in batches[:2]:
+        index.add(b)
+    index.compact()
+    kept = [n for n in listed(spark, index.path) if n.startswith("run-")]
+    assert kept == [f for f, _ in index.runs] and len(kept) == 1
+    opened = substrings.FingerprintIndex(spark, width=5, path=index.path)
+    assert [f for f, _ in opened.runs] == kept
+    hits = {r.block for r in opened.add(batches[2]).collect()}
+    held = {r.block: unpacked(bytes(r.payload)).column("text").to_pylist() for b in batches for r in b.collect()}
+    windows = {k: Counter(tuple(w[i : i + 5]) for t in ts for w in [t.split()] for i in range(len(w) - 4)) for k, ts in held.items()}
+    new = Counter(w for k, c in windows.items() if k % 3 == 2 for w in c.elements())
+    total = Counter(w for c in windows.values() for w in c.elements())
+    must = {k for k, c in windows.items() if any(total[w] > 1 and new[w] for w in c)}
+    assert must and must <= hits
+    with pytest.raises(ValueError, match="windows of 5"):
+        substrings.FingerprintIndex(spark, width=6, path=index.path)
+
+
 # --- top-k
 
 
@@ -82,6 +109,13 @@ def test_topk(spark):
         mine = min(v for i, v in fine if i == q)
         best = sorted((-sum(a * b for a, b in zip(mine, v)), i) for i, v in fine if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    # components beyond what doubles add exactly: whole numbers, scores clipped to a long's range
+    huge = [(0, [1e8, -3.0, 2e9]), (1, [1e8, 5.0, 1.0]), (2, [1e8, 5.0, 2.0]), (3, [1e30, 0.0, 0.0]), (4, [-1e30, 0.0, 1.0]), (50, [0.0, 1.0, 0.0]), (51, [3.0, 3.0, 3.0])]
+    few = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(*(topk.quantised(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).where(c) for c in ("true", "vec_id % 50 = 0")), 5).collect()}
+    whole = {i: [min(max(math.floor(256 * x), -(1 << 63)), (1 << 63) - 1) for x in v] for i, v in huge}
+    for q in (0, 50):
+        clipped = {i: min(max(sum(a * b for a, b in zip(whole[q], v)), -(1 << 63)), (1 << 63) - 1) for i, v in whole.items() if i != q}
+        assert [few[q, k + 1] for k in range(5)] == sorted(clipped.items(), key=lambda x: (-x[1], x[0]))[:5]
     few = topk.top_k(vectors.where("vec_id < 2"), vectors.where("vec_id = 0"), 5).collect()
     assert [(r.vec_id, r["rank"]) for r in few] == [(1, 1)]
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0 and topk.top_k(vectors, vectors.limit(0)).count() == 0
@@ -369,3 +403,40 @@ def test_quality_thresholds_adapt(spark):
 def test_quality_stays_native(spark, odd_documents):
     plan = quality.verdicts(stored(quality.counted(odd_documents), "t"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_quality_keeps_columns_of_any_name(spark, odd_documents):
+    names = ("length", "symbol", "repeat", "dup_line", "symbol_most", "n")
+    named = odd_documents.select("doc_id", "lang", "source", "text", *[F.concat(F.lit(n), "block").alias(n) for n in names])
+    counts = stored(quality.counted(named, ("doc_id", "lang", "source", *names)), "t")
+    rows = quality.verdicts(counts).collect()
+    assert Counter(tuple(r[n] for n in names) for r in rows) == Counter(tuple(r) for r in named.select(*names).collect())
+    plain = quality.verdicts(stored(quality.counted(odd_documents), "t")).collect()
+    assert Counter((r.doc_id, r.n_words, r.kept) for r in rows) == Counter((r.doc_id, r.n_words, r.kept) for r in plain)
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Of equal ids and sizes with different texts the same ones are taken, however rows are dealt out."""
+    rows = [(1, f"{a} {b} c", "s" if a < "m" else "t") for a in "abcdefgnopqrs" for b in "xyz"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = Counter(r.text for r in mixing.mixed(docs.repartition(5, "text")).collect())
+    assert one == Counter(r.text for r in mixing.mixed(docs.coalesce(1).orderBy(F.desc("text"))).collect())
+
+
+def test_toxicity_scores_are_noisy_or(spark):
+    """Scores against a plain noisy-or over sentences, from the fitted weights."""
+    docs = [(i, f"calm words here. {'vile wretch' if i % 3 == 0 else 'kind friend'} number {i}! More text\nend {i % 7}") for i in range(120)] + [(200, None), (201, ""), (202, " . ! ")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    for r in toxicity.scored(frame, model).collect():
+        text, miss, n = dict(docs)[r.doc_id] or "", 1.0, 0
+        for sentence in re.split(r"[\n!.?]", text):
+            if re.search(r"[0-9A-Za-z']", sentence):
+                bucket, *_ = toxicity.words_of(pa.array([sentence]))
+                z = sum(weight.get(b, 0.0) for b in set(bucket.tolist())) + model.bias
+                miss, n = miss / (1 + math.exp(min(max(z, -30), 30))), n + 1
+        if not n:
+            miss = 1 / (1 + math.exp(model.bias))
+        assert abs(r.score - (1 - miss)) < 1e-6, r

@@ -7,7 +7,8 @@ that share the hash and the place it comes from are one entry: (hash, digest of
 The index holds entries, per block of documents, in immutable runs sorted and bucketed by hash. Each new batch is written
 as a run and merge-joined with the earlier runs, without a shuffle: hashes found twice are candidates, in the new batch
 and in history. Where all entries of a hash have one digest they repeat as a whole; others are verified window by window,
-by 128-bit digests of the words. Runs are compacted into one when there are more than `RUNS`.
+by 128-bit digests of the words. Runs are compacted into one when there are more than `RUNS`, and the old ones deleted. An
+index lives under a path that a later session can open: its runs are listed in a manifest, whose newest version counts.
 
 Every occurrence of a repeated window loses its words, the first too, within a document as across documents; windows are
 judged on the input. Rows: a null text has no words and stays null; fewer than WINDOW words are never removed; rows that
@@ -18,22 +19,34 @@ the text pass through, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .arrays import U, buffer_of, mix, run_hashes, span_hashes, word_spans
-from .blocks import answered, bucketed, unpacked, write_blocks
-from .common import partitions, stored
+from .arrays import U, buffer_of, grouped, run_hashes, span_hashes, word_spans
+from .blocks import answered, bucketed, bucketed_at, unpacked, write_blocks
+from .common import dropped, listed, partitions, scratch, shuffles_released, stored
 
-WINDOW, RUNS, BATCHES = 35, 2, 2
+WINDOW, RUNS, BATCHES = 35, 1, 2
 PLACE = U((1 << 26) - 1)
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair, and how often it occurs."""
+    at, group = grouped(a)
+    if (b[at][group] != b).any():  # equal in one half only
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        at, group = order[new], np.cumsum(new) - 1
+    return at, np.bincount(group, minlength=len(at))
+
+
 class Windows:
     """Word hashes, windows and entries of the texts of a block."""
 
@@ -68,7 +81,7 @@ class Windows:
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """hash, digest and how often, each pair once."""
-        _, at, n = np.unique(mix(self.fp) ^ self.digest, return_index=True, return_counts=True)
+        at, n = _pairs(self.fp, self.digest)
         return self.fp[at], self.digest[at], n
 
     def windows_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -90,22 +103,40 @@ class Windows:
         if len(one):
             windows = self.windows_of(mixed)
             a, b = self.digests(windows)
-            windows = windows[np.isin(mix(a) ^ b, mix(one) ^ two)]
+            windows = windows[np.isin(a, one) & np.isin(b, two)]
             np.add.at(edges, windows, 1)
             np.add.at(edges, windows + self.width, -1)
         return np.cumsum(edges[:-1]) > 0
 
 
 class FingerprintIndex:
-    """Runs of (fp, d, block, n), sorted and bucketed by fp; a batch is a table of blocks."""
+    """Runs of (fp, d, block, n), sorted and bucketed by fp; a batch is a table of blocks. With the path of an earlier index, goes on from its newest manifest."""
 
-    def __init__(self, spark: SparkSession, text: str = "text", width: int = WINDOW):
-        self.spark, self.text, self.width = spark, text, width
-        self.buckets = max(1, partitions(spark) // 4)
-        self.runs: list[DataFrame] = []
+    ENTRY = "fp long, d long, block long, n int"
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        return bucketed(rows.repartition(self.buckets, "fp"), "run", "fp", self.buckets, sorted_=True)
+    def __init__(self, spark: SparkSession, text: str = "text", width: int = WINDOW, path: str | None = None):
+        self.spark, self.text, self.width = spark, text, width
+        self.path = path or scratch(spark, "index")
+        self.buckets, self.version = max(1, partitions(spark) // 4), 0
+        self.runs: list[tuple[str, DataFrame]] = []  # folder and rows
+        known = [int(n) for n in listed(spark, f"{self.path}/manifest") if n.isdigit()] if path else []
+        if known:
+            self.version = max(known)
+            saved = json.loads(spark.read.text(f"{self.path}/manifest/{self.version}").first()[0])
+            if saved["width"] != width:
+                raise ValueError(f"the index holds windows of {saved['width']} words")
+            self.buckets = saved["buckets"]
+            self.runs = [(r, bucketed_at(spark, "run", f"{self.path}/{r}", self.ENTRY, "fp", self.buckets)) for r in saved["runs"]]
+
+    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        folder = f"run-{uuid.uuid4().hex[:12]}"
+        return folder, bucketed(rows.repartition(self.buckets, "fp"), "run", "fp", self.buckets, sorted_=True, path=f"{self.path}/{folder}")
+
+    def _commit(self) -> None:
+        """Makes the runs as they are now what a later session finds."""
+        self.version += 1
+        line = json.dumps({"width": self.width, "buckets": self.buckets, "runs": [r for r, _ in self.runs]})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.version}")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds the batch; gives block, fp, mixed of the candidates that it has made, in itself and in earlier batches."""
@@ -118,19 +149,23 @@ class FingerprintIndex:
                     fp, d, n = w.entries()
                     yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(d.view(np.int64)), pa.array(np.full(len(fp), number.as_py())), pa.array(n.astype(np.int32))], names=["fp", "d", "block", "n"])
 
-        new = self._write(batch.select("block", "payload").mapInArrow(run, "fp long, d long, block long, n int"))
+        written = self._write(batch.select("block", "payload").mapInArrow(run, self.ENTRY))
+        new, earlier = written[1], [rows for _, rows in self.runs]
         found = self._keys(new)
-        for k, old in enumerate(self.runs):
+        for k, old in enumerate(earlier):
             other = self._keys(old).toDF("fp", f"n{k}", f"low{k}", f"high{k}")
             found = found.join(other.hint("merge"), "fp", "left")
             found = found.select("fp", (F.col("n") + F.coalesce(f"n{k}", F.lit(0))).alias("n"), F.least("low", f"low{k}").alias("low"), F.greatest("high", f"high{k}").alias("high"))
         found = found.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed"))
-        hits = [run_.join(found.hint("merge"), "fp").select("block", "fp", "mixed") for run_ in [new, *self.runs]]
+        hits = [run_.join(found.hint("merge"), "fp").select("block", "fp", "mixed") for run_ in [new, *earlier]]
         out = hits[0]
         for h in hits[1:]:
             out = out.unionByName(h)
         out = stored(out.distinct(), "candidates")
-        self.runs.append(new)
+        self.runs.append(written)
+        self._commit()
+        if len(self.runs) > RUNS:
+            self.compact()
         return out
 
     @staticmethod
@@ -138,11 +173,14 @@ class FingerprintIndex:
         return run.groupBy("fp").agg(F.sum("n").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
 
     def compact(self) -> None:
-        """Merges all runs into one, also summing what earlier compactions left apart."""
-        rows = self.runs[0]
-        for r in self.runs[1:]:
+        """Merges all runs into one and, when the manifest no longer names them, deletes them."""
+        old, rows = self.runs, self.runs[0][1]
+        for _, r in old[1:]:
             rows = rows.unionByName(r)
         self.runs = [self._write(rows)]
+        self._commit()
+        for folder, _ in old:
+            dropped(self.spark, f"{self.path}/{folder}")
 
 
 def repeated(blocks: DataFrame, text: str, width: int, batches: int) -> DataFrame:
@@ -152,8 +190,8 @@ def repeated(blocks: DataFrame, text: str, width: int, batches: int) -> DataFram
     for k in range(batches):
         found = index.add(blocks.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == k))
         candidates = found if candidates is None else candidates.unionByName(found)
-        if len(index.runs) > RUNS:
-            index.compact()
+        shuffles_released(blocks.sparkSession)
+    dropped(blocks.sparkSession, index.path)  # nothing is added to this one
     # a hash that is mixed in any batch is looked at by window
     candidates = stored(candidates.groupBy("block", "fp").agg(F.max("mixed").alias("mixed")), "candidates")
 
@@ -164,14 +202,14 @@ def repeated(blocks: DataFrame, text: str, width: int, batches: int) -> DataFram
             w = Windows(unpacked(payload).column(text).combine_chunks(), width)
             windows = w.windows_of(np.asarray(hits["fp"]).view(U))
             a, b = w.digests(windows)
-            _, at, n = np.unique(mix(a) ^ b, return_index=True, return_counts=True)
+            at, n = _pairs(a, b)
             one, two = a[at], b[at]
         return pa.table([pa.array(np.full(len(one), block)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n)], names=["block", "a", "b", "n"])
 
-    asked = answered(blocks, candidates.where("mixed").select("block", "fp"), ask, "block long, a long, b long, n long")
-    # a window has one row for each block that holds it, however often it does
-    total = F.sum("n").over(Window.partitionBy("a", "b"))
-    windows = asked.withColumn("m", total).where("m > 1").select("block", F.lit(2).alias("kind"), "a", "b")
+    # a window has one row for each block that holds it, however often it does; those of a window in very many blocks are summed before they move, and a join can split them
+    asked = stored(answered(blocks, candidates.where("mixed").select("block", "fp"), ask, "block long, a long, b long, n long"), "windows")
+    again = asked.groupBy("a", "b").agg(F.sum("n").alias("m")).where("m > 1").select("a", "b")
+    windows = asked.join(again, ["a", "b"]).select("block", F.lit(2).alias("kind"), "a", "b")
     hashes = candidates.select("block", F.col("mixed").cast("int").alias("kind"), F.col("fp").alias("a"), F.lit(0).cast("long").alias("b"))
     return hashes.unionByName(windows)
 
