@@ -117,7 +117,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, text: str = "text", width: int = WINDOW, path: str | None = None):
         self.spark, self.text, self.width = spark, text, width
         self.path = path or scratch(spark, "index")
-        self.buckets, self.version = max(1, partitions(spark) // 4), 0
+        self.buckets, self.version = partitions(spark), 0
         self.runs: list[tuple[str, DataFrame]] = []  # folder and rows
         known = [int(n) for n in listed(spark, f"{self.path}/manifest") if n.isdigit()] if path else []
         if known:
