@@ -15,7 +15,7 @@ def test_order_of_all_events(spark, tmp_path):
     broken = {4999, 5000, 6001, 11999}
     rows = [(i, 0 if i in broken else i + 1, "view") for i in range(12_000)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    assert {r.event_id for r in catalog.QUERIES["strict_order_all"](spark, str(tmp_path)).collect()} == broken
+    assert {r.event_id for r in catalog.QUERIES["strict_order"](spark, str(tmp_path)).collect()} == broken
 
 
 def test_order_across_ranges(spark):
@@ -52,9 +52,9 @@ def test_conditions_of_whole_texts(spark, tmp_path):
         for p in ("original.no_rewrite", "p1", "p2"):
             new = [f"rewrite {p[1]}: {x}" if p[0] == "p" and n == i % 3 else x for n, x in enumerate(parts)]
             want[i, p] = hashlib.md5("|".join(new).encode()).hexdigest()
-    got = catalog.QUERIES["conditions_whole"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["conditions"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.sample_id, r.prompt_id): r.digest for r in got} == want
-    assert {r.doc_id: r.sources for r in catalog.QUERIES["source_prompts_whole"](spark, str(tmp_path)).collect()} == prompts
+    assert {r.doc_id: r.sources for r in catalog.QUERIES["source_prompts"](spark, str(tmp_path)).collect()} == prompts
 
 
 def test_bootstrap_has_the_reference_resamples(spark):
@@ -70,10 +70,10 @@ def test_bootstrap_has_the_reference_resamples(spark):
 def test_all_identity_patterns(spark, tmp_path):
     text = "a.b@c.org, https://github.com/some-one/x; /home/user/y and C:\\Users\\me.\nAcknowledgements: a friend"
     spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.kind, r.found) for r in catalog.QUERIES["identity_scan_all"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.kind, r.found) for r in catalog.QUERIES["identity_scan"](spark, str(tmp_path)).collect()}
     want = {("email", "a.b@c.org"), ("code_host", "https://github.com/some-one"), ("absolute_path", "/home/user"), ("absolute_path", "C:\\Users\\me."), ("acknowledgement", "Acknowledgements")}
     assert got == {(1, *w) for w in want}
-    found = duckdb.connect().execute(f"WITH documents AS (FROM '{tmp_path}/documents.parquet/*.parquet') {catalog.ORACLE_SQL['identity_scan_all']}").fetchall()
+    found = duckdb.connect().execute(f"WITH documents AS (FROM '{tmp_path}/documents.parquet/*.parquet') {catalog.ORACLE_SQL['identity_scan']}").fetchall()
     assert set(found) == got
 
 

@@ -244,14 +244,8 @@ def integrity(spark, d):
     return checks.integrity({n: s.where(F.col("status") == n) for n in ("missing", "unexpected")})
 
 
-@query("strict_order", "SELECT event_id FROM (SELECT event_id, user_id, event_type, lag((user_id, event_type)) OVER (ORDER BY event_id) AS b FROM events WHERE event_id < 5000) WHERE b IS NOT NULL AND NOT ((user_id, event_type) > b)")
+@query("strict_order", "SELECT event_id FROM (SELECT event_id, user_id, event_type, lag((user_id, event_type)) OVER (ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL AND NOT ((user_id, event_type) > b)")
 def strict_order(spark, d):
-    e = a.table(spark, d, "events").where("event_id < 5000")
-    return sampling.disordered(e, ["user_id", "event_type"], "event_id").select("event_id")
-
-
-@query("strict_order_all", "SELECT event_id FROM (SELECT event_id, user_id, event_type, lag((user_id, event_type)) OVER (ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL AND NOT ((user_id, event_type) > b)")
-def strict_order_all(spark, d):
     return sampling.disordered(a.table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("event_id")
 
 
@@ -558,20 +552,12 @@ def selected_in_order(spark, d):
     return sampling.in_given_order(a.manifest(spark, d), ["7", "3", "9"]).select("sample_id", F.col("place").cast("int").alias("place"))
 
 
-INSTANCES = "inst AS (SELECT doc_id, [substr(text, 1, 40), substr(text, 41, 40), substr(text, 81, 40)] AS documents, CAST(doc_id % 3 AS INTEGER) AS t FROM documents WHERE length(text) > 120)"
-
-
-#: the same over whole texts: three parts of about the same length, short texts included
-WHOLE_INSTANCES = "inst AS (SELECT doc_id, [substr(text, 1, k), substr(text, k + 1, k), substr(text, 2 * k + 1)] AS documents, CAST(doc_id % 3 AS INTEGER) AS t FROM (SELECT doc_id, coalesce(text, '') AS text, CAST((length(coalesce(text, '')) + 2) // 3 AS BIGINT) AS k FROM documents))"
+#: whole texts in three parts of about the same length, short texts included
+INSTANCES = "inst AS (SELECT doc_id, [substr(text, 1, k), substr(text, k + 1, k), substr(text, 2 * k + 1)] AS documents, CAST(doc_id % 3 AS INTEGER) AS t FROM (SELECT doc_id, coalesce(text, '') AS text, CAST((length(coalesce(text, '')) + 2) // 3 AS BIGINT) AS k FROM documents))"
 CONDITIONS = "c AS (SELECT doc_id, p, list_transform(documents, lambda d, i: CASE WHEN p > 0 AND i = t + 1 THEN 'rewrite ' || p || ': ' || d ELSE d END) AS documents FROM inst, range(3) r(p)) SELECT doc_id AS sample_id, CASE p WHEN 0 THEN 'original.no_rewrite' ELSE 'p' || p END AS prompt_id, md5(array_to_string(documents, '|')) AS digest FROM c"
 PROMPTS = "SELECT doc_id, 'Source 1:' || chr(10) || documents[1] || chr(10) || chr(10) || 'Source 2:' || chr(10) || documents[2]"
 
 
-def _prefixes(spark, d):
-    docs = a.table(spark, d, "documents").where(F.length("text") > 120)
-    return docs.select("doc_id", F.array(*[F.substring("text", i, 40) for i in (1, 41, 81)]).alias("documents"))
-
-
 def _thirds(spark, d):
     t = F.coalesce("text", F.lit(""))
     k = F.ceil(F.length(t) / 3).cast("int")
@@ -588,22 +574,11 @@ def _conditions(spark, docs):
 
 @query("conditions", f"WITH {INSTANCES}, {CONDITIONS}")
 def conditions_query(spark, d):
-    return _conditions(spark, _prefixes(spark, d))
-
-
-@query("conditions_whole", f"WITH {WHOLE_INSTANCES}, {CONDITIONS}")
-def conditions_whole(spark, d):
     return _conditions(spark, _thirds(spark, d))
 
 
-@query("source_prompts", f"WITH {INSTANCES} {PROMPTS} AS sources, '[1], [2]' AS labels FROM inst")
+@query("source_prompts", f"WITH {INSTANCES} {PROMPTS} || chr(10) || chr(10) || 'Source 3:' || chr(10) || documents[3] AS sources, '[1], [2], [3]' AS labels FROM inst")
 def source_prompts(spark, d):
-    x = _prefixes(spark, d).select("doc_id", F.slice("documents", 1, 2).alias("d"))
-    return x.select("doc_id", source_blocks("d").alias("sources"), source_labels("d").alias("labels"))
-
-
-@query("source_prompts_whole", f"WITH {WHOLE_INSTANCES} {PROMPTS} || chr(10) || chr(10) || 'Source 3:' || chr(10) || documents[3] AS sources, '[1], [2], [3]' AS labels FROM inst")
-def source_prompts_whole(spark, d):
     return _thirds(spark, d).select("doc_id", source_blocks("documents").alias("sources"), source_labels("documents").alias("labels"))
 
 
@@ -617,13 +592,8 @@ def prefix_truncation(spark, d):
 # --- texts, registries, restarts, generation -------------------------------------------------------------------------
 
 
-@query("identity_scan", "SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS found FROM documents".replace("\\\\", "\\"))
+@query("identity_scan", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS found FROM documents" for k, p in texts.IDENTITY.items()))
 def identity_scan(spark, d):
-    return texts.identity_matches(a.table(spark, d, "documents"), "doc_id", "text", {"email": texts.IDENTITY["email"]})
-
-
-@query("identity_scan_all", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS found FROM documents" for k, p in texts.IDENTITY.items()))
-def identity_scan_all(spark, d):
     return texts.identity_matches(a.table(spark, d, "documents"), "doc_id", "text")
 
 
