@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from .checks import grid, key_status
 
 
-def describe(value: str, budgets: tuple[int, ...] = ()) -> list[Column]:
-    """count, min, p50, p90, p95, p99 (linear interpolation), max, and for each budget how many and what part are over it."""
+PERCENTS = (50, 90, 95, 99)
+
+
+def describe(value: str, budgets: tuple[int, ...] = (), rows: str | None = None) -> list[Column]:
+    """count, min, p50, p90, p95, p99 (linear interpolation), max, and for each budget how many and what part are over it (null where there is no value).
+
+    rows: a column with the number of rows that each row stands for."""
     v = F.col(value)
-    p = [F.percentile(v, q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)]
-    over = [c for b in budgets for c in (F.count_if(v > b).alias(f"over_{b}"), (F.count_if(v > b) / F.count(v)).alias(f"over_{b}_rate"))]
-    return [F.count(v).alias("n"), F.min(v).alias("min"), *p, F.max(v).alias("max"), *over]
+    weight = F.lit(1) if rows is None else F.col(rows)
+    p = F.percentile(v, [q / 100 for q in PERCENTS], weight)  # one map of values for all of them
+
+    def count(condition: Column) -> Column:
+        return F.count_if(condition) if rows is None else F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
+
+    n = count(v.isNotNull())
+    over = [c for b in budgets for c in (count(v > b).alias(f"over_{b}"), F.try_divide(count(v > b), n).alias(f"over_{b}_rate"))]
+    return [n.alias("n"), F.min(v).alias("min"), *[p[k].alias(f"p{q}") for k, q in enumerate(PERCENTS)], F.max(v).alias("max"), *over]
 
 
 def described(df: DataFrame, value: str, by: tuple[str, ...] = (), budgets: tuple[int, ...] = ()) -> DataFrame:
@@ -21,9 +32,19 @@ def described(df: DataFrame, value: str, by: tuple[str, ...] = (), budgets: tupl
 
 
 def nested(df: DataFrame, value: str, budgets: tuple[int, ...] = ()) -> DataFrame:
-    """Over (model), (benchmark, model) and (benchmark, domain, model), with the number of distinct instances."""
-    sets = [("model",), ("benchmark", "model"), ("benchmark", "domain", "model")]
-    return df.groupingSets([[F.col(c) for c in s] for s in sets], "benchmark", "domain", "model").agg(F.grouping_id().cast("int").alias("grouping"), F.count_distinct("domain", "instance_id").alias("instances"), *describe(value, budgets))
+    """Over (model), (benchmark, model) and (benchmark, domain, model), with the number of distinct instances.
+
+    Rows are summed by value, and instances made distinct, before the three groupings multiply them."""
+    keys, sets = ["benchmark", "domain", "model"], [("model",), ("benchmark", "model"), ("benchmark", "domain", "model")]
+
+    def over(rows: DataFrame, *what: Column) -> DataFrame:
+        return rows.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().cast("int").alias("grouping"), *what)
+
+    lengths = over(df.groupBy(*keys, value).agg(F.count("*").alias("_rows")), *describe(value, budgets, "_rows"))
+    instances = over(df.select(*keys, "instance_id").distinct(), F.count_distinct("domain", "instance_id").alias("instances"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "grouping")]
+    joined = lengths.alias("a").join(instances.alias("b"), same)
+    return joined.select(*[f"a.{c}" for c in (*keys, "grouping")], "b.instances", *[f"a.{c}" for c in lengths.columns if c not in (*keys, "grouping")])
 
 
 def grouped(df: DataFrame, value: str, budget: int) -> DataFrame:
