@@ -103,6 +103,9 @@ def test_alignment_and_merge(spark):
         judge.merged_trials(every, every.limit(5), aligned)
     with pytest.raises(checks.IntegrityError):
         judge.alignment(raw, canonical.limit(2), manifest)
+    plan = judge.alignment(raw, canonical, manifest, strict=False)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join FullOuter") if "Join FullOuter" in plan else plan.index("Join"):].splitlines()
+    assert "sha2" in "".join(join[1:]) and "sha2" not in join[0]  # digests are made below the join
     plan = judge.incremental_plan(canonical, raw, manifest)
     assert {r.sample_id: r.action for r in plan.collect()} == {"reuse": "reuse_old_scores", "rerun": "rerun_glm_judge", "zero": "deterministic_zero"}
 
@@ -161,6 +164,19 @@ def test_lengths(spark):
     assert frame(spark, [([None, 5, 10**12],)], "c array<bigint>").select(lengths.context_limit("c")).first()[0] == 5
 
 
+def test_nested_lengths(spark):
+    rows = [("b", "d", "m", 1, 4), ("b", "d", "m", 1, 4), ("b", "d", "m", 2, 1), ("b", None, "m", 3, 10), ("c", "d", "m", 1, None), ("c", "e", "o", None, None)]
+    x = frame(spark, rows, "benchmark string, domain string, model string, instance_id int, v int")
+    got = {(r.grouping, r.benchmark, r.domain, r.model): r for r in lengths.nested(x, "v", (3,)).collect()}
+    assert len(got) == 9
+    m = got[6, None, None, "m"]
+    assert (m.instances, m.n, m.min, m.p50, m.max, m.over_3, m.over_3_rate) == (2, 4, 1, 4.0, 10, 3, 0.75)
+    none = got[0, "c", "e", "o"]
+    assert (none.instances, none.n, none.p50, none.over_3, none.over_3_rate) == (0, 0, None, 0, None)
+    assert got[0, "b", None, "m"].p99 == 10.0
+    assert lengths.nested(x.limit(0), "v").count() == 0
+
+
 def test_shards_match_a_json_library(spark):
     import hashlib
     import json

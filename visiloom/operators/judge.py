@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.citations import cites
+from ..functions.citations import cites, separate_citations
 from ..functions.keys import ANSWER_KEY, DIMENSIONS, SEEDS, TRIAL_KEY
 from ..functions.scores import parsed_score
 from .checks import grid, required, union_all
@@ -97,16 +97,21 @@ def alignment(raw: DataFrame, canonical: DataFrame, manifest: DataFrame, strict:
     """What to do with the old judge scores of each answer once its text has been canonicalised.
 
     Not cited any more: zeros. Text changed: judge again. Else: reuse. Raw and canonical answers must be the same set and agree in benchmark and domain."""
-    a = raw.select(*ANSWER_KEY, "benchmark", "domain", F.col("answer").alias("raw_answer"))
-    b = canonical.select(*ANSWER_KEY, F.col("benchmark").alias("b2"), F.col("domain").alias("d2"), F.col("answer").alias("canonical_answer"))
+
+    def brief(answers: DataFrame, side: str, benchmark: str, domain: str) -> DataFrame:
+        """A digest and the separate citations of each text: texts themselves don't move."""
+        cited = F.array_distinct(separate_citations("answer"))
+        return answers.select(*ANSWER_KEY, F.col("benchmark").alias(benchmark), F.col("domain").alias(domain), F.sha2("answer", 256).alias(f"{side}_sha256"), cited.alias(f"{side}_cited"))
+
+    a, b = brief(raw, "raw", "benchmark", "domain"), brief(canonical, "canonical", "b2", "d2")
     j = a.join(b, ANSWER_KEY, "full")
     if strict:
-        required(j.where("raw_answer is null or canonical_answer is null or not (benchmark <=> b2) or not (domain <=> d2)").select(*ANSWER_KEY), "raw and canonical answers differ")
-    j = j.where("raw_answer is not null and canonical_answer is not null").join(targets(manifest), "sample_id")
-    before, after = cites("raw_answer", "target_citation_index"), cites("canonical_answer", "target_citation_index")
-    changed = ~F.col("raw_answer").eqNullSafe(F.col("canonical_answer"))
+        required(j.where("raw_sha256 is null or canonical_sha256 is null or not (benchmark <=> b2) or not (domain <=> d2)").select(*ANSWER_KEY), "raw and canonical answers differ")
+    j = j.where("raw_sha256 is not null and canonical_sha256 is not null").join(targets(manifest), "sample_id")
+    before, after = (F.coalesce(F.array_contains(f"{side}_cited", F.col("target_citation_index")), F.lit(False)) for side in ("raw", "canonical"))
+    changed = F.col("raw_sha256") != F.col("canonical_sha256")
     action = F.when(~after, "deterministic_zero").when(changed, "rerun_glm_judge").otherwise("reuse_old_scores")
-    return j.select(*ANSWER_KEY, "benchmark", "domain", "target_document_index", "target_citation_index", "candidate_document_count", before.alias("raw_target_source_cited"), after.alias("canonical_target_source_cited"), changed.alias("canonicalized_text_changed"), action.alias("subjective_score_action"), F.sha2("raw_answer", 256).alias("source_answer_sha256"), F.sha2("canonical_answer", 256).alias("canonicalized_answer_sha256"))
+    return j.select(*ANSWER_KEY, "benchmark", "domain", "target_document_index", "target_citation_index", "candidate_document_count", before.alias("raw_target_source_cited"), after.alias("canonical_target_source_cited"), changed.alias("canonicalized_text_changed"), action.alias("subjective_score_action"), F.col("raw_sha256").alias("source_answer_sha256"), F.col("canonical_sha256").alias("canonicalized_answer_sha256"))
 
 
 def merged_trials(old: DataFrame, rerun: DataFrame, aligned: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, seeds: tuple[int, ...] = SEEDS, strict: bool = True) -> DataFrame:
