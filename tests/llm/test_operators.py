@@ -124,14 +124,8 @@ def test_topk(spark):
 # --- mixing
 
 
-def test_mixing(spark, odd_documents):
-    sized = stored(odd_documents.select("doc_id", "source", "block", mixing.n_words("text").alias("size")), "t")
-    rows = mixing.with_copies(sized, "size", "mix").select("block", "size", "source", "mix.*").collect()
-    assert len(rows) == odd_documents.count()
-    assert {r.block: r["size"] for r in rows} == {k: len(WORD.findall(t or "")) for k, t in rows_of(odd_documents, "block", "text")}
-    sizes = Counter()
-    for r in rows:
-        sizes[r.source] += r["size"]
+def plain_targets(sizes):
+    """Target of each source from the sources' sizes."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
     target, open_, left = {}, set(order), float(sum(sizes.values()))
@@ -144,6 +138,18 @@ def test_mixing(spark, odd_documents):
         left -= sum(target[s] for s in over)
         open_ -= over
     target |= {s: share * weight[s] for s in open_}
+    return target
+
+
+def test_mixing(spark, odd_documents):
+    sized = stored(odd_documents.select("doc_id", "source", "block", mixing.n_words("text").alias("size")), "t")
+    rows = mixing.with_copies(sized, "size", "mix").select("block", "size", "source", "mix.*").collect()
+    assert len(rows) == odd_documents.count()
+    assert {r.block: r["size"] for r in rows} == {k: len(WORD.findall(t or "")) for k, t in rows_of(odd_documents, "block", "text")}
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r["size"]
+    order, target = list(sizes), plain_targets(sizes)
     assert {r.source: round(r.target, 6) for r in rows} == {s: round(t, 6) for s, t in target.items()}
     taken = Counter()
     for r in rows:
@@ -423,20 +429,22 @@ def test_mix_of_rows_that_share_an_id(spark):
     assert one == Counter(r.text for r in mixing.mixed(docs.coalesce(1).orderBy(F.desc("text"))).collect())
 
 
+def plain_toxicity(model, text):
+    """Noisy-or over sentences, from the fitted weights."""
+    weight, miss, n = dict(zip(model.buckets.tolist(), model.weights.tolist())), 1.0, 0
+    for sentence in re.split(r"[\n!.?]", text or ""):
+        if re.search(r"[0-9A-Za-z']", sentence):
+            bucket, *_ = toxicity.words_of(pa.array([sentence]))
+            z = sum(weight.get(b, 0.0) for b in set(bucket.tolist())) + model.bias
+            miss, n = miss / (1 + math.exp(min(max(z, -30), 30))), n + 1
+    return 1 - (miss if n else 1 / (1 + math.exp(model.bias)))
+
+
 def test_toxicity_scores_are_noisy_or(spark):
     """Scores against a plain noisy-or over sentences, from the fitted weights."""
     docs = [(i, f"calm words here. {'vile wretch' if i % 3 == 0 else 'kind friend'} number {i}! More text\nend {i % 7}") for i in range(120)] + [(200, None), (201, ""), (202, " . ! ")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
     model = toxicity.fit(frame, labels)
-    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
     for r in toxicity.scored(frame, model).collect():
-        text, miss, n = dict(docs)[r.doc_id] or "", 1.0, 0
-        for sentence in re.split(r"[\n!.?]", text):
-            if re.search(r"[0-9A-Za-z']", sentence):
-                bucket, *_ = toxicity.words_of(pa.array([sentence]))
-                z = sum(weight.get(b, 0.0) for b in set(bucket.tolist())) + model.bias
-                miss, n = miss / (1 + math.exp(min(max(z, -30), 30))), n + 1
-        if not n:
-            miss = 1 / (1 + math.exp(model.bias))
-        assert abs(r.score - (1 - miss)) < 1e-6, r
+        assert abs(r.score - plain_toxicity(model, dict(docs)[r.doc_id])) < 1e-6, r
