@@ -135,9 +135,9 @@ def rank_reversals(spark, d):
     return rounded(imp.rank_reversals(_summary(spark, d), (a.ORIGINAL,)))
 
 
-@query("heat_table", f"WITH {a.SUMMARY} SELECT method, round(max(objective) FILTER (model = 'A'), 6) + 0.0 AS A, round(max(objective) FILTER (model = 'N'), 6) + 0.0 AS N, round(max(objective) FILTER (model = 'R'), 6) + 0.0 AS R FROM summary WHERE benchmark = 'geo_bench' GROUP BY method")
+@query("heat_table", f"WITH {a.SUMMARY} SELECT benchmark, method, round(max(objective) FILTER (model = 'A'), 6) + 0.0 AS A, round(max(objective) FILTER (model = 'N'), 6) + 0.0 AS N, round(max(objective) FILTER (model = 'R'), 6) + 0.0 AS R FROM summary GROUP BY benchmark, method")
 def heat(spark, d):
-    return rounded(heat_table(_summary(spark, d).where("benchmark = 'geo_bench'"), "method", "model", "objective"))
+    return rounded(heat_table(_summary(spark, d), ["benchmark", "method"], "model", "objective"))
 
 
 @query("bootstrap_ci")
@@ -145,6 +145,13 @@ def bootstrap_ci(spark, d):
     return intervals(imp.units(a.scores(spark, d), original=a.ORIGINAL), ["benchmark", "model", "method"], ["objective", "subjective"])
 
 
+@query("bootstrap_means", f"WITH {a.UNITS} SELECT benchmark, model, method, count(*) AS n, round(avg(objective), 6) + 0.0 AS objective_mean, round(avg(subjective), 6) + 0.0 AS subjective_mean, true AS within FROM units GROUP BY benchmark, model, method")
+def bootstrap_means(spark, d):
+    """What SQL can say of the intervals: sizes, means, and that both intervals hold their mean."""
+    within = F.col("objective_mean").between(F.col("objective_ci_low") - 1e-12, F.col("objective_ci_high") + 1e-12) & F.col("subjective_mean").between(F.col("subjective_ci_low") - 1e-12, F.col("subjective_ci_high") + 1e-12)
+    return rounded(bootstrap_ci(spark, d).select("benchmark", "model", "method", "n", "objective_mean", "subjective_mean", within.alias("within")))
+
+
 # --- accounting ------------------------------------------------------------------------------------------------------
 
 GRID = a.MANIFEST + ", grid AS (SELECT model, sample_id, 'm' || m AS method, CAST(s AS INTEGER) AS answer_seed FROM manifest, (VALUES ('A'), ('N'), ('R')) AS t1(model), range(1, 8) AS t2(m), range(3) AS t3(s))"
@@ -582,7 +589,18 @@ def source_prompts(spark, d):
     return _thirds(spark, d).select("doc_id", source_blocks("documents").alias("sources"), source_labels("documents").alias("labels"))
 
 
-@query("prefix_truncation")
+def _words_of_part(text: str, part: str) -> str:
+    return f"coalesce(len(regexp_extract_all(substring({text}, 1, CAST(greatest(floor(length({text}) * {part}), 1) AS BIGINT)), '[^\\x20\\x09-\\x0D]+')), 0)"
+
+
+TRUNCATION = f"""WITH RECURSIVE d AS (SELECT doc_id, substring(text, 1, CAST(ceil(length(text) / 2) AS BIGINT)) AS x, substring(text, CAST(ceil(length(text) / 2) AS BIGINT) + 1, length(text)) AS y FROM documents),
+s AS (SELECT doc_id, x, y, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high, 0 AS k FROM d UNION ALL
+  SELECT doc_id, x, y, CASE WHEN n <= 300 THEN m ELSE low END, CASE WHEN n <= 300 THEN high ELSE m END, k + 1 FROM (SELECT *, {_words_of_part('x', 'm')} + {_words_of_part('y', 'm')} AS n FROM (SELECT *, (low + high) / 2 AS m FROM s WHERE k < 14))),
+f AS (SELECT doc_id, x, y, CASE WHEN {_words_of_part('x', '1')} + {_words_of_part('y', '1')} <= 300 THEN CAST(1 AS DOUBLE) ELSE low END AS keep_fraction FROM s WHERE k = 14)
+SELECT doc_id, keep_fraction, CAST({_words_of_part('x', 'keep_fraction')} + {_words_of_part('y', 'keep_fraction')} AS INTEGER) AS tokens_after FROM f"""
+
+
+@query("prefix_truncation", TRUNCATION)
 def prefix_truncation(spark, d):
     half = F.ceil(F.length("text") / 2).cast("int")
     x = a.table(spark, d, "documents").select("doc_id", F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))).alias("documents"))
@@ -644,7 +662,7 @@ def _two_stages():
     return generation.Method("two", [generation.Stage("queries", lambda t, o, i: t), generation.Stage("final", lambda t, o, i: t + o["queries"][0], 2)])
 
 
-@query("stage_methods")
+@query("stage_methods", "SELECT doc_id AS sample_id, CAST(1 + 2 AS INTEGER) AS calls, true AS ok FROM documents")
 def stage_methods(spark, d):
     m = _two_stages()
     docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("two").alias("method_id"), F.coalesce("text", F.lit("")).alias("source_text"))

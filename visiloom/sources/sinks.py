@@ -67,8 +67,8 @@ def heat_color(value: float | None, most: float) -> str:
     return f"#{fade:02x}ff{fade:02x}" if value > 0 else f"#ff{fade:02x}{fade:02x}"
 
 
-def heat_table(summary: DataFrame, rows: str, columns: str, value: str) -> DataFrame:
-    """Rows by columns; the columns are the few values of a frozen domain."""
+def heat_table(summary: DataFrame, rows: str | list[str], columns: str, value: str) -> DataFrame:
+    """Rows (of one or more keys) by columns; the columns are the few values of a frozen domain."""
     return summary.groupBy(rows).pivot(columns).agg(F.first(value)).orderBy(rows)
 
 
