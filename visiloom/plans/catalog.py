@@ -361,7 +361,7 @@ def prompt_families(spark, d):
 @query("canonical_answers")
 def canonical_answers(spark, d):
     x = a.answers(spark, d).select("doc_id", canonical_column("answer", "source_count").alias("c"))
-    return x.select("doc_id", F.sha2("c.answer", 256).alias("sha256"), "c.changed", F.size("c.unresolved").alias("unresolved"), F.coalesce(F.aggregate(F.map_values("c.action_counts"), F.lit(0), lambda s, v: s + v), F.lit(0)).alias("actions"))
+    return x.select("doc_id", F.sha2("c.answer", 256).alias("sha256"), "c.changed", F.size("c.unresolved").alias("unresolved"), F.coalesce(F.aggregate(F.map_values("c.action_counts"), F.lit(0).cast("long"), lambda s, v: s + v), F.lit(0).cast("long")).alias("actions"))
 
 
 @query("detached_repair")
