@@ -8,8 +8,8 @@ whose bound reaches the k-th best are scored, exactly, in integers. Thresholds s
 anything is copied a group of queries knows from lengths alone which chunks of candidates it can do without; a chunk is
 copied once for each group of GROUP query blocks that needs it.
 
-Rows: vectors that are null, empty or hold a null or non-finite component take no part; shorter ones count as filled with
-zeros. Components are floor(256 x), at most the range of a long; sums that doubles can't hold are made in whole numbers, and
+Rows: vectors that are null or hold a null or non-finite component take no part; shorter ones, the empty one too, count as
+filled with zeros. Components are floor(256 x), at most the range of a long; sums that doubles can't hold are made in whole numbers, and
 scores beyond a long's range come out as its ends. Other columns aren't read. A vec_id that occurs again is
 a candidate each time; as a query it counts once, with its least vector, and no row of that id is its candidate. Ties go to the smaller vec_id.
 An empty table, or one without queries, gives no rows.
@@ -32,12 +32,12 @@ EXACT = 1 << 53
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
-def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, v (array of long), n2 (squared length) of the vectors that take part."""
+def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, v (array of long), n2 (squared length) of the vectors that take part, and columns to keep."""
     x = F.col(embedding)
-    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
+    fine = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     v = F.transform(x, lambda e: F.floor(e.cast("double") * 256).cast("long"))
-    out = vectors.where(F.col(vec_id).isNotNull()).where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
+    out = vectors.where(F.col(vec_id).isNotNull()).where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), *keep)
     return out.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")))
 
 
@@ -199,6 +199,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     width = vectors.agg(F.max(F.size("v"))).first()[0]
     if width is None:
         return empty
+    width = max(width, 1)
     turn = rotation(vectors, width)
     candidates = stored(blocks(vectors, width, BLOCK), "candidates")
     head = candidates.orderBy("part", "block").limit(1).collect()  # BLOCK vectors
@@ -253,9 +254,9 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT vec_id, list_resize(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)), (SELECT max(len(embedding)) FROM embeddings), 0.0) AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
