@@ -61,12 +61,12 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of words, and the text that each is in."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of words, and the text that each is in. separator: for each byte, whether it is outside words."""
     if not len(buf):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    inside = ~SEPARATOR[buf]
+    inside = ~separator[buf]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
