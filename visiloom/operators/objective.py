@@ -16,6 +16,11 @@ METRICS = ("word", "position", "overall")
 POLICIES = ("official_uniform", "zero")
 
 
+def units_of(found: str | Column) -> Column:
+    """What scored() takes as units, from an array of sentences (Boundaries.sentences, for one)."""
+    return F.transform(found, lambda s: F.struct(eligible_words(s).cast("double").alias("words"), official_citations(s).alias("citations")))
+
+
 def _contributions(units: Column, source_count: Column) -> Column:
     """One struct(source, word, position, overall) for each citation occurrence in range. 0 credits the last source; all occurrences, in range or not, share a sentence's credit."""
     n = F.size(units)
@@ -35,8 +40,7 @@ def scored(answers: DataFrame, answer: str = "answer", source_count: str = "cand
 
     units: array of struct(words, citations); by default from this package's sentence splitter."""
     n = F.col(source_count)
-    default = F.transform(sentences(answer), lambda s: F.struct(eligible_words(s).cast("double").alias("words"), official_citations(s).alias("citations")))
-    df = answers.withColumn("units_", units if units is not None else default)
+    df = answers.withColumn("units_", units if units is not None else units_of(sentences(answer)))
     df = df.withColumn("parts_", _contributions(F.col("units_"), n))
     sources = F.sequence(F.lit(1), n)
 

@@ -157,3 +157,72 @@ PARSED = TRIALS + """, rules AS (
   SELECT * EXCLUDE (score), CASE WHEN target_source_cited THEN score ELSE 0 END AS score, score AS pre_absence_rule_score,
     CASE WHEN target_source_cited THEN 'glm_judge' ELSE 'deterministic_target_absence' END AS score_origin FROM parsed)"""
 PARSED = PARSED.replace("\\\\", "\\")
+
+#: Kiss and Strunk's statistics and decisions over documents, as boundaries.neighbours(), fitted() and decided() make them.
+BOUNDARIES = r"""par AS MATERIALIZED (
+  SELECT doc_id, unnest(string_split_regex(text, '\n[ \t]*\n')) AS p, generate_subscripts(string_split_regex(text, '\n[ \t]*\n'), 1) AS g FROM documents WHERE text IS NOT NULL
+), chk AS MATERIALIZED (
+  SELECT doc_id, g, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, g, list_filter(string_split_regex(p, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM par)
+), raw AS MATERIALIZED (
+  SELECT *, regexp_replace(bare, '^[^\p{L}\p{N}]+', '') AS rest FROM (SELECT *, regexp_replace(c, '\[\p{N}+\]', '', 'g') AS bare FROM chk)
+), cut AS MATERIALIZED (
+  SELECT *, regexp_extract(CASE WHEN rest = '' THEN bare ELSE rest END, '[^\p{L}\p{N}]*$', 0) AS tail, regexp_replace(rest, '[^\p{L}\p{N}]+$', '') AS core FROM raw
+), tok AS MATERIALIZED (
+  SELECT doc_id, g, i, c, CASE WHEN regexp_matches(core, '^\p{N}[\p{N}.,:]*$') THEN '##number##' ELSE lower(core) END AS word,
+    CASE WHEN regexp_matches(tail, '[!?。！？]') THEN 'strong' WHEN regexp_matches(tail, '^[^.,;:]*\.\.+[^.,;:]*$') THEN 'dots' WHEN regexp_matches(tail, '^[^.,;:]*\.[^.,;:]*$') THEN 'stop' ELSE 'none' END AS mark,
+    CASE WHEN regexp_matches(core, '^\p{Lu}') THEN 'upper' WHEN regexp_matches(core, '^\p{Ll}') THEN 'lower' ELSE 'none' END AS cas, regexp_matches(core, '^\p{L}$') AS ini FROM cut
+), pos AS MATERIALIZED (
+  SELECT *, coalesce(lag(mark) OVER w, 'start') AS bmark, lag(word) OVER w AS bword, lag(ini) OVER w AS bini FROM tok WINDOW w AS (PARTITION BY doc_id, g ORDER BY i)
+), nb AS MATERIALIZED (
+  SELECT bmark AS mark, CASE WHEN bmark IN ('stop', 'dots') THEN bword END AS lft, CASE WHEN bmark IN ('stop', 'dots') THEN bini END AS ini, word, cas, mark = 'stop' AS stop, count(*) AS n FROM pos GROUP BY ALL
+), tot AS MATERIALIZED (
+  SELECT CAST(sum(n) AS DOUBLE) AS words, CAST(coalesce(sum(n) FILTER (stop), 0) AS DOUBLE) AS stops FROM nb WHERE word <> ''
+), typ AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS DOUBLE) AS n, CAST(coalesce(sum(n) FILTER (stop), 0) AS DOUBLE) AS ws FROM nb WHERE word <> '' GROUP BY word
+), abbreviations AS MATERIALIZED (
+  SELECT word, score FROM (
+    SELECT word, -2 * ((ws * ln(greatest(stops / words, 1e-300)) + (n - ws) * ln(greatest(1 - stops / words, 1e-300))) - (ws * ln(0.99::DOUBLE) + (n - ws) * ln(1 - 0.99::DOUBLE)))
+      * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', '')), -(n - ws)) AS score
+    FROM typ, tot WHERE ws > 0 AND word <> '##number##') WHERE score >= 0.3
+), seen AS MATERIALIZED (
+  SELECT *, (mark = 'stop' AND NOT ab) OR mark = 'strong' AS fin, mark = 'start' OR (((mark = 'stop' AND NOT ab) OR mark = 'strong') AND NOT odd) AS certain, (mark = 'stop' AND (ab OR odd)) OR mark = 'dots' AS loose
+  FROM (SELECT nb.*, a.word IS NOT NULL AS ab, coalesce(ini, false) OR coalesce(lft = '##number##', false) AS odd FROM nb LEFT JOIN abbreviations a ON a.word = nb.lft)
+), brk AS MATERIALIZED (
+  SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS breaks FROM seen WHERE fin
+), ab1 AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS DOUBLE) AS both_ FROM seen WHERE fin AND NOT odd AND regexp_matches(word, '^\p{L}+$') GROUP BY word
+), ll1 AS MATERIALIZED (
+  SELECT word, breaks AS a, n AS b, both_, words AS t FROM ab1 JOIN typ USING (word), tot, brk
+), starters AS MATERIALIZED (
+  SELECT word FROM (SELECT *, {LL} AS ll FROM ll1) WHERE ll >= 30 AND t / a > b / both_
+), tg AS MATERIALIZED (
+  SELECT lft, word, CAST(sum(n) AS DOUBLE) AS both_ FROM seen WHERE mark = 'stop' AND (ab OR odd) AND word <> '' AND lft <> '' GROUP BY lft, word
+), ll2 AS MATERIALIZED (
+  SELECT tg.lft, tg.word, x.n AS a, y.n AS b, both_, words AS t FROM tg JOIN typ x ON x.word = tg.lft JOIN typ y ON y.word = tg.word ANTI JOIN starters s ON s.word = tg.word, tot WHERE both_ > 1
+), collocations AS MATERIALIZED (
+  SELECT lft, word FROM (SELECT *, {LL} AS ll FROM ll2 WHERE a > 1 AND b > 1 AND both_ <= least(a, b)) WHERE ll >= 7.88 AND t / a > b / both_
+), spl AS MATERIALIZED (
+  SELECT word, bool_or(cas = 'upper') AS cap, bool_or(cas = 'lower') AS low, bool_or(cas = 'upper' AND NOT certain AND NOT loose) AS cap_in, bool_or(cas = 'lower' AND certain) AS low_begin FROM seen WHERE word <> '' GROUP BY word
+), ask AS MATERIALIZED (
+  SELECT q.*, CASE WHEN word = '' THEN false WHEN cas = 'upper' AND low AND NOT cap_in THEN true WHEN cas = 'lower' AND (cap OR NOT low_begin) THEN false END AS begins FROM (
+    SELECT k.*, a.word IS NOT NULL OR k.mark = 'dots' AS ab, coalesce(k.ini, false) AS initial, c.word IS NOT NULL AS tog, s.word IS NOT NULL AS sta, coalesce(p.cap, false) AS cap, coalesce(p.low, false) AS low, coalesce(p.cap_in, false) AS cap_in, coalesce(p.low_begin, false) AS low_begin
+    FROM (SELECT DISTINCT mark, lft, ini, word, cas FROM nb WHERE mark IN ('stop', 'dots')) k LEFT JOIN abbreviations a ON a.word = k.lft LEFT JOIN collocations c ON c.lft = k.lft AND c.word = k.word LEFT JOIN starters s ON s.word = k.word LEFT JOIN spl p ON p.word = k.word) q
+), dec AS MATERIALIZED (
+  SELECT mark, lft, ini, word, cas, CASE WHEN tog THEN false WHEN ab AND NOT initial AND (coalesce(begins, false) OR (cas = 'upper' AND sta)) THEN true
+    WHEN (initial OR lft = '##number##') AND NOT coalesce(begins, true) THEN false WHEN initial AND begins IS NULL AND cas = 'upper' AND NOT low THEN false ELSE NOT ab END AS fin FROM ask
+)""".replace(
+    "{LL}",
+    """-2 * (both_ * ln(greatest(b / t, 1e-300)) + (a - both_) * ln(greatest(1 - b / t, 1e-300)) + (b - both_) * ln(greatest(b / t, 1e-300)) + (t - a - b + both_) * ln(greatest(1 - b / t, 1e-300))
+      - CASE WHEN a = both_ OR both_ / a <= 0 OR both_ / a >= 1 THEN 0 ELSE both_ * ln(greatest(both_ / a, 1e-300)) + (a - both_) * ln(greatest(1 - both_ / a, 1e-300)) END
+      - CASE WHEN b = both_ OR (b - both_) / nullif(t - a, 0) <= 0 OR (b - both_) / nullif(t - a, 0) >= 1 THEN 0 ELSE (b - both_) * ln(greatest((b - both_) / nullif(t - a, 0), 1e-300)) + (t - a - b + both_) * ln(greatest(1 - (b - both_) / nullif(t - a, 0), 1e-300)) END)""",
+)
+
+BOUNDARY_SENTENCES = r""", num AS MATERIALIZED (
+  SELECT p.doc_id, p.g, p.i, p.c, sum(CASE WHEN bmark IN ('start', 'strong') OR coalesce(dec.fin, false) THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.g, p.i) AS s
+  FROM pos p LEFT JOIN dec ON dec.mark = p.bmark AND dec.lft = p.bword AND dec.ini = p.bini AND dec.word = p.word AND dec.cas = p.cas
+), sen AS MATERIALIZED (
+  SELECT doc_id, s, string_agg(c, ' ' ORDER BY g, i) AS t FROM num GROUP BY doc_id, s
+), fin AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY s) AS t FROM sen GROUP BY doc_id
+)
+SELECT d.doc_id AS doc_id, coalesce(n, 0) AS n_sentences, sha256(coalesce(t, '')) AS sha256 FROM documents d LEFT JOIN fin ON fin.doc_id = d.doc_id"""

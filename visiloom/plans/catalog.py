@@ -12,9 +12,10 @@ from ..functions.canonical import canonical_column, detached_repaired
 from ..functions.contracts import diagnostics as all_views
 from ..functions.contracts import exact_diagnostics, optional_diagnostics
 from ..functions.templates import source_blocks, source_labels
-from ..operators import checks, conditions, diagnostics, generation, judge, lengths, objective, sampling, texts
+from ..operators import boundaries, checks, conditions, diagnostics, generation, judge, lengths, objective, sampling, texts
 from ..operators import improvement as imp
 from ..operators.bootstrap import intervals
+from ..sources.scratch import stored
 from ..sources.sinks import heat_table
 from ..streaming.resume import changed, remaining
 from . import adapters as a
@@ -668,3 +669,28 @@ def stage_methods(spark, d):
     docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("two").alias("method_id"), F.coalesce("text", F.lit("")).alias("source_text"))
     out = generation.rewritten(docs, {"two": m}, generation.Stub)
     return out.select("sample_id", F.size("stage_records").alias("calls"), F.col("error").isNull().alias("ok"))
+
+
+# --- trained sentence boundaries -------------------------------------------------------------------------------------
+
+
+def _boundaries(spark, d):
+    docs = a.table(spark, d, "documents").select("doc_id", "text")
+    return docs, boundaries.fitted(stored(boundaries.neighbours(docs), "neighbours"))
+
+
+@query("boundary_model", f"WITH {a.BOUNDARIES} SELECT 'abbreviation' AS kind, '' AS first, word, round(score, 6) + 0.0 AS score FROM abbreviations UNION ALL SELECT 'starter', '', word, 0.0 FROM starters UNION ALL SELECT 'collocation', lft, word, 0.0 FROM collocations")
+def boundary_model(spark, d):
+    m = _boundaries(spark, d)[1]
+    none, zero = F.lit("").alias("first"), F.lit(0.0).alias("score")
+    found = m.abbreviations.select(F.lit("abbreviation").alias("kind"), none, "word", "score")
+    found = found.unionByName(m.starters.select(F.lit("starter").alias("kind"), none, "word", zero))
+    return rounded(found.unionByName(m.collocations.select(F.lit("collocation").alias("kind"), F.col("left").alias("first"), "word", zero)))
+
+
+@query("trained_sentences", f"WITH {a.BOUNDARIES} {a.BOUNDARY_SENTENCES}")
+def trained_sentences(spark, d):
+    docs, model = _boundaries(spark, d)
+    found = model.sentences(docs)
+    s = F.coalesce("sentences", F.array().cast("array<string>"))
+    return found.select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.sha2(F.array_join(s, "\n"), 256).alias("sha256"))
