@@ -448,3 +448,24 @@ def test_toxicity_scores_are_noisy_or(spark):
     model = toxicity.fit(frame, labels)
     for r in toxicity.scored(frame, model).collect():
         assert abs(r.score - plain_toxicity(model, dict(docs)[r.doc_id])) < 1e-6, r
+
+
+def test_long_pieces_take_time_in_proportion():
+    """A run of letters without a space is one piece: ids as tiktoken's, and four times the length takes no sixteen times the time."""
+    import time
+
+    import public_tokenizers
+
+    encoder = bpe.PrefixBpe.load("byte_bpe_50k.tiktoken")
+    rng = random.Random(4)
+    took = {}
+    for n in (100_000, 400_000):
+        text = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        began = time.perf_counter()
+        ids = encoder.encode(text)
+        took[n] = time.perf_counter() - began
+        assert encoder.decode(ids) == text.encode()
+    assert took[400_000] < 8 * took[100_000] + 1
+    some = "".join(rng.choice("etaoin") for _ in range(20_000))
+    known = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    assert encoder.encode(some) == known.encode_ordinary(some)

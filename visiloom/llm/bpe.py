@@ -10,7 +10,8 @@ encoded, and ids are gathered, and decoded, a piece of about 1 MB at a time. Ids
 (hashes of chunks that clash) are made anew without the kept ones.
 
 Rows: a null text counts as empty (no ids; digests of the empty string). Texts of any length are read in pieces of about
-1 MB cut before a lone space, which never changes the ids. Repeated rows give repeated results; an empty table gives none;
+1 MB cut before a lone space, which never changes the ids; a longer piece without one is encoded as a whole, in time in
+proportion to its length. Repeated rows give repeated results; an empty table gives none;
 columns other than the id and the text are not read.
 """
 
@@ -118,12 +119,13 @@ class PrefixBpe:
                 start = low
                 last += stored[piece[:low]][:low]
         for end in range(start + 1, len(piece) + 1):
-            prefix = piece[:end]
-            for begin in range(max(0, end - reach(prefix[-3:], 2)), end):
-                token = get(prefix[begin:])
+            low = max(0, end - reach(piece[max(0, end - 3) : end], 2))
+            tail = piece[low:end]  # no longer than a token, so a piece takes time in proportion to its length
+            for begin in range(low, end):
+                token = get(tail[begin - low :])
                 if token is not None:
                     if not begin:
-                        if self.whole(prefix, token):
+                        if self.whole(tail, token):
                             break
                         continue
                     pair = last[begin - 1] << 20 | token
@@ -135,8 +137,9 @@ class PrefixBpe:
             else:
                 raise ValueError(f"no token ends at byte {end} of {piece[:50]!r}")
             last.append(token)
-            if end < 64:
-                stored[prefix] = last
+        head = last if len(piece) < 64 else last[:63]
+        for end in range(start + 1, min(len(piece), 63) + 1):
+            stored[piece[:end]] = head
         return last
 
     def whole(self, piece: bytes, token: int) -> bool:
