@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .arrays import LOWER, U, buffer_of, grouped, mix, pack, pack_sorted, release, span_hashes, unpack, unpack_sorted, word_spans
 from .blocks import Answers, answered, packed, unpacked, write_blocks
-from .common import shuffles_released, stored
+from .common import partitions, shuffles_released, stored
 
 #: Words in a bucket of keys, least and most (some 60 bytes each in a worker; between them the root of the corpus decides), and bytes to a shard.
 BUCKET_WORDS, MOST_BUCKET_WORDS, SHARD_BYTES = 2_000_000, 8_000_000, 6 << 20
@@ -368,8 +368,13 @@ def scored(phrases: list[DataFrame]) -> DataFrame:
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 5, least: int = 100, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: of each language the `top` phrases of 2 to `most` words with `least` occurrences."""
     every = scored(described(*counted(docs, lang, text, most, least)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    return every.withColumn("rank", F.row_number().over(order)).where(f"rank <= {top}").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # the best of each share of a language first, then of fewer shares, so that no task gets all phrases of a language
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    n = partitions(docs.sparkSession)
+    for shares in (n, math.isqrt(n), 1):
+        share = F.pmod(F.xxhash64("phrase"), F.lit(shares)) if shares > 1 else F.lit(0)
+        every = every.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(f"rank <= {top}")
+    return every.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
