@@ -1,12 +1,13 @@
 """Golden cases of citation parsing, canonical copies, contracts, repairs, score texts and JSON."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from visiloom.functions import citations
-from visiloom.functions.canonical import LISTED, attach_detached, canonical_column, canonicalize, without_tails
+from visiloom.functions.canonical import attach_detached, canonical_column, tails_removed
 from visiloom.functions.contracts import diagnostics, optional_contract, strict_contract
 from visiloom.functions.jsontext import query_diagnosis, repair_format, repaired_json, strict_json, suggestions
 from visiloom.functions.scores import parsed_score
@@ -79,21 +80,58 @@ CANONICAL = [
 ]
 
 
-@pytest.mark.parametrize("text,n,want", CANONICAL)
-def test_canonical(text, n, want):
-    got = canonicalize(text, n)
-    assert got["answer"] == want
-    assert canonicalize(got["answer"], n)["answer"] == want
-    assert got["changed"] == (text != want)
+def canonical(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, n int")
+    out = df.withColumn("c", canonical_column("t", "n"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    return [r.c and r.c.asDict(True) for r in out.orderBy("i").collect()]
+
+
+def test_canonical(spark):
+    got = canonical(spark, [(t, n) for t, n, _ in CANONICAL])
+    for c, (text, _, want) in zip(got, CANONICAL):
+        assert c["answer"] == want and c["changed"] == (text != want)
+    assert [c["answer"] for c in canonical(spark, [(w, n) for _, n, w in CANONICAL])] == [w for *_, w in CANONICAL]
 
 
 def test_canonical_log_and_column(spark):
-    assert canonicalize("Claim [0][2][7].", 3)["out_of_range"] == [0, 7]
-    assert canonicalize("Claim [1;2].", 5)["unresolved"] == [{"type": "malformed_numeric_bracket", "text": "[1;2]"}]
-    assert without_tails("Supported body [1].\n\n[2]\n\n[3]")[0] == "Supported body [1]."
-    df = spark.createDataFrame([("Claim [1, 2].", 3), (None, 3)], "t string, n int")
-    got = [r.c.answer if r.c else None for r in df.select(canonical_column("t", "n").alias("c")).collect()]
-    assert got == ["Claim [1][2].", None]
+    texts = [("Claim [0][2][7].", 3), ("Claim [1;2].", 5), ("Claim [1, 2].", 3), (None, 3), ("x", None), ("", 2), ("See [2-900000000000] and [0-1][99999999999999999999].", 4), ("Body.\n\n[2]\n\n[3]", 5)]
+    got = canonical(spark, texts)
+    assert got[0]["out_of_range"] == [{"first": 0, "last": 0}, {"first": 7, "last": 7}]
+    assert got[1]["unresolved"] == [{"type": "malformed_numeric_bracket", "text": "[1;2]"}]
+    assert [c and c["answer"] for c in got[2:6]] == ["Claim [1][2].", None, None, ""]
+    far = got[6]  # ranges are told whole, however long
+    assert far["answer"] == "See [2][3][4] and [1]." and far["out_of_range"] == [{"first": 5, "last": 900000000000}, {"first": 0, "last": 0}, {"first": 10**18, "last": 10**18}]
+    assert far["action_counts"]["remove_invalid_or_out_of_range_label"] == 900000000000 - 4 + 2
+    assert [t["type"] for t in got[7]["removed_tails"]] == ["standalone_citation_paragraph"] * 2
+    df = spark.createDataFrame([("Supported body [1].\n\n[2]\n\n[3]",), (None,)], "t string")
+    assert [r[0] for r in df.select(tails_removed("t")).collect()] == ["Supported body [1].", None]
+    with pytest.raises(Exception, match="must be positive"):
+        canonical(spark, [("x", 0)])
+
+
+PIECES = ["Claim", "text é ", "[1]", "[2]", " [3]", "[1, 2]", "[2-4]", "[4-2]", "[9]", "[0-2]", "[3-9]", "[1-2-3]", " (Source 1, Source 4)", "(Source 2)", "[Source 3]", "Source 4", "Sources 7", ". ", ".", "! ", "。", "？", '"', "”", ")", " , ", ",", " ", "  ", "\n", "\n\n",
+          "References:\n", "## Sources\n", "\n来源：", "---\n", "[1] Author (2020).", "[2] Title https://x.y", "[1] Source 1\n", "[Sources not used in the answer: 2, 3]", "[1;2]", "[01]", "Source [2]", "etc.", "\t", "[5] doi 3", "- [1] Book 1999.", "\r\n"]
+
+
+def test_canonical_of_any_text(spark):
+    """Texts put together from pieces, against the same rules in another engine."""
+    duckdb = pytest.importorskip("duckdb")
+    from visiloom.plans import adapters
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE f (doc_id BIGINT, answer VARCHAR)")
+    con.executemany("INSERT INTO f VALUES (?, ?)", list(enumerate(texts)))
+    sql = adapters.CANON.replace(adapters.PIECES, "answers AS (SELECT doc_id, 5 AS source_count, answer FROM f)")
+    rows = con.execute(f"WITH RECURSIVE {sql} SELECT t, list_concat(k1, k2), {', '.join(adapters.CANON_ACTIONS)} FROM canon ORDER BY doc_id").fetchall()
+    got = canonical(spark, [(t, 5) for t in texts])
+    for text, g, (want, kinds, *counts) in zip(texts, got, rows):
+        assert g["answer"] == want, text
+        assert [t["type"] for t in g["removed_tails"]] == kinds
+        assert {a: n for a, n in g["action_counts"].items() if a in adapters.CANON_ACTIONS} == {a: n for a, n in zip(adapters.CANON_ACTIONS, counts) if n}, text
 
 
 def test_detached():
@@ -178,7 +216,7 @@ def test_numbers_of_any_length(spark):
     assert got[3].b.numeric_citations == [1] and got[3].b.citation_format_scorable
     assert got[4].b.invalid_numeric_citations == [citations.BEYOND] and not got[4].s.contract_compliant
     assert got[5].b.numeric_citations == [1, 3000000]
-    for text, want, beyond in (("x [1-3000000].", "x [1][2][3][4][5].", 2999995), ("x [1-1000000000].", "x [1][2][3][4][5].", 999999995), ("x [0-2].", "x [1][2].", 1), (f"x [{'7' * 5000}][2].", "x [2].", 1), (f"x [{'7' * 5000}, 3].", "x [3].", 1)):
-        c = canonicalize(text, 5)
+    cases = [("x [1-3000000].", "x [1][2][3][4][5].", 2999995), ("x [1-1000000000].", "x [1][2][3][4][5].", 999999995), ("x [0-2].", "x [1][2].", 1), (f"x [{'7' * 5000}][2].", "x [2].", 1), (f"x [{'7' * 5000}, 3].", "x [3].", 1)]
+    for c, (text, want, beyond) in zip(canonical(spark, [(t, 5) for t, *_ in cases]), cases):
         assert c["answer"] == want and c["action_counts"]["remove_invalid_or_out_of_range_label"] == beyond, (text[:20], c["answer"][:40])
-        assert len(c["out_of_range"]) == min(beyond, LISTED)
+        assert sum(s["last"] - s["first"] + 1 for s in c["out_of_range"]) == beyond and len(c["out_of_range"]) == 1

@@ -226,3 +226,93 @@ BOUNDARY_SENTENCES = r""", num AS MATERIALIZED (
   SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY s) AS t FROM sen GROUP BY doc_id
 )
 SELECT d.doc_id AS doc_id, coalesce(n, 0) AS n_sentences, sha256(coalesce(t, '')) AS sha256 FROM documents d LEFT JOIN fin ON fin.doc_id = d.doc_id"""
+
+
+_HEADING = "(?:references|sources|bibliography|citations|参考文献|资料来源|来源)"
+_NUMERIC = r"\[\s*\d+(?:\s*(?:,|-)\s*\d+)*\s*\]"
+_LABELS = r"\(\s*Sources?\s+\d+(?:\s*[,，]\s*Sources?\s+\d+)+\s*\)"
+_LINES = r"(?s).*?(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]|$)"
+_UNIT = r"""([.!?。！？])(["''”’）)]*)[ \t]*((?:\[\d+\])+)"""
+
+
+def _without_tails(source: str, name: str) -> str:
+    """name: doc_id, n, t and k (kinds of the tails that went) of the rows doc_id, n, t of source, without reference lists at the end."""
+    heading = f"(?i)^\\s*(?:#{{1,6}}\\s*)?{_HEADING}\\s*(?:[:：]?\\s*$|[:：])"
+    divider = r"^\s*[-_*=—–]{3,}\s*$"
+    bare = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    rstrip = lambda x: f"regexp_replace({x}, '\\s+$', '')"
+    upto = lambda lines, stays: rstrip(f"coalesce(array_to_string(list_slice({lines}, 1, list_max(list_filter(range(1, len({lines}) + 1), lambda i: {stays(bare(lines + '[i]'))}))), ''), '')")
+    note = r"(?i)(?:\n\s*\n)?\[\s*Sources?\s+not\s+used\s+in\s+the\s+answer\s*:[^\]\n]*\]\s*$"
+    only = rf"^\s*(?:{_NUMERIC}(?:\s*[,;，；]?\s*)?)+[.!?。！？]?\s*$"
+    placeholder = r"(?i)^\s*(?:[-*]\s*)?\[\s*\d+\s*\]\s*Sources?\s*(?:\[\s*\d+\s*\]|\d+)[.!?。！？]?\s*$"
+    entry = r"(?m)^[ \t]*(?:[-*][ \t]+)?\[\d+\][ \t]+"
+    evidence = r"(?i)https?://|\bdoi\b|\b(?:18|19|20)\d{2}\b|\(n\.d\.\)|^Sources?\s*\[\d+\]\s*:"
+    return f"""{name}_r AS (
+  SELECT doc_id, n, t, CAST([] AS VARCHAR[]) AS k FROM {source}
+  UNION ALL
+  SELECT doc_id, n, kept, list_append(k, kind) FROM (
+    SELECT doc_id, n, t, k, CASE WHEN a <> '' AND length(a) < length(t) THEN 'explicit_unused_sources_note' WHEN b <> '' AND length(b) < length(t) THEN 'explicit_reference_section' WHEN c <> '' AND length(c) < length(t) THEN 'standalone_citation_paragraph' ELSE 'unheaded_numbered_bibliography' END AS kind, CASE WHEN a <> '' AND length(a) < length(t) THEN a WHEN b <> '' AND length(b) < length(t) THEN b WHEN c <> '' AND length(c) < length(t) THEN c WHEN d <> '' AND length(d) < length(t) THEN d END AS kept FROM (
+      SELECT doc_id, n, t, k, CASE WHEN regexp_matches(t, '{note}') THEN {rstrip(f"regexp_replace(t, '{note}', '')")} END AS a,
+        CASE WHEN h IS NOT NULL THEN {upto("list_slice(lines, 1, h - 1)", lambda x: f"{x} <> '' AND NOT regexp_matches({x}, '{divider}')")} END AS b,
+        CASE WHEN len(gaps) > 0 AND {bare("last")} <> '' AND (regexp_matches({bare("last")}, '{only}') OR len(list_filter(rows_, lambda x: NOT regexp_matches(x, '{placeholder}'))) = 0) THEN {upto("before", lambda x: f"NOT regexp_matches({x}, '{divider}')")} END AS c,
+        CASE WHEN f IS NOT NULL THEN {rstrip("array_to_string(list_transform(range(1, f + 1), lambda j: bodies[j] || CASE WHEN j < f THEN heads[j] ELSE '' END), '')")} END AS d
+      FROM (
+        SELECT *, list_max(list_filter(range(1, len(lines) + 1), lambda i: regexp_matches({bare("lines[i]")}, '{heading}'))) AS h,
+          list_filter(string_split_regex({bare("last")}, '[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda x: {bare("x")} <> '') AS rows_,
+          list_filter(regexp_extract_all({rstrip("left(t, length(t) - length(last) - length(gaps[-1]))")}, '{_LINES}'), lambda x: x <> '') AS before,
+          list_min(list_filter(range(1, len(heads)), lambda i: i > coalesce(list_max(list_filter(range(1, len(heads) + 1), lambda j: NOT regexp_matches(bodies[j + 1], '{evidence}'))), 0)
+            AND regexp_matches(bodies[i], '\\n[ \\t]*\\n[ \\t]*$') AND (i > 1 OR regexp_matches(bodies[1], '\\S')))) AS f
+        FROM (
+          SELECT doc_id, n, t, k, list_filter(regexp_extract_all(t, '{_LINES}'), lambda x: x <> '') AS lines, regexp_extract_all(t, '\\n\\s*\\n') AS gaps, string_split_regex(t, '\\n\\s*\\n')[-1] AS last, string_split_regex(t, '{entry}') AS bodies, regexp_extract_all(t, '{entry}') AS heads FROM {name}_r))))
+  WHERE kept IS NOT NULL
+), {name} AS MATERIALIZED (
+  SELECT doc_id, any_value(n) AS n, arg_max(t, len(k)) AS t, arg_max(k, len(k)) AS k FROM {name}_r GROUP BY doc_id
+)"""
+
+
+def _cut(source: str, name: str, pattern: str, token: str, more: str = "") -> str:
+    """name: doc_id, n, t and `made`, structs that token makes of each match m with what is before it, b; their o goes into t."""
+    return f"""{name}_c AS MATERIALIZED (
+  SELECT doc_id, n{more}, string_split_regex(t, '{pattern}') AS segs, regexp_extract_all(t, '{pattern}') AS ms FROM {source}
+), {name}_m AS MATERIALIZED (
+  SELECT *, list_transform(range(1, len(ms) + 1), lambda i: {token.replace("{m}", "ms[i]").replace("{b}", "segs[i]")}) AS made FROM {name}_c
+), {name} AS MATERIALIZED (
+  SELECT doc_id, n{more}, made, array_to_string(list_transform(range(1, len(segs) + 1), lambda i: segs[i] || coalesce(made[i].o, '')), '') AS t FROM {name}_m
+)"""
+
+
+_NUMBERS = "list_transform(regexp_extract_all({m}, '\\d+'), lambda x: CAST(x AS BIGINT))"
+_PARTS = "list_transform(string_split_regex(regexp_replace({m}, '^\\[\\s*|\\s*\\]$', '', 'g'), '\\s*,\\s*'), lambda p: {'f': CAST(regexp_extract(p, '^\\d+') AS BIGINT), 'l': CAST(regexp_extract(p, '\\d+$') AS BIGINT), 'x': len(string_split(p, '-'))})"
+_IS_NUMERIC = "regexp_matches({m}, '^\\[\\s*\\d')"
+_INSIDE = f"CASE WHEN {_IS_NUMERIC} THEN flatten(list_transform({_PARTS}, lambda p: CASE WHEN p.x > 2 OR p.f > p.l THEN [] ELSE range(greatest(p.f, 1), least(p.l, n) + 1) END)) ELSE list_filter({_NUMBERS}, lambda x: x BETWEEN 1 AND n) END"
+_TEXT = f"array_to_string(list_transform(CASE WHEN {_IS_NUMERIC} THEN list_transform(list_filter(range(1, len({_INSIDE}) + 1), lambda j: list_position({_INSIDE}, ({_INSIDE})[j]) = j), lambda j: ({_INSIDE})[j]) ELSE {_INSIDE} END, lambda x: '[' || x || ']'), '')"
+_TOKEN = f"""{{'o': CASE WHEN regexp_matches({{m}}, '(?i)^S') THEN regexp_extract({{m}}, '^\\w+') || CASE WHEN len({_INSIDE}) > 0 THEN ' ' || {_TEXT} ELSE '' END ELSE {_TEXT} END,
+    'listed': regexp_matches({{m}}, '(?i)^{_LABELS}$'), 'plain': regexp_matches({{m}}, '(?i)^S'), 'numeric': {_IS_NUMERIC}, 'comma': {_IS_NUMERIC} AND contains({{m}}, ','), 'dash': {_IS_NUMERIC} AND contains({{m}}, '-'),
+    'twice': CASE WHEN {_IS_NUMERIC} THEN len({_INSIDE}) - len(list_distinct({_INSIDE})) ELSE 0 END, 'bad': CASE WHEN {_IS_NUMERIC} THEN len(list_filter({_PARTS}, lambda p: p.x > 2 OR p.f > p.l)) ELSE 0 END,
+    'gone': CASE WHEN {_IS_NUMERIC} THEN CAST(coalesce(list_sum(list_transform({_PARTS}, lambda p: CASE WHEN p.x > 2 OR p.f > p.l THEN 0 ELSE greatest(0, least(p.l, 0) - p.f + 1) + greatest(0, p.l - greatest(p.f, n + 1) + 1) END)), 0) AS BIGINT) ELSE len({_NUMBERS}) - len({_INSIDE}) END}}"""
+_CLUSTER = r"\[\d+\](?:(?:[ \t]*,[ \t]*|[ \t]*)\[\d+\])*"
+_ONCE = f"array_to_string(list_transform(list_filter(range(1, len({_NUMBERS}) + 1), lambda j: list_position({_NUMBERS}, ({_NUMBERS})[j]) = j), lambda j: '[' || ({_NUMBERS})[j] || ']'), '')"
+_BLANK = """regexp_matches({b}, '[\\p{L}\\p{N})】}”’"'']$')"""
+_CLOSED = f"{{'o': CASE WHEN {_BLANK} THEN ' ' ELSE '' END || {_ONCE}, 'twice': len({_NUMBERS}) - len(list_distinct({_NUMBERS})), 'changed': {_ONCE} <> {{m}}, 'blank': {_BLANK}}}"
+_TOKENS = rf"(?i){_LABELS}|\[\s*Sources?\s*\d+\s*\]|\(\s*Sources?\s*\d+\s*\)|\bSources?\s+\d+\b|{_NUMERIC}"
+_MOVED = f"{{'o': regexp_replace({{m}}, '{_UNIT}', ' \\3\\1\\2', 'g'), 'moved': len(regexp_extract_all({{m}}, '{_UNIT}'))}}"
+
+#: canon: doc_id, t0 (the answer), t (its canonical form) and one column for each action, as canonical_column() makes them. Needs WITH RECURSIVE.
+CANON = f"""{PIECES}, c_0 AS (SELECT doc_id, source_count AS n, answer AS t FROM answers), {_without_tails("c_0", "c_1")},
+{_cut("c_1", "c_2", _TOKENS, _TOKEN)}, {_cut("c_2", "c_3", _CLUSTER, _CLOSED)}, {_cut("c_3", "c_4", f"(?:{_UNIT})+(?:\\s|$)".replace("((?:", "(?:(?:").replace("([.!", "(?:[.!").replace("(([", "(?:["), _MOVED)}, {_cut("c_4", "c_5", _CLUSTER, _CLOSED)},
+c_6 AS MATERIALIZED (
+  SELECT c_5.doc_id, c_5.n, regexp_replace(c_5.t, '((?:\\[\\d+\\])+)[ \\t]+([.!?。！？])', '\\1\\2', 'g') AS s, len(regexp_extract_all(c_5.t, '(?:\\[\\d+\\])+[ \\t]+[.!?。！？]')) AS spaced, coalesce(list_sum(list_transform(c_2.made, lambda x: x.gone)), 0) AS gone
+  FROM c_5 JOIN c_2 USING (doc_id)
+), c_7 AS MATERIALIZED (
+  SELECT doc_id, n, spaced, gone, CASE WHEN gone > 0 THEN regexp_replace(s, '[ \\t]+([.!?。！？])', '\\1', 'g') ELSE s END AS t, CASE WHEN gone > 0 THEN len(regexp_extract_all(s, '[ \\t]+[.!?。！？]')) ELSE 0 END AS orphans FROM c_6
+), {_without_tails("c_7", "c_8")}, canon AS MATERIALIZED (
+  SELECT c_0.doc_id, c_0.t AS t0, regexp_replace(c_8.t, '\\s+$', '') AS t, c_1.k AS k1, c_8.k AS k2, spaced AS remove_space_before_final_punctuation, orphans AS remove_orphaned_space_before_punctuation, CAST(gone AS BIGINT) AS remove_invalid_or_out_of_range_label,
+    len(list_filter(c_2.made, lambda x: x.listed)) AS convert_named_source_list, len(list_filter(c_2.made, lambda x: NOT x.listed AND NOT x.plain AND NOT x.numeric)) AS convert_named_source_label, len(list_filter(c_2.made, lambda x: x.plain)) AS convert_plain_source_number,
+    len(list_filter(c_2.made, lambda x: x.comma)) AS split_combined_citation, len(list_filter(c_2.made, lambda x: x.dash)) AS expand_ranged_citation, CAST(coalesce(list_sum(list_transform(c_2.made, lambda x: x.bad)), 0) AS BIGINT) AS remove_invalid_range,
+    CAST(coalesce(list_sum(list_transform(c_2.made, lambda x: x.twice)), 0) + coalesce(list_sum(list_transform(c_3.made, lambda x: x.twice)), 0) + coalesce(list_sum(list_transform(c_5.made, lambda x: x.twice)), 0) AS BIGINT) AS remove_duplicate_label,
+    len(list_filter(c_3.made, lambda x: x.changed)) + len(list_filter(c_5.made, lambda x: x.changed)) AS compact_separate_citation_cluster, len(list_filter(c_3.made, lambda x: x.blank)) + len(list_filter(c_5.made, lambda x: x.blank)) AS insert_space_before_citation_cluster,
+    CAST(coalesce(list_sum(list_transform(c_4.made, lambda x: x.moved)), 0) AS BIGINT) AS move_post_punctuation_citation
+  FROM c_0 JOIN c_1 USING (doc_id) JOIN c_2 USING (doc_id) JOIN c_3 USING (doc_id) JOIN c_4 USING (doc_id) JOIN c_5 USING (doc_id) JOIN c_7 USING (doc_id) JOIN c_8 USING (doc_id)
+)"""
+
+CANON_ACTIONS = ("remove_space_before_final_punctuation", "remove_orphaned_space_before_punctuation", "remove_invalid_or_out_of_range_label", "convert_named_source_list", "convert_named_source_label", "convert_plain_source_number", "split_combined_citation", "expand_ranged_citation", "remove_invalid_range", "remove_duplicate_label", "compact_separate_citation_cluster", "insert_space_before_citation_cluster", "move_post_punctuation_citation")

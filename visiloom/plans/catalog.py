@@ -359,7 +359,11 @@ def prompt_families(spark, d):
     return a.scores(spark, d).select(keys.prompt_family(F.concat_ws(".", "method", "model")).alias("family")).groupBy("family").agg(F.count("*").alias("n"))
 
 
-@query("canonical_answers")
+UNRESOLVED = r"""len(list_filter(regexp_extract_all(t, '\[[^\]\n]*\d+[^\]\n]*\]'), lambda x: NOT regexp_matches(x, '^\[\d+\]$'))) + len(regexp_extract_all(t, '(?i)\bSources?\s*\d+\b'))
+  + len(list_filter(string_split_regex(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_matches(x, '(?i)^\s*(?:#{1,6}\s*)?(?:references|sources|bibliography|citations|参考文献|资料来源|来源)\s*[:：]?\s*$')))"""
+
+
+@query("canonical_answers", f"WITH RECURSIVE {a.CANON} SELECT doc_id, sha256(t) AS sha256, t <> t0 AS changed, {UNRESOLVED} AS unresolved, CAST({' + '.join(a.CANON_ACTIONS)} + 2 * (CASE WHEN len(k1) > 0 THEN 1 ELSE 0 END + CASE WHEN len(k2) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS actions FROM canon")
 def canonical_answers(spark, d):
     x = a.answers(spark, d).select("doc_id", canonical_column("answer", "source_count").alias("c"))
     return x.select("doc_id", F.sha2("c.answer", 256).alias("sha256"), "c.changed", F.size("c.unresolved").alias("unresolved"), F.coalesce(F.aggregate(F.map_values("c.action_counts"), F.lit(0).cast("long"), lambda s, v: s + v), F.lit(0).cast("long")).alias("actions"))
@@ -370,7 +374,12 @@ def detached_repair(spark, d):
     return a.answers(spark, d).select("doc_id", detached_repaired("answer").alias("r"), "answer").select("doc_id", (F.col("r") != F.col("answer")).alias("changed"), F.sha2("r", 256).alias("sha256"))
 
 
-@query("canonicalization_counts")
+KINDS = "SELECT doc_id, CASE WHEN len({k}) > 1 THEN 'remove_successive_reference_tails' ELSE 'remove_' || {k}[1] END AS action FROM canon WHERE len({k}) > 0"
+
+
+@query("canonicalization_counts", f"WITH RECURSIVE {a.CANON}, kinds AS (SELECT doc_id, unnest([action, 'remove_trailing_reference_list']) AS action FROM ({KINDS.format(k='k1')} UNION ALL {KINDS.format(k='k2')})) "
+    + " UNION ALL ".join(f"SELECT '{x}' AS action, count(*) AS answers, CAST(sum({x}) AS BIGINT) AS n FROM canon WHERE {x} > 0 HAVING count(*) > 0" for x in a.CANON_ACTIONS)
+    + " UNION ALL SELECT action, count(DISTINCT doc_id), count(*) FROM kinds GROUP BY action")
 def canonicalization_counts(spark, d):
     x = a.answers(spark, d).select(F.explode(canonical_column("answer", "source_count")["action_counts"]).alias("action", "k"))
     return x.groupBy("action").agg(F.count("*").alias("answers"), F.sum("k").alias("n"))
