@@ -15,6 +15,7 @@ from ..functions.templates import source_blocks, source_labels
 from ..operators import boundaries, checks, conditions, diagnostics, generation, judge, lengths, objective, sampling, texts
 from ..operators import improvement as imp
 from ..operators.bootstrap import intervals
+from ..operators.draws import Draws
 from ..sources.scratch import stored
 from ..sources.sinks import heat_table
 from ..streaming.resume import changed, remaining
@@ -553,6 +554,17 @@ def random_targets(spark, d):
     return a.manifest(spark, d).select("sample_id", sampling.random_index("sample_id", "candidate_document_count", 3).alias("target"))
 
 
+@query("manifest_draw")
+def manifest_draw(spark, d):
+    """A manifest's draws as the sequential generator makes them: a sample, a balanced choice with targets, and the final order of both."""
+    c = a.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("domain"), (F.col("c_nationkey") % 6 + 1).cast("int").alias("documents"))
+    draws = Draws(7)
+    one = draws.sample(c, 100, ["id"])
+    two = Draws(8).choices(draws.balanced(c, 53, ["id"]), "documents")
+    both = one.withColumn("target", F.lit(None).cast("long")).unionByName(two.withColumn("place", F.col("place") + 100))
+    return draws.shuffled(both, name="manifest_index").select("manifest_index", "id", "domain", "target")
+
+
 @query("first_documents", "SELECT l_suppkey, array_to_string(list(l_partkey ORDER BY i), ',') AS documents FROM (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS i FROM lineitem) WHERE i <= 10 GROUP BY l_suppkey")
 def first_documents(spark, d):
     x = a.table(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("o"), F.col("l_partkey").cast("string").alias("p"), F.lit("q").alias("query"))
