@@ -64,29 +64,68 @@ def test_substrings_in_batches(spark, odd_documents):
     index = substrings.FingerprintIndex(spark, width=5)
     a = spark.createDataFrame([("one two three four five six",)], "text string")
     assert index.add(substrings.write_blocks(a, "text")).count() == 0
-    assert index.add(substrings.write_blocks(a, "text").withColumn("block", F.col("block") + 100)).select("block").distinct().count() == 2
-    index.compact()
-    assert len(index.runs) == 1 and index.add(substrings.write_blocks(a, "text").withColumn("block", F.col("block") + 200)).select("block").distinct().count() == 3
+    assert index.add(substrings.write_blocks(a, "text", first_part=100)).select("block").distinct().count() == 2
+    index.compact(2)
+    assert len(index.runs) == 1 and index.add(substrings.write_blocks(a, "text", first_part=200)).select("block").distinct().count() == 3
+
+
+def test_runs_are_merged_by_tiers(spark):
+    """Sixteen batches leave few runs, and an entry is rewritten once a tier."""
+    index = substrings.FingerprintIndex(spark, width=3)
+    written, write = [], index._write
+    index._write = lambda rows: written.append(1) or write(rows)
+    runs = []
+    for k in range(16):
+        df = spark.createDataFrame([(f"w{k} x{k} y{k} z{k} shared words here",)], "text string").coalesce(1)
+        index.add(substrings.write_blocks(df, "text", first_part=10 * k))
+        index.compact()
+        runs.append(len(index.runs))
+    assert runs == [1, 2, 3, 1, 2, 3, 4, 2, 3, 4, 5, 3, 4, 5, 6, 1] and len(written) == 16 + 4 + 1
+    assert len([n for n in listed(spark, index.path) if n.startswith("run-")]) == 1
+
+
+def test_corpus_in_sessions(spark, odd_documents, tmp_path):
+    """Batches added in sessions of their own give what one pass over all documents gives; earlier documents follow, others aren't touched."""
+    path = str(tmp_path / "corpus")
+    now, seen = {}, []
+    for k in range(4):
+        batch = odd_documents.where(F.col("size") % 4 == k) if k < 3 else odd_documents.where("size % 4 = 3 and size < 60")
+        seen += [r["size"] for r in batch.collect()]
+        new, earlier = substrings.Corpus(spark, path, width=5).add(batch.repartition(5))
+        fresh, revised = rows_of(new, "size", "text"), rows_of(earlier, "size", "text")
+        assert sorted(i for i, _ in fresh) == sorted(r["size"] for r in batch.collect()) and {i for i, _ in revised} <= set(now)
+        assert new.columns == odd_documents.columns and (k == 0) == (not revised)
+        now |= dict(fresh) | dict(revised)
+        rows = [(r["size"], r.text) for r in odd_documents.collect() if r["size"] in seen]
+        for (i, before), want in zip(rows, kept_words([t for _, t in rows], 5)):
+            assert WORD.findall(now[i] or "") == want, (k, i)
+            assert (now[i] is None) == (before is None)
+    numbers = spark.read.parquet(*[f"{path}/{f}" for f in listed(spark, path) if f.startswith("blocks-")]).select("block").collect()
+    assert len(numbers) == len({r.block for r in numbers})
+    with pytest.raises(ValueError, match="columns"):
+        substrings.Corpus(spark, path, width=5).add(odd_documents.select("text"))
+    none, _ = substrings.Corpus(spark, path, width=5).add(odd_documents.where("false"))
+    assert none.count() == 0
 
 
 def test_substring_index_is_reopened(spark):
     """An index of batches A and B, opened again by its path, finds which blocks of history a batch C repeats; old runs are gone."""
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(24)]
-    frame = lambda k: substrings.write_blocks(spark.createDataFrame([(t,) for t in texts[k::3]], "text string").repartition(8), "text", 1).withColumn("block", F.col("block") * 3 + k)
+    frame = lambda k: substrings.write_blocks(spark.createDataFrame([(t,) for t in texts[k::3]], "text string").repartition(8), "text", 1, first_part=8 * k)
     batches = [frame(k) for k in range(3)]
     index = substrings.FingerprintIndex(spark, width=5)
     for b in batches[:2]:
         index.add(b)
-    index.compact()
+    index.compact(2)
     kept = [n for n in listed(spark, index.path) if n.startswith("run-")]
-    assert kept == [f for f, _ in index.runs] and len(kept) == 1
+    assert kept == [f for f, *_ in index.runs] and len(kept) == 1
     opened = substrings.FingerprintIndex(spark, width=5, path=index.path)
-    assert [f for f, _ in opened.runs] == kept
+    assert [f for f, *_ in opened.runs] == kept
     hits = {r.block for r in opened.add(batches[2]).collect()}
     held = {r.block: unpacked(bytes(r.payload)).column("text").to_pylist() for b in batches for r in b.collect()}
     windows = {k: Counter(tuple(w[i : i + 5]) for t in ts for w in [t.split()] for i in range(len(w) - 4)) for k, ts in held.items()}
-    new = Counter(w for k, c in windows.items() if k % 3 == 2 for w in c.elements())
+    new = Counter(w for k, c in windows.items() if k >> 35 == 2 for w in c.elements())
     total = Counter(w for c in windows.values() for w in c.elements())
     must = {k for k, c in windows.items() if any(total[w] > 1 and new[w] for w in c)}
     assert must and must <= hits

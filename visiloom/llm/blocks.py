@@ -75,15 +75,15 @@ def as_is(rows: pa.Table) -> tuple[bytes, int]:
     return packed(rows), 0
 
 
-def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callable[[pa.Table], tuple[bytes, int]] = as_is) -> DataFrame:
-    """part, block, size (rows), tokens and payload: what `make` gives for the block's rows, all their columns as they are."""
+def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callable[[pa.Table], tuple[bytes, int]] = as_is, first_part: int = 0, path: str | None = None) -> DataFrame:
+    """part, block, size (rows), tokens and payload: what `make` gives for the block's rows, all their columns as they are. Parts, and so blocks, are numbered from first_part on, so that several tables can have numbers of their own."""
     small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+        number, held, n = (first_part + TaskContext.get().partitionId()) << 32, [], 0
 
         def row() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
@@ -100,7 +100,7 @@ def write_blocks(docs: DataFrame, text: str, target: int = TARGET, make: Callabl
         if held:
             yield row()
 
-    return bucketed(docs.mapInArrow(run, SCHEMA), "blocks", "part", partitions(docs.sparkSession))
+    return bucketed(docs.mapInArrow(run, SCHEMA), "blocks", "part", partitions(docs.sparkSession), path=path)
 
 
 def answered(blocks: DataFrame, answers: DataFrame, run: Callable[[int, bytes, pa.Table], pa.Table], schema) -> DataFrame:

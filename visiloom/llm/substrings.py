@@ -7,8 +7,13 @@ that share the hash and the place it comes from are one entry: (hash, digest of
 The index holds entries, per block of documents, in immutable runs sorted and bucketed by hash. Each new batch is written
 as a run and merge-joined with the earlier runs, without a shuffle: hashes found twice are candidates, in the new batch
 and in history. Where all entries of a hash have one digest they repeat as a whole; others are verified window by window,
-by 128-bit digests of the words. Runs are compacted into one when there are more than `RUNS`, and the old ones deleted. An
-index lives under a path that a later session can open: its runs are listed in a manifest, whose newest version counts.
+by 128-bit digests of the words. Runs are compacted by tiers: `TIER` runs of like size become one, and the old ones are
+deleted, so an entry is rewritten once a tier and there are few runs however many batches came.
+
+An index lives under a path that a later session can open: a manifest, whose newest version counts, lists its runs, and for
+`Corpus` the blocks of documents themselves, what was found of them, and where numbers of new blocks begin. A `Corpus` is
+deduplicated batch by batch: only new blocks and those earlier ones that hold a hash of the new batch are read, and
+it gives the new documents and the earlier ones whose text is another now, as one pass over all would.
 
 Every occurrence of a repeated window loses its words, the first too, within a document as across documents; windows are
 judged on the input. Rows: a null text has no words and stays null; fewer than WINDOW words are never removed; rows that
@@ -29,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U, buffer_of, grouped, run_hashes, span_hashes, word_spans
-from .blocks import answered, bucketed, bucketed_at, unpacked, write_blocks
+from .blocks import SCHEMA, answered, bucketed, bucketed_at, unpacked, write_blocks
 from .common import dropped, listed, partitions, scratch, shuffles_released, stored
 
-WINDOW, RUNS, BATCHES = 35, 1, 2
+WINDOW, TIER, BATCHES = 35, 4, 4
 PLACE = U((1 << 26) - 1)
 
 
@@ -110,7 +115,7 @@ class Windows:
 
 
 class FingerprintIndex:
-    """Runs of (fp, d, block, n), sorted and bucketed by fp; a batch is a table of blocks. With the path of an earlier index, goes on from its newest manifest."""
+    """Runs of (fp, d, block, n), sorted and bucketed by fp; a batch is a table of blocks whose numbers no other batch has. With the path of an earlier index, goes on from its newest manifest."""
 
     ENTRY = "fp long, d long, block long, n int"
 
@@ -118,28 +123,30 @@ class FingerprintIndex:
         self.spark, self.text, self.width = spark, text, width
         self.path = path or scratch(spark, "index")
         self.buckets, self.version = partitions(spark), 0
-        self.runs: list[tuple[str, DataFrame]] = []  # folder and rows
+        self.runs: list[tuple[str, int, DataFrame]] = []  # folder, how many rows, rows
+        self.more: dict = {}  # what else the manifest holds
         known = [int(n) for n in listed(spark, f"{self.path}/manifest") if n.isdigit()] if path else []
         if known:
             self.version = max(known)
             saved = json.loads(spark.read.text(f"{self.path}/manifest/{self.version}").first()[0])
             if saved["width"] != width:
                 raise ValueError(f"the index holds windows of {saved['width']} words")
-            self.buckets = saved["buckets"]
-            self.runs = [(r, bucketed_at(spark, "run", f"{self.path}/{r}", self.ENTRY, "fp", self.buckets)) for r in saved["runs"]]
+            self.buckets, self.more = saved["buckets"], saved["more"]
+            self.runs = [(r, n, bucketed_at(spark, "run", f"{self.path}/{r}", self.ENTRY, "fp", self.buckets)) for r, n in saved["runs"]]
 
-    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
+    def _write(self, rows: DataFrame) -> tuple[str, int, DataFrame]:
         folder = f"run-{uuid.uuid4().hex[:12]}"
-        return folder, bucketed(rows.repartition(self.buckets, "fp"), "run", "fp", self.buckets, sorted_=True, path=f"{self.path}/{folder}")
+        run = bucketed(rows.repartition(self.buckets, "fp"), "run", "fp", self.buckets, sorted_=True, path=f"{self.path}/{folder}")
+        return folder, run.count(), run
 
-    def _commit(self) -> None:
-        """Makes the runs as they are now what a later session finds."""
+    def commit(self) -> None:
+        """Makes the index as it is now what a later session finds."""
         self.version += 1
-        line = json.dumps({"width": self.width, "buckets": self.buckets, "runs": [r for r, _ in self.runs]})
+        line = json.dumps({"width": self.width, "buckets": self.buckets, "runs": [(r, n) for r, n, _ in self.runs], "more": self.more})
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.version}")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds the batch; gives block, fp, mixed of the candidates that it has made, in itself and in earlier batches."""
+        """Adds the batch; gives block, fp, mixed of the candidates that it has made, in itself and in earlier batches. It lasts once commit() is called."""
         text, width = self.text, self.width
 
         def run(batches):
@@ -150,50 +157,47 @@ class FingerprintIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(d.view(np.int64)), pa.array(np.full(len(fp), number.as_py())), pa.array(n.astype(np.int32))], names=["fp", "d", "block", "n"])
 
         written = self._write(batch.select("block", "payload").mapInArrow(run, self.ENTRY))
-        new, earlier = written[1], [rows for _, rows in self.runs]
+        new, earlier = written[2], [rows for *_, rows in self.runs]
         found = self._keys(new)
         for k, old in enumerate(earlier):
             other = self._keys(old).toDF("fp", f"n{k}", f"low{k}", f"high{k}")
             found = found.join(other.hint("merge"), "fp", "left")
             found = found.select("fp", (F.col("n") + F.coalesce(f"n{k}", F.lit(0))).alias("n"), F.least("low", f"low{k}").alias("low"), F.greatest("high", f"high{k}").alias("high"))
         found = found.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed"))
+        if earlier:  # looked up in each run: made once, and laid out like the runs
+            found = bucketed(found, "found", "fp", self.buckets, sorted_=True)
         hits = [run_.join(found.hint("merge"), "fp").select("block", "fp", "mixed") for run_ in [new, *earlier]]
         out = hits[0]
         for h in hits[1:]:
             out = out.unionByName(h)
         out = stored(out.distinct(), "candidates")
         self.runs.append(written)
-        self._commit()
-        if len(self.runs) > RUNS:
-            self.compact()
         return out
 
     @staticmethod
     def _keys(run: DataFrame) -> DataFrame:
         return run.groupBy("fp").agg(F.sum("n").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
 
-    def compact(self) -> None:
-        """Merges all runs into one and, when the manifest no longer names them, deletes them."""
-        old, rows = self.runs, self.runs[0][1]
-        for _, r in old[1:]:
-            rows = rows.unionByName(r)
-        self.runs = [self._write(rows)]
-        self._commit()
-        for folder, _ in old:
+    def compact(self, most: int = TIER) -> None:
+        """Merges the newest runs while `most` of them are of like size (within a factor of 2; or whatever their sizes, once there are 4 TIER runs), and deletes them when the manifest no longer names them."""
+        gone: list[str] = []
+        while len(self.runs) >= most:
+            some = self.runs[-most:]
+            sizes = [max(n, 1) for _, n, _ in some]
+            if max(sizes) > 2 * min(sizes) and len(self.runs) < 4 * TIER:
+                break
+            rows = some[0][2]
+            for *_, r in some[1:]:
+                rows = rows.unionByName(r)
+            self.runs[-most:] = [self._write(rows)]
+            gone += [folder for folder, *_ in some]
+        self.commit()
+        for folder in gone:
             dropped(self.spark, f"{self.path}/{folder}")
 
 
-def repeated(blocks: DataFrame, text: str, width: int, batches: int) -> DataFrame:
-    """block, kind, a, b: hashes that repeat as a whole (kind 0: a), hashes to look at by window (1: a), and digests of windows that repeat (2: a, b)."""
-    index = FingerprintIndex(blocks.sparkSession, text, width)
-    candidates = None
-    for k in range(batches):
-        found = index.add(blocks.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == k))
-        candidates = found if candidates is None else candidates.unionByName(found)
-        shuffles_released(blocks.sparkSession)
-    dropped(blocks.sparkSession, index.path)  # nothing is added to this one
-    # a hash that is mixed in any batch is looked at by window
-    candidates = stored(candidates.groupBy("block", "fp").agg(F.max("mixed").alias("mixed")), "candidates")
+def verified(blocks: DataFrame, candidates: DataFrame, text: str, width: int) -> DataFrame:
+    """block, kind, a, b: hashes that repeat as a whole (kind 0: a), hashes to look at by window (1: a), and digests of windows that repeat (2: a, b). candidates: block, fp, mixed, each pair once, and their blocks."""
 
     def ask(block: int, payload: bytes, hits: pa.Table) -> pa.Table:
         one = two = np.zeros(0, U)
@@ -214,10 +218,22 @@ def repeated(blocks: DataFrame, text: str, width: int, batches: int) -> DataFram
     return hashes.unionByName(windows)
 
 
-def judged(docs: DataFrame, text: str, make: Callable[[pa.Table, Windows, np.ndarray], pa.Table], schema, width: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """make(rows of a block, their windows, which words go) for each block."""
-    blocks = write_blocks(docs, text)
+def repeated(blocks: DataFrame, text: str, width: int, batches: int) -> DataFrame:
+    """What verified() says of all blocks, added to an index batch by batch."""
+    index = FingerprintIndex(blocks.sparkSession, text, width)
+    candidates = None
+    for k in range(batches):
+        found = index.add(blocks.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == k))
+        candidates = found if candidates is None else candidates.unionByName(found)
+        index.compact()
+        shuffles_released(blocks.sparkSession)
+    # a hash that is mixed in any batch is looked at by window
+    candidates = stored(candidates.groupBy("block", "fp").agg(F.max("mixed").alias("mixed")), "candidates")
+    dropped(blocks.sparkSession, index.path)  # nothing is added to this one
+    return verified(blocks, candidates, text, width)
+
 
+def _finish(make: Callable[[pa.Table, Windows, np.ndarray], pa.Table], text: str, width: int):
     def finish(block: int, payload: bytes, flags: pa.Table) -> pa.Table:
         rows = unpacked(payload)
         w = Windows(rows.column(text).combine_chunks(), width)
@@ -225,11 +241,17 @@ def judged(docs: DataFrame, text: str, make: Callable[[pa.Table, Windows, np.nda
         a, b = a.view(U), b.view(U)
         return make(rows, w, w.removed(a[kind == 0], a[kind == 1], a[kind == 2], b[kind == 2]))
 
-    return answered(blocks, repeated(blocks, text, width, batches), finish, schema)
+    return finish
 
 
-def deduplicated(docs: DataFrame, text: str = "text", width: int = WINDOW, n_chars: str | None = None) -> DataFrame:
-    """docs with the words of repeated windows cut out of the text; texts without any stay byte for byte. n_chars: a column to set to the new length."""
+def judged(docs: DataFrame, text: str, make: Callable[[pa.Table, Windows, np.ndarray], pa.Table], schema, width: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+    """make(rows of a block, their windows, which words go) for each block."""
+    blocks = write_blocks(docs, text)
+    return answered(blocks, repeated(blocks, text, width, batches), _finish(make, text, width), schema)
+
+
+def _cut_out(text: str, n_chars: str | None):
+    """Rows with the words that go cut out of their texts."""
 
     def make(rows: pa.Table, w: Windows, gone: np.ndarray) -> pa.Table:
         old = rows.column(text).to_pylist()
@@ -254,7 +276,50 @@ def deduplicated(docs: DataFrame, text: str = "text", width: int = WINDOW, n_cha
             out = out.set_column(i, out.schema.field(n_chars), lengths.cast(out.schema.field(n_chars).type))
         return out
 
-    return judged(docs, text, make, docs.schema, width)
+    return make
+
+
+def deduplicated(docs: DataFrame, text: str = "text", width: int = WINDOW, n_chars: str | None = None) -> DataFrame:
+    """docs with the words of repeated windows cut out of the text; texts without any stay byte for byte. n_chars: a column to set to the new length."""
+    return judged(docs, text, _cut_out(text, n_chars), docs.schema, width)
+
+
+class Corpus:
+    """Documents deduplicated batch by batch, in one session or many: under its path lie the index, the blocks of all documents and what was found of them."""
+
+    FLAGS = "block long, kind int, a long, b long"
+
+    def __init__(self, spark: SparkSession, path: str, text: str = "text", width: int = WINDOW, n_chars: str | None = None):
+        self.spark, self.text, self.width, self.n_chars = spark, text, width, n_chars
+        self.index = FingerprintIndex(spark, text, width, path)
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        folders = self.index.more.get(kind, [])
+        out = self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.index.path}/{f}" for f in folders]) if folders else out
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The new documents without repeated words, and the earlier documents of blocks that share a hash with them, as they are now. All batches have the same columns."""
+        index, more = self.index, self.index.more
+        columns = docs.schema.json()
+        if more.setdefault("schema", columns) != columns:
+            raise ValueError("a batch has the columns of those before it")
+        folders = {kind: f"{kind}-{uuid.uuid4().hex[:12]}" for kind in ("blocks", "flags")}
+        earlier = self._read("blocks", SCHEMA)
+        blocks = write_blocks(docs, self.text, first_part=more.get("parts", 0), path=f"{index.path}/{folders['blocks']}")
+        last = blocks.agg(F.max("part")).first()[0]
+        candidates = index.add(blocks)
+        hit = stored(candidates.select("block").distinct(), "hit")
+        old = earlier.join(hit, "block", "left_semi")
+        both = blocks.unionByName(old.select(*blocks.columns))
+        verified(both.join(hit, "block", "left_semi"), candidates, self.text, self.width).write.parquet(f"{index.path}/{folders['flags']}")
+        for kind, folder in folders.items():
+            more.setdefault(kind, []).append(folder)
+        more["parts"] = more.get("parts", 0) if last is None else last + 1
+        index.compact()
+        flags = self._read("flags", self.FLAGS)
+        finish = _finish(_cut_out(self.text, self.n_chars), self.text, self.width)
+        return answered(blocks, flags.join(blocks.select("block"), "block", "left_semi"), finish, docs.schema), answered(old, flags.join(old.select("block"), "block", "left_semi"), finish, docs.schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
