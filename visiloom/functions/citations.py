@@ -6,6 +6,8 @@ white space. Its numbers are for that splitter; another one can give `sentences`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 # Decimal digits of other scripts that answers use, and what they stand for.
 OTHER_DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 
@@ -127,13 +134,13 @@ def strict_units(answer: str | Column) -> Column:
 def strict_diagnostics(answer: str | Column, source_count: str | Column) -> Column:
     """Version 2: every unit ends in separate in-range citations before its final mark; no combined or named forms."""
     a, n = _col(answer), _col(source_count)
-    units = strict_units(a)
-    good = F.filter(units, lambda u: u.rlike(V2_FINAL))
-    bad = F.filter(units, lambda u: ~u.rlike(V2_FINAL))
-    invalid = _distinct_out_of_range(expanded_numbers(a), n)
+
+    def of(x: Column) -> Column:
+        good, bad = F.filter(x["units"], lambda u: u.rlike(V2_FINAL)), F.filter(x["units"], lambda u: ~u.rlike(V2_FINAL))
+        return let(F.struct(F.size(x["units"]).alias("all"), F.size(good).alias("good"), bad.alias("bad")), lambda y: F.struct(
+            n.alias("source_count"), y["all"].alias("sentence_count"), y["good"].alias("compliant_sentence_count"), F.size(y["bad"]).alias("noncompliant_sentence_count"),
+            F.slice(y["bad"], 1, 5).alias("noncompliant_sentence_first_5"), x["invalid"].alias("invalid_numeric_citations"), x["named"].alias("named_source_citations"), x["combined"].alias("combined_or_ranged_citations"),
+            ((y["all"] > 0) & (F.size(y["bad"]) == 0) & (F.size(x["invalid"]) == 0) & (F.size(x["named"]) == 0) & (F.size(x["combined"]) == 0)).alias("contract_compliant")))
+
     named, combined = F.regexp_extract_all(a, F.lit(V2_NAMED), F.lit(0)), F.regexp_extract_all(a, F.lit(V2_COMBINED), F.lit(0))
-    return F.struct(
-        n.alias("source_count"), F.size(units).alias("sentence_count"), F.size(good).alias("compliant_sentence_count"), F.size(bad).alias("noncompliant_sentence_count"),
-        F.slice(bad, 1, 5).alias("noncompliant_sentence_first_5"), invalid.alias("invalid_numeric_citations"), named.alias("named_source_citations"), combined.alias("combined_or_ranged_citations"),
-        ((F.size(units) > 0) & (F.size(bad) == 0) & (F.size(invalid) == 0) & (F.size(named) == 0) & (F.size(combined) == 0)).alias("contract_compliant"),
-    )
+    return let(F.struct(strict_units(a).alias("units"), _distinct_out_of_range(expanded_numbers(a), n).alias("invalid"), named.alias("named"), combined.alias("combined")), of)

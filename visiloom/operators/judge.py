@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.citations import cites, separate_citations
 from ..functions.keys import ANSWER_KEY, DIMENSIONS, SEEDS, TRIAL_KEY
 from ..functions.scores import parsed_score
+from ..sources.scratch import stored
 from .checks import grid, required, union_all
 
 
@@ -115,7 +116,8 @@ def alignment(raw: DataFrame, canonical: DataFrame, manifest: DataFrame, strict:
 
 
 def merged_trials(old: DataFrame, rerun: DataFrame, aligned: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, seeds: tuple[int, ...] = SEEDS, strict: bool = True) -> DataFrame:
-    """Old trials of answers to reuse, new ones of answers judged again, zeros of the rest; strict: the whole expected grid, once."""
+    """Old trials of answers to reuse, new ones of answers judged again, zeros of the rest; strict: the whole expected grid, once. The alignment is stored, as each of them reads it."""
+    aligned = stored(aligned, "aligned")
     action = aligned.select(*ANSWER_KEY, "subjective_score_action", F.col("canonical_target_source_cited").alias("target_source_cited"))
     columns = [*TRIAL_KEY, "score", "raw_output", "score_origin", "subjective_score_action", "target_source_cited"]
 
@@ -144,9 +146,9 @@ def old_score_defects(scores: DataFrame, dimensions: tuple[str, ...] = DIMENSION
 
 def incremental_plan(new: DataFrame, scored: DataFrame, manifest: DataFrame) -> DataFrame:
     """key, action: only answers that changed since they were scored and cite the target are judged again."""
-    a = new.select(*ANSWER_KEY, "answer")
-    b = scored.select(*ANSWER_KEY, F.col("answer").alias("scored_answer"))
+    a = new.select(*ANSWER_KEY, F.sha2("answer", 256).alias("new_sha256"), F.array_distinct(separate_citations("answer")).alias("cited"))  # texts themselves don't move
+    b = scored.select(*ANSWER_KEY, F.sha2("answer", 256).alias("scored_sha256"))
     j = a.join(b, ANSWER_KEY, "full").join(targets(manifest), "sample_id")
-    cited = cites("answer", "target_citation_index")
-    action = F.when(F.col("answer").isNull(), "missing").when(F.col("scored_answer").isNull(), "unscored").when(~cited, "deterministic_zero").when(F.col("answer") != F.col("scored_answer"), "rerun_glm_judge").otherwise("reuse_old_scores")
+    cited = F.coalesce(F.array_contains("cited", F.col("target_citation_index")), F.lit(False))
+    action = F.when(F.col("new_sha256").isNull(), "missing").when(F.col("scored_sha256").isNull(), "unscored").when(~cited, "deterministic_zero").when(F.col("new_sha256") != F.col("scored_sha256"), "rerun_glm_judge").otherwise("reuse_old_scores")
     return j.select(*ANSWER_KEY, action.alias("action"))

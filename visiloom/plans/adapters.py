@@ -316,3 +316,35 @@ c_6 AS MATERIALIZED (
 )"""
 
 CANON_ACTIONS = ("remove_space_before_final_punctuation", "remove_orphaned_space_before_punctuation", "remove_invalid_or_out_of_range_label", "convert_named_source_list", "convert_named_source_label", "convert_plain_source_number", "split_combined_citation", "expand_ranged_citation", "remove_invalid_range", "remove_duplicate_label", "compact_separate_citation_cluster", "insert_space_before_citation_cluster", "move_post_punctuation_citation")
+
+_NAMED = r"(?i)(?:\[\s*Source\s+\d+\s*\]|\(\s*Source\s+\d+\s*\)|\bSource\s+\d+\b)"
+_COMBINED = r"\[\s*\d+(?:\s*[-,]\s*\d+)+\s*\]"
+_FINAL = r"""((?:\[\d+\])+)\s*[.!?。！？](?:["''”’)]*)$"""
+_LIKE = r"(?i)(?:\[\s*(?:Source\s+)?\d[^\]\n]*\]|\(\s*Source\s+\d+\s*\)|\bSource\s+\d+\b)"
+
+#: units: doc_id, n, answer and u, the sentence units of the strict and the optional contract.
+STRICT_UNITS = PIECES + r""", cjk AS MATERIALIZED (
+  SELECT doc_id, source_count AS n, answer, flatten(list_transform(string_split_regex(answer, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: string_split(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)))) AS p FROM answers
+), units AS MATERIALIZED (
+  SELECT doc_id, n, answer, list_filter(list_transform(flatten(list_transform(p, lambda x: string_split(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '([.!?。！？])\s+([A-Z0-9"''“‘])', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS u FROM cjk
+)"""
+
+#: v2: what citations.strict_diagnostics() says.
+STRICT = STRICT_UNITS + f""", v2 AS MATERIALIZED (
+  SELECT *, sentence_count > 0 AND sentence_count = compliant_sentence_count AND len(invalid) = 0 AND len(named) = 0 AND len(combined) = 0 AS contract_compliant FROM (
+    SELECT doc_id, n, CAST(len(u) AS INTEGER) AS sentence_count, CAST(len(list_filter(u, lambda x: regexp_matches(x, '{_FINAL}'))) AS INTEGER) AS compliant_sentence_count,
+      list_filter(list_transform(flatten(list_transform(regexp_extract_all(answer, '\\[(\\d+(?:\\s*[-,]\\s*\\d+)*)\\]', 1), lambda b: string_split_regex(b, '\\s*[,\\-]\\s*'))), lambda v: CAST(v AS BIGINT)), lambda v: v < 1 OR v > n) AS invalid,
+      regexp_extract_all(answer, '{_NAMED}') AS named, regexp_extract_all(answer, '{_COMBINED}') AS combined FROM units)
+)"""
+
+#: v4: what contracts.optional_diagnostics() says. All tokens of a unit lie in its final block if there are as many of them in it as in the unit.
+OPTIONAL = STRICT_UNITS + f""", each AS MATERIALIZED (
+  SELECT doc_id, i, len(regexp_extract_all(x, '{_LIKE}')) AS likes, regexp_extract_all(x, '\\[(\\d+)\\]', 1) AS tokens, len(regexp_extract_all(regexp_extract(x, '{_FINAL}', 1), '\\[\\d+\\]')) AS final, regexp_matches(x, '{_NAMED}') OR regexp_matches(x, '{_COMBINED}') AS other, n
+  FROM (SELECT doc_id, n, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM units)
+), judged AS MATERIALIZED (
+  SELECT *, likes > 0 AND NOT (len(tokens) > 0 AND final = len(tokens) AND likes = len(tokens) AND NOT other AND len(list_filter(tokens, lambda t: CAST(t AS BIGINT) NOT BETWEEN 1 AND n)) = 0) AS bad FROM each
+), v4 AS MATERIALIZED (
+  SELECT units.doc_id, coalesce(sentences, 0) AS sentences, coalesce(cited, 0) AS cited, coalesce(malformed, 0) AS malformed, coalesce(sentences, 0) > 0 AND malformed = 0 AND len(list_filter(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda t: CAST(t AS BIGINT) NOT BETWEEN 1 AND n)) = 0 AND NOT regexp_matches(answer, '{_NAMED}') AND NOT regexp_matches(answer, '{_COMBINED}')
+    AND NOT regexp_matches(answer, '(?im)^\\s*(?:#{{1,6}}\\s*)?(?:references|sources|bibliography|参考文献|资料来源|来源)\\s*:?\\s*$') AND NOT regexp_matches(answer, '(?im)^\\s*(?:[-*+]\\s*)?(?:Source|来源)\\s+\\d+\\s*:\\s*\\S+') AS compliant
+  FROM (SELECT doc_id, count(*) AS sentences, count(*) FILTER (likes > 0) AS cited, count(*) FILTER (bad) AS malformed FROM judged GROUP BY doc_id) g RIGHT JOIN units ON units.doc_id = g.doc_id
+)"""

@@ -313,11 +313,17 @@ def basic_diagnostics(spark, d):
     return x.select("doc_id", "b.numeric_citation_count", F.array_join("b.invalid_numeric_citations", ",").alias("invalid"), F.size("b.named_bracket_citations").alias("named"))
 
 
-@query("strict_diagnostics")
+@query("strict_diagnostics", f"WITH {a.STRICT} SELECT doc_id, sentence_count, compliant_sentence_count, contract_compliant FROM v2")
 def strict_diagnostics(spark, d):
     return a.answers(spark, d).select("doc_id", citations.strict_diagnostics("answer", "source_count").alias("v")).select("doc_id", "v.sentence_count", "v.compliant_sentence_count", "v.contract_compliant")
 
 
+@query("optional_contract", f"WITH {a.OPTIONAL} SELECT doc_id, CAST(sentences AS INTEGER) AS sentence_count, CAST(cited AS INTEGER) AS citation_bearing_sentence_count, CAST(malformed AS INTEGER) AS malformed_citation_sentence_count, sentences > 0 AND cited = 0 AS citationless_answer, compliant AS contract_compliant FROM v4")
+def optional_contract(spark, d):
+    x = a.answers(spark, d).select("doc_id", optional_diagnostics("answer", "source_count").alias("v4"))
+    return x.select("doc_id", *[f"v4.{c}" for c in ("sentence_count", "citation_bearing_sentence_count", "malformed_citation_sentence_count", "citationless_answer", "contract_compliant")])
+
+
 @query("contract_diagnostics")
 def contract_diagnostics(spark, d):
     x = a.answers(spark, d).select("doc_id", optional_diagnostics("answer", "source_count").alias("v4"), exact_diagnostics("answer", "source_count").alias("v6"))
@@ -329,7 +335,8 @@ def diagnostic_rollup(spark, d):
     return diagnostics.rollup(a.answers(spark, d).select(all_views("answer", "source_count").alias("d")))
 
 
-@query("diagnostic_changes")
+@query("diagnostic_changes", f"WITH {a.STRICT}{a.OPTIONAL.removeprefix(a.STRICT_UNITS)}, f AS (SELECT v2.contract_compliant AS v2, v4.compliant AS v4, doc_id % 2 = 0 AS s2, CASE WHEN doc_id % 3 > 0 THEN true END AS s4 FROM v2 JOIN v4 USING (doc_id)) "
+    "SELECT count(*) AS n, count(*) FILTER (s2) AS v2_before, count(*) FILTER (v2) AS v2_after, count(*) FILTER (v2 IS DISTINCT FROM s2) AS v2_changed, count(*) FILTER (s4) AS v4_before, count(*) FILTER (v4) AS v4_after, count(*) FILTER (v4 IS DISTINCT FROM s4) AS v4_changed FROM f")
 def diagnostic_changes(spark, d):
     x = a.answers(spark, d).withColumns({"stored_v2": F.col("doc_id") % 2 == 0, "stored_v4": F.when(F.col("doc_id") % 3 > 0, F.lit(True))})
     return diagnostics.change_summary(diagnostics.recomputed(x))
