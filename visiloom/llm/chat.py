@@ -6,8 +6,10 @@ Control strings in a text get one backslash after their "<" (those that already
 back takes away; so the formatted text, too, has control strings only where turns begin and end.
 
 Turns are ordered by turn (null first), then role and text, which settles ties and repeated rows. A null role counts as
-"unknown", a null text as empty; rows without a conv_id are one conversation. An empty table gives no rows. A conversation
-is read as a stream of rows, never held together, so one of any size takes the memory of one turn.
+"unknown", a null text as empty; rows without a conv_id are one conversation. An empty table gives no rows. Columns other
+than these four are not read, whatever their names. Turns are dealt out by ranges of that order, so a conversation with
+most of the rows is formatted by as many tasks as hold a range of it; their places say how its turns follow each other.
+Only digests of whole conversations read each in one task, as a stream of encoded rows that takes the memory of one turn.
 """
 
 from __future__ import annotations
@@ -90,29 +92,33 @@ class Template:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text with each conversation in one partition, its turns in order."""
+    """conv_id, turn, role, text in order within and over partitions; a long conversation spans several."""
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    order = ("conv_id", "turn", "role", "text")
+    return rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
 
 
 def formatted(rows: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """One row a turn: conv_id, turn, ids, mask. A conversation's token sequence is its turns' ids in order."""
+    """One row a turn: conv_id, turn, place, ids, mask. A conversation's token sequence is its turns' ids by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Template(vocabulary)
+        from pyspark import TaskContext
+
+        made, place = Template(vocabulary), TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in slices(batch, 3, PIECE):
                 turns = list(made.turns(piece.column(2).to_pylist(), piece.column(3).to_pylist()))
                 ends = pa.array(np.cumsum([0, *(len(i) for i, _ in turns)]), pa.int32())
                 ids, masks = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in zip(*turns))
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), ids, masks], names=["conv_id", "turn", "ids", "mask"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(np.arange(place, place + len(turns))), ids, masks], names=["conv_id", "turn", "place", "ids", "mask"])
+                place += len(turns)
 
-    schema = rows.select("conv_id", "turn").schema.add("ids", T.ArrayType(T.IntegerType())).add("mask", T.ArrayType(T.BooleanType()))
+    schema = rows.select("conv_id", "turn").schema.add("place", "long").add("ids", T.ArrayType(T.IntegerType())).add("mask", T.ArrayType(T.BooleanType()))
     return in_order(rows).mapInArrow(run, schema)
 
 
 def digests(turns: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """What is read back from formatted() rows, which come as it leaves them: by conversation, in order."""
+    """What is read back from formatted() rows, a row a conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Template(vocabulary)
@@ -129,7 +135,7 @@ def digests(turns: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> Data
 
         for batch in batches:
             kind = batch.column(0).type
-            for c, ids, mask in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            for c, ids, mask in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if state is None or c != current:
                     close()
                     current, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -147,6 +153,7 @@ def digests(turns: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> Data
             yield flush()
 
     kind = turns.schema["conv_id"].dataType.simpleString()
+    turns = turns.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "ids", "mask")
     return turns.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
