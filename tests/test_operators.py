@@ -68,6 +68,14 @@ def test_accounting(spark):
     assert not checks.all_passed(checks.integrity({"d": checks.duplicates(s, ["k"]), "none": e.limit(0)})).first().integrity
 
 
+@pytest.mark.parametrize("n", [2, 3, 7, 64, 1000])
+def test_resamples_of_a_share_are_those_of_the_whole(n):
+    values = [random.Random(n * 31 + i).uniform(-3, 5) for i in range(n)]
+    rng = random.Random(99)
+    want = [sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(300)]
+    assert [m for first in range(0, 300, 75) for m in bootstrap.resampled_means(values, 99, first, first + 75)] == want
+
+
 def test_bootstrap_is_that_of_the_standard_library(spark):
     values = [0.1, 0.5, 0.9, 0.4]
     rng = random.Random(bootstrap.stable_seed(7, "('b', 'm'):v"))

@@ -691,12 +691,25 @@ def _two_stages():
     return generation.Method("two", [generation.Stage("queries", lambda t, o, i: t), generation.Stage("final", lambda t, o, i: t + o["queries"][0], 2)])
 
 
-@query("stage_methods", "SELECT doc_id AS sample_id, CAST(1 + 2 AS INTEGER) AS calls, true AS ok FROM documents")
+#: The stub's outputs: five queries that carry the digest of their messages, then the first 512 words of the prompt after the digest of the final messages; messages as compact JSON with sorted keys.
+STAGES_SQL = r"""WITH q AS (
+  SELECT doc_id, t, sha256('[{"content":' || to_json(t) || ',"role":"user"}]') AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), o AS (
+  SELECT doc_id, h, '{"queries": [' || array_to_string(list_transform(range(0, 5), lambda i: '{"query": "query ' || i || ' ' || left(h, 8) || '", "probability": ' || (100 - i) || '}'), ', ') || ']}' AS made, t FROM q
+), f AS (
+  SELECT doc_id, h, made, t || made AS prompt, sha256('[{"content":' || to_json(t || made) || ',"role":"user"}]') AS h2 FROM o
+)
+SELECT doc_id AS sample_id, CAST(3 AS INTEGER) AS calls, true AS ok, sha256(concat_ws('|', h, h2, h2)) AS messages_sha256,
+  sha256('final ' || left(h2, 8) || ' 0: ' || array_to_string(list_slice(list_filter(string_split_regex(prompt, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> ''), 1, 512), ' ')) AS output_sha256 FROM f"""
+
+
+@query("stage_methods", STAGES_SQL)
 def stage_methods(spark, d):
     m = _two_stages()
     docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("two").alias("method_id"), F.coalesce("text", F.lit("")).alias("source_text"))
     out = generation.rewritten(docs, {"two": m}, generation.Stub)
-    return out.select("sample_id", F.size("stage_records").alias("calls"), F.col("error").isNull().alias("ok"))
+    messages = F.array_join(F.transform("stage_records", lambda r: r["messages_sha256"]), "|")
+    return out.select("sample_id", F.size("stage_records").alias("calls"), F.col("error").isNull().alias("ok"), F.sha2(messages, 256).alias("messages_sha256"), F.sha2("rewritten_text", 256).alias("output_sha256"))
 
 
 # --- trained sentence boundaries -------------------------------------------------------------------------------------
