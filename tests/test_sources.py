@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,37 @@ def test_sinks(spark, tmp_path):
 
 def test_schemas_are_named(spark):
     assert spark.createDataFrame([], SCHEMAS["judge_trial"]).columns[:6] == ["model", "sample_id", "prompt_id", "answer_seed", "dimension", "judge_seed"]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Files that are read in many splits: line ends of all kinds, blank lines, no end at the end; bad lines by file and number."""
+    from pyspark.sql import types as T
+
+    k_int = T.StructType([T.StructField("k", T.IntegerType())])
+    rng = random.Random(2)
+    files = {}
+    for name in ("b.jsonl", "a.jsonl", "c.jsonl"):
+        lines = [rng.choice(["", '{"k": %d, "t": "%s"}' % (i, "é" * rng.randint(0, 30))]) for i in range(200)]
+        files[name] = lines
+        (tmp_path / name).write_bytes("".join(x + rng.choice(["\n", "\r\n"]) for x in lines).encode().removesuffix(b"\n").removesuffix(b"\r"))
+    (tmp_path / "d.jsonl").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        df = readers.read_lines(spark, str(tmp_path))
+        got = df.orderBy("place").collect()
+        assert df.rdd.getNumPartitions() >= 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        want = [(n, i, x) for n in sorted(files) for i, x in enumerate(files[n], 1)]
+        while want[-1][2] == "" and len(want) > len(got):
+            want.pop()
+        assert [r.place for r in got] == list(range(len(got)))
+        plain = [(r.file.rsplit("/", 1)[1], r.line, r.value) for r in got]
+        blank = [w for w in want if w not in plain]
+        assert all(not x for *_, x in blank) and len(blank) <= 3  # a blank last line without an end is none
+        (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": "x"}\n[1]\n')
+        bad = readers.rejects(spark, str(tmp_path / "a.jsonl"), k_int).orderBy("line").collect()
+        assert [(r.line, r.text) for r in bad] == [(3, '{"k": "x"}'), (4, "[1]")]
+        with pytest.raises(IntegrityError, match=r"a\.jsonl:3: "):
+            readers.read_jsonl(spark, str(tmp_path / "a.jsonl"), k_int)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

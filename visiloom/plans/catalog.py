@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from ..operators import boundaries, checks, conditions, diagnostics, generation,
 from ..operators import improvement as imp
 from ..operators.bootstrap import intervals
 from ..operators.draws import Draws
-from ..sources.scratch import stored
-from ..sources.sinks import heat_table
+from ..sources.readers import read_lines
+from ..sources.scratch import shared_folder, stored
+from ..sources.sinks import heat_table, write_jsonl
 from ..streaming.resume import changed, remaining
 from . import adapters as a
 
@@ -561,6 +563,14 @@ def random_targets(spark, d):
     return a.manifest(spark, d).select("sample_id", sampling.random_index("sample_id", "candidate_document_count", 3).alias("target"))
 
 
+@query("numbered_lines", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer")
+def numbered_lines(spark, d):
+    """JSON lines written in order and read again with their numbers over all files."""
+    path = f"{shared_folder(spark)}/customers-{uuid.uuid4().hex[:12]}"
+    write_jsonl(a.table(spark, d, "customer").select("c_custkey", "c_name"), path, ["c_custkey"])
+    return read_lines(spark, path).select(F.from_json("value", "c_custkey long, c_name string").alias("x"), "place").select("x.*", "place")
+
+
 @query("manifest_draw")
 def manifest_draw(spark, d):
     """A manifest's draws as the sequential generator makes them: a sample, a balanced choice with targets, and the final order of both."""

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.checks import IntegrityError, required
 
@@ -19,20 +20,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, line (from 1 in its file), place (from 0 over all files by name) and value of every line, blank ones too.
+
+    A file is read in splits, by many tasks. A line's place in its split comes from its id within the task; the splits, one
+    row each, are counted and summed up, so no text is moved and none goes through Python. Lines end at \\n, \\r\\n or \\r."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_"), "value").withColumn("id_", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "split_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_"))
+    before = lambda w: F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split_", "first_", before(Window.partitionBy("file").orderBy("split_")).alias("in_file_"), before(Window.orderBy("file", "split_")).alias("in_all_"))
+    at = F.col("id_") - F.col("first_")
+    return rows.join(splits, ["file", "split_"]).select("file", (F.col("in_file_") + at + 1).alias("line"), (F.col("in_all_") + at).alias("place"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, strict: bool = True) -> DataFrame:
-    """One JSON object a line; blank lines are skipped. strict: a line that isn't an object of these types raises, with its file and text, when read() of rejects isn't wanted."""
+    """One JSON object a line; blank lines are skipped. strict: a line that isn't an object of these types raises, with its file, number and text."""
     if strict:
-        required(rejects(spark, path, schema), "lines that can't be read")
+        bad = rejects(spark, path, schema).orderBy("file", "line").limit(1).collect()
+        if bad:
+            raise IntegrityError(f"{bad[0].file}:{bad[0].line}: not an object of these types: {bad[0].text[:200]}")
     return spark.read.schema(schema).json(path, mode="PERMISSIVE" if strict else "DROPMALFORMED")
 
 
 def rejects(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """file, line of what read_jsonl can't read."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), "value")
+    """file, line (from 1) and text of what read_jsonl can't read."""
     held = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = lines.select("file", "value", F.from_json("value", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("x"))
+    lines = read_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.withColumn("x", F.from_json("value", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("x").isNull() | F.col("x._corrupt_record").isNotNull() | ~F.ltrim("value").startswith("{")
-    return parsed.where(bad).select("file", F.col("value").alias("line"))
+    return parsed.where(bad).select("file", "line", F.col("value").alias("text"))
 
 
 def read_jsonl_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -60,8 +76,8 @@ BENCHMARK_LINE = "query string, sources array<struct<cleaned_text:string,raw_tex
 
 
 def read_benchmark(spark: SparkSession, path: str, field: str = "cleaned_text", limit: int | None = None, benchmark: str = "geo_bench") -> DataFrame:
-    """Instances of a JSON-lines benchmark; an instance's id is its line number from 0."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("line long, value string").where(F.trim("value") != "")
+    """Instances of a JSON-lines benchmark; an instance's id is its line number from 0, over all files by name."""
+    numbered = read_lines(spark, path).where(F.trim("value") != "").withColumn("line", F.col("place"))
     x = F.from_json("value", BENCHMARK_LINE)
     df = numbered.select("line", x.alias("x"))
     out = df.select(F.lit(benchmark).alias("benchmark"), F.lit("all").alias("domain"), F.col("line").cast("string").alias("instance_id"), "x.query", F.transform("x.sources", lambda s: s[field]).alias("documents"), F.col("x.sugg_idx").alias("target_document_index"), "x.tags", "line")
