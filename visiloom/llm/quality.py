@@ -1,9 +1,9 @@
 """Quality rules with adaptive thresholds, in DataFrame expressions only.
 
 Each document's words, symbols, repeated lines and repeated three-word windows are counted. Thresholds aren't fixed: for
-every (language, source), every language and the whole corpus, mergeable quantile sketches (Greenwald-Khanna summaries of
-percentile_approx, partial sketches merged over partitions) give the quartiles of four ratios among documents that pass
-the base rules; a ratio beyond its quartile by more than `WIDE` interquartile ranges rejects the document. Small groups
+every (language, source), every language and the whole corpus, mergeable quantile sketches (KLL sketches, merged in a
+tree; exact up to `SKETCH` documents of a group, beyond that within some 0.03 % of its ranks, by chance) give the
+quartiles of four ratios among documents that pass the base rules; a ratio beyond its quartile by more than `WIDE` interquartile ranges rejects the document. Small groups
 (under `FEW` documents) use the next wider one. The thresholds are joined back and filter the corpus.
 
 Rows: a null text counts as empty (no words: base_failed). Null languages and sources are groups of their own. Rows that
@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 
 #: ratio: least spread of its fence, and whether small values are bad too
 RATIOS = {"symbol": (0.05, False), "dup_line": (0.1, False), "repeat": (0.1, False), "length": (0.5, True)}
-WIDE, FEW, ACCURACY = 3.0, 30, 10000
+WIDE, FEW, SKETCH = 3.0, 30, 8192
 SPACES = r"[\x20\x09-\x0D]+"
 LOW = (1 << 24) - 1
 
@@ -59,10 +59,29 @@ def ratios(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"__symbol": F.col("n_symbols") / n, "__dup_line": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "__repeat": F.col("n_repeat_words") / n, "__length": F.col("word_chars") / n})
 
 
-def thresholds(judged: DataFrame) -> DataFrame:
-    """One row for each (lang, source), lang and the whole, by `level` 0, 1 and 3 (grouping_id), with the fences of each ratio."""
-    q = {r: F.percentile_approx(f"__{r}", F.array(F.lit(0.25), F.lit(0.75)), F.lit(ACCURACY)).alias(r) for r in RATIOS}
-    rows = judged.where(~F.col("base_failed")).rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *q.values())
+def sketches(judged: DataFrame) -> DataFrame:
+    """lang, source, n and a quantile sketch of each ratio, several rows a group. They can be stored, and rows of later batches added to them."""
+    n = partitions(judged.sparkSession)
+    passed = judged.where(~F.col("base_failed")).withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(n)))
+    return passed.groupBy("lang", "source", "__salt").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(f"__{r}", SKETCH).alias(r) for r in RATIOS]).drop("__salt")
+
+
+def merged(rows: DataFrame, *by: Column | str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, SKETCH).alias(r) for r in RATIOS])
+
+
+def thresholds(found: DataFrame) -> DataFrame:
+    """One row for each (lang, source), lang and the whole, by `level` 0, 1 and 3, with the fences of each ratio. found: sketches(), best stored.
+
+    Sketches are merged in a tree: a task has a share of a group's, then one for each share; languages from their sources, the whole from the languages."""
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(partitions(found.sparkSession))).alias("share")
+    one = merged(found, "lang", "source")
+    lang = merged(merged(one, "lang", share("source")), "lang")
+    whole = merged(merged(lang, share("lang")))
+    none = F.lit(None).cast("string")
+    rows = one.withColumn("level", F.lit(0)).unionByName(lang.withColumns({"source": none, "level": F.lit(1)})).unionByName(whole.withColumns({"lang": none, "source": none, "level": F.lit(3)}).where("n > 0"))
+    quartiles = F.array(F.lit(0.25), F.lit(0.75))
+    rows = rows.select("lang", "source", "level", "n", *[F.kll_sketch_get_quantile_double(r, quartiles).alias(r) for r in RATIOS])
     out = ["lang", "source", "level", "n"]
     for r, (least, both) in RATIOS.items():
         spread = F.greatest(F.col(r)[1] - F.col(r)[0], F.lit(least)) * WIDE
@@ -84,7 +103,7 @@ def kept_column() -> Column:
 def verdicts(counts: DataFrame) -> DataFrame:
     """counts with the column kept. Counts should be stored: they are read for the sketches and again for the join."""
     judged = ratios(counts)
-    limits = stored(thresholds(judged), "thresholds")
+    limits = stored(thresholds(stored(sketches(judged), "sketches")), "thresholds")
     fences = [c for c in limits.columns if c not in ("lang", "source", "level", "n")]
     own = F.struct(*fences)
     one = limits.where("level = 0").select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.col("n").alias("__n"), own.alias("__own"))
@@ -105,7 +124,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(counts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-#: The sketches are exact on few rows (accuracy 10,000): the value of rank ceil(q n).
+#: The sketches are exact on few rows (up to 8,192 of a group): the value of rank ceil(q n).
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
