@@ -10,7 +10,7 @@ may differ; all that share such a key are within two bits of each other, so one
 
 Rows: null text counts as empty (fingerprint zero, linked like any other); rows that repeat a doc_id each get a row, with
 the component of their own text; a null doc_id never is a component's id unless all its ids are null. An empty table gives
-none. Only the id and the text are read.
+none. Only the id and the text are read. Joins are merged by hint, as in `graph`.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def edges(fps: DataFrame) -> DataFrame:
     """u, v over distinct fingerprints fp: at least a spanning set of all links of at most two bits, and only such links."""
     keyed = _variants(fps)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(keyed.join(sizes, "key"), "variants")
+    shared = stored(keyed.join(sizes.hint("merge"), "key"), "variants")
     few = (
         shared.where(f"n <= {PAIRS}").groupBy("key", "kind").agg(F.collect_list("fp").alias("l"))
         .select(F.expr("""explode(flatten(transform(l, a -> transform(filter(l, b -> a < b and bit_count(a ^ b) <= 2
@@ -88,7 +88,7 @@ def edges(fps: DataFrame) -> DataFrame:
         else flatten(transform(sequence(32, 62), i -> transform(sequence(i + 1, 63), j -> shiftleft(1L, i) | shiftleft(1L, j)))) end""")
     starred = many.select("fp", F.explode(masks).alias("mask")).select("fp", "mask", F.expr("fp & ~mask").alias("rest"))
     least = starred.groupBy("mask", "rest").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").drop("most")
-    stars = starred.join(least, ["mask", "rest"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
+    stars = starred.join(least.hint("merge"), ["mask", "rest"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
     return few.unionByName(stars).distinct()
 
 
@@ -97,10 +97,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_doc = stored(fingerprints(docs, doc_id, text, width), "fingerprints")
     by_fp = stored(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(edges(by_fp.select("fp")))
-    joined = by_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = by_fp.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = joined.join(ids, "root").select("fp", "component_id")
-    return by_doc.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = joined.join(ids.hint("merge"), "root").select("fp", "component_id")
+    return by_doc.join(of_fp.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -120,9 +120,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     first = F.min(F.struct(F.col("i").isNull(), "i", "r")).alias("first")
     by_fp = stored(slim.groupBy("fp").agg(first), "distinct")
     roots = components(edges(by_fp.select("fp")))
-    joined = by_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    joined = by_fp.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left")
     kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.r").alias(row))
-    return marked.join(kept, row, "left_semi").select(*docs.columns)
+    return marked.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
