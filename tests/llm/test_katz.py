@@ -95,3 +95,39 @@ def test_empty_and_no_training(spark):
     assert KatzScorer(spark.createDataFrame([], schema)).scores().count() == 0
     one = KatzScorer(spark.createDataFrame([(1, "a b", True)], schema)).scores().first()
     assert (one.n_tokens, one.n_known, one.train_tokens, one.score, one.base_score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_memory_of_a_bucket(spark):
+    """A bucket is counted in ranges of histories: what a worker holds for each n-gram is less than the columns of one n-gram, widened."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from visiloom.llm import katz
+    from visiloom.llm.arrays import pack, pack_floats, pack_sorted
+
+    rng, rows, each = np.random.default_rng(1), [], 400_000
+    for block in range(10):
+        pairs = np.unique(rng.integers(1, 1 << 40, each).astype(np.uint64))
+        words = np.arange(1, 5001, dtype=np.uint64)
+        n = len(pairs)
+        rows.append({"bucket": 0, "block": block, "h": pack_sorted(pairs), "runs": pack(np.ones(n, np.int64)), "hot": pack(np.zeros(n, np.int64)), "words": pack_sorted(words), "word": pack(rng.integers(0, 5000, n)), "lower": pack(np.ones(5000, np.int64)), "whole": pack(np.zeros(0, np.int64)), "n": pack(np.ones(n, np.int64))})
+        rows[-1]["scales"], rows[-1]["scale"] = pack_floats(np.zeros(0))
+    model = katz.Model(2, tokens=10 * each, texts=10, types=5000, levels=[katz.Level.fitted([0] * 6)])
+    count, table, key = katz._count_grams(2, model), pa.Table.from_pylist(rows), (pa.scalar(0),)
+    tracemalloc.start()
+    out = count(key, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r["stats"][katz.CUTOFF + 2] for r in out.to_pylist() if r["stats"]) == sum(len(katz.unpack_sorted(r["h"])) for r in rows)
+    assert peak < 60 * 10 * each, peak
+
+
+@pytest.mark.parametrize("part_grams", [1, 50])
+def test_parts_of_buckets_change_nothing(spark, part_grams):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randint(0, 60))), i % 7 == 0) for i in range(60)], "doc_id long, text string, held_out boolean")
+    of = lambda **more: sorted(tuple(r) for r in KatzScorer(df, 3, bucket_tokens=300, block_bytes=1500, hot_least=20, **more).scores().collect())
+    assert of(part_grams=part_grams) == of()

@@ -34,8 +34,10 @@ from .blocks import Answers, answered, packed, unpacked, write_blocks
 from .common import held_out, shuffles_released
 
 CUTOFF = 5
-#: Tokens to a count bucket, least and most (some 70 bytes each in a worker), and bytes to a block. Between them both the size and the number of buckets follow the root of the corpus, so messages from blocks to buckets shrink slowly.
+#: Tokens to a count bucket, least and most (some 15 bytes each in a worker, see PART_GRAMS), and bytes to a block. Between them both the size and the number of buckets follow the root of the corpus, so messages from blocks to buckets shrink slowly.
 BUCKET_TOKENS, MOST_BUCKET_TOKENS, BLOCK_BYTES = 1_000_000, 20_000_000, 6 << 20
+#: N-grams of a bucket that are counted at once (some 90 bytes each).
+PART_GRAMS = 500_000
 END, START = U(0x5851F42D4C957F2D), U(0)
 PAIR = U(0xC2B2AE3D27D4EB4F)
 
@@ -198,6 +200,12 @@ HOT = -1  # in place of a bucket: what is known of a block's histories that were
 ANSWER = "block long, level int, bucket int, counts binary, places binary, mass binary, hot_h long, hot_sum double, hot_mass binary, hot array<long>, stats array<long>"
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, none below 0, in the smallest unsigned width."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else U)
+
+
 def _stats(counts: np.ndarray) -> list[int]:
     """How many have count 1 .. CUTOFF + 1, how many any, and their sum."""
     return [int((counts == r).sum()) for r in range(1, CUTOFF + 2)] + [int((counts > 0).sum()), int(counts.sum())]
@@ -243,56 +251,89 @@ def _shorter(h: np.ndarray, level: int, model: Model) -> tuple[np.ndarray, np.nd
     return np.arange(len(h)), np.arange(len(h))
 
 
-def _count_grams(level: int, model: Model):
-    """Counts of one bucket, which exist only here, and the answers for each block."""
+def _parts(sizes: np.ndarray, h: list[np.ndarray], runs: list[np.ndarray], most: int) -> list[U]:
+    """Histories at which to cut a bucket of questions into parts of about `most` n-grams, by a sample of its histories: cuts decide on memory, not on results."""
+    step = max(1, int(sizes.sum()) // 1_000_000)
+    some, weight = np.concatenate([x[::step] for x in h]), np.concatenate([np.add.reduceat(r, np.arange(0, len(r), step), dtype=np.int64) if len(r) else r for r in runs])
+    order = np.argsort(some, kind="stable")
+    some, total = some[order], np.cumsum(weight[order])
+    at = np.searchsorted(total, np.arange(most, int(total[-1]) if len(total) else 0, most))
+    return np.unique(some[at]).tolist()
+
+
+def _count_grams(level: int, model: Model, most: int = PART_GRAMS):
+    """Counts of one bucket, which exist only here, and the answers for each block.
+
+    Questions stay as narrow as they came; they are widened, sorted and counted for one range of histories after another, which hold
+    about `most` n-grams (one history isn't cut), so memory hardly grows with the bucket."""
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
-        h, w, p, n, hot, sizes = [], [], [], [], [], []
-        for r in rows.to_pylist():
-            runs = unpack(r["runs"]).astype(np.int64)
-            h_ = unpack_sorted(r["h"])
-            h.append(np.repeat(h_, runs))
-            hot.append(np.repeat(unpack(r["hot"]).astype(bool), runs))
-            word = unpack(r["word"]).astype(np.int64)
-            w.append(unpack_sorted(r["words"])[word])
-            lower = unpack(r["lower"]).astype(np.int64)
-            p.append(model.unigram(lower)[word] if level == 2 else model.levels[level - 2].of(lower) * lower * np.repeat((unpack_floats(r["scales"], r["scale"]) / unpack(r["whole"]).astype(np.int64))[_shorter(h_, level, model)[1]], runs))
-            n.append(unpack(r["n"]).astype(np.int32))
-            sizes.append(len(runs) and len(n[-1]))
-        h, w, p, n, hot = map(np.concatenate, (h, w, p, n, hot))
-        key_ = pair_hash(h, w)
-        del w
-        first, inverse = grouped(key_)
-        h, p, hot = h[first], p[first], hot[first]
-        del key_, first
-        total = np.bincount(inverse, weights=n, minlength=len(h)).astype(np.int64)
-        at, of = grouped(h)
-        histories = h[at]
-        del h, at
-        low = np.bincount(of, weights=np.where(total > 0, p, 0.0), minlength=len(histories))
-        # mass[h]: how many continuations have each count to CUTOFF, then the sum of all counts
-        mass = np.stack([np.bincount(of[total == r], minlength=len(histories)) for r in range(1, CUTOFF + 1)] + [np.bincount(of, weights=total, minlength=len(histories)).astype(np.int64)], axis=1)
-        is_hot = np.zeros(len(histories), dtype=bool)
-        is_hot[of] = hot
-        totals = np.split(total[inverse], np.cumsum(sizes)[:-1])
-        whose = np.split(of[inverse], np.cumsum(sizes)[:-1])
+        blocks, asked_of = rows["block"].to_pylist(), []
+        for i in range(rows.num_rows):
+            r = {c: rows[c][i].as_py() for c in rows.column_names if c not in ("bucket", "block")}
+            h, runs = unpack_sorted(r["h"]), narrow(unpack(r["runs"]))
+            lower = unpack(r["lower"])
+            if level == 2:
+                factors, shorter = model.unigram(lower.astype(np.int64)), None
+            else:
+                factors, shorter = unpack_floats(r["scales"], r["scale"]) / unpack(r["whole"]).astype(np.int64), narrow(_shorter(h, level, model)[1])
+            asked_of.append((h, runs, unpack(r["hot"]).astype(bool), unpack_sorted(r["words"]), narrow(unpack(r["word"])), None if level == 2 else narrow(lower), factors, shorter, narrow(unpack(r["n"])), np.concatenate([np.zeros(1, np.uint32), np.cumsum(runs, dtype=np.uint32)])))
+        del rows
+        sizes = np.array([len(q[8]) for q in asked_of])
+        cuts = _parts(sizes, [q[0] for q in asked_of], [q[1] for q in asked_of], most)
+        ranges = [np.concatenate([[0], np.searchsorted(q[0], np.array(cuts, dtype=U)), [len(q[0])]]) for q in asked_of]
+        told: list[list[tuple]] = [[] for _ in asked_of]
+        stats, hots = np.zeros(CUTOFF + 3, np.int64), []
+        for part in range(len(cuts) + 1):
+            h, keys, p, n, hot, held = [], [], [], [], [], []
+            for (h_, runs, hot_, words, word, lower, factors, shorter, n_, begin), at in zip(asked_of, ranges):
+                x, y = at[part], at[part + 1]
+                a, b, r = int(begin[x]), int(begin[y]), runs[x:y]
+                h.append(np.repeat(h_[x:y], r))
+                hot.append(np.repeat(hot_[x:y], r))
+                keys.append(pair_hash(h[-1], words[word[a:b]]))
+                p.append(factors[word[a:b]] if level == 2 else model.levels[level - 2].of(lower[a:b].astype(np.int64)) * lower[a:b] * np.repeat(factors[shorter[x:y]], r))
+                n.append(n_[a:b].astype(np.int32))
+                held.append(b - a)
+            h, p, n, hot = map(np.concatenate, (h, p, n, hot))
+            first, inverse = grouped(np.concatenate(keys))
+            h, p, hot = h[first], p[first], hot[first]
+            del keys, first
+            total = np.bincount(inverse, weights=n, minlength=len(h)).astype(np.int64)
+            at, of = grouped(h)
+            histories = h[at]
+            del h, at
+            low = np.bincount(of, weights=np.where(total > 0, p, 0.0), minlength=len(histories))
+            # mass[h]: how many continuations have each count to CUTOFF, then the sum of all counts
+            mass = np.stack([np.bincount(of[total == r], minlength=len(histories)) for r in range(1, CUTOFF + 1)] + [np.bincount(of, weights=total, minlength=len(histories)).astype(np.int64)], axis=1)
+            is_hot = np.zeros(len(histories), dtype=bool)
+            is_hot[of] = hot
+            ends = np.cumsum(held)[:-1]
+            for i, (t, o) in enumerate(zip(np.split(total[inverse], ends), np.split(of[inverse], ends))):
+                if not len(t):
+                    continue
+                at = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))  # each history of the question
+                unseen = np.bincount(np.cumsum(np.concatenate([[0], o[1:] != o[:-1]])), weights=t == 0, minlength=len(at)) > 0
+                bare = (mass[o[at], :CUTOFF].sum(axis=1) == 0) & (mass[o[at], CUTOFF] > 0)
+                want = np.flatnonzero((unseen | bare) & ~is_hot[o[at]])
+                hs = o[at[want]]
+                told[i].append((narrow(t), want + ranges[i][part], narrow(mass[hs].ravel()), low[hs], histories[np.unique(o[at][is_hot[o[at]]])].view(np.int64).tolist()))
+            stats += _stats(total)
+            hots += [(int(h_), float(s), pack(m)) for h_, s, m in zip(histories[is_hot].view(np.int64), low[is_hot], mass[is_hot])]
+        del asked_of
         counts, places, masses, asked = [], [], [], []
-        for t, o in zip(totals, whose):
-            at = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))  # each history of the question
-            unseen = np.bincount(np.cumsum(np.concatenate([[0], o[1:] != o[:-1]])), weights=t == 0, minlength=len(at)) > 0
-            bare = (mass[o[at], :CUTOFF].sum(axis=1) == 0) & (mass[o[at], CUTOFF] > 0)
-            want = np.flatnonzero((unseen | bare) & ~is_hot[o[at]])
-            hs = o[at[want]]
-            counts.append(pack(t))
-            places.append(pack(want))
-            masses.append(pack(mass[hs].ravel()) + low[hs].astype("<f8").tobytes())
-            asked.append(histories[np.unique(o[at][is_hot[o[at]]])].view(np.int64).tolist() or None)
-        k, m = key[0].as_py(), len(totals)
-        hot_at = np.flatnonzero(is_hot)
+        for i, parts in enumerate(told):
+            t, want, m, s, a = zip(*parts) if parts else ([np.zeros(0, np.int64)],) * 4 + ([[]],)
+            counts.append(pack(np.concatenate(t)))
+            places.append(pack(np.concatenate(want)))
+            masses.append(pack(np.concatenate(m)) + np.concatenate(s).astype("<f8").tobytes())
+            asked.append([x for y in a for x in y] or None)
+            told[i] = []
+        k, m = key[0].as_py(), len(blocks)
         release()
         return pa.concat_tables([
-            _answer(block=[*rows["block"].to_pylist(), None], level=[level] * (m + 1), bucket=[k] * (m + 1), counts=[*counts, None], places=[*places, None], mass=[*masses, None], hot=[*asked, None], stats=[None] * m + [[*_stats(total), 0, 0]]),
-            _answer(block=[None] * len(hot_at), level=[level] * len(hot_at), bucket=[k] * len(hot_at), hot_h=histories[hot_at].view(np.int64).tolist(), hot_sum=low[hot_at].tolist(), hot_mass=[pack(mass[i]) for i in hot_at]),
+            _answer(block=[*blocks, None], level=[level] * (m + 1), bucket=[k] * (m + 1), counts=[*counts, None], places=[*places, None], mass=[*masses, None], hot=[*asked, None], stats=[None] * m + [[*stats.tolist(), 0, 0]]),
+            _answer(block=[None] * len(hots), level=[level] * len(hots), bucket=[k] * len(hots), hot_h=[x[0] for x in hots], hot_sum=[x[1] for x in hots], hot_mass=[x[2] for x in hots]),
         ])
 
     return count
@@ -373,10 +414,10 @@ class KatzScorer:
 
     Columns other than the three named aren't read, so their names don't matter; texts of any length are a block of their own."""
 
-    def __init__(self, docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text", held: str = "held_out", bucket_tokens: int | None = None, block_bytes: int = BLOCK_BYTES, hot_least: int = 1000):
+    def __init__(self, docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text", held: str = "held_out", bucket_tokens: int | None = None, block_bytes: int = BLOCK_BYTES, hot_least: int = 1000, part_grams: int = PART_GRAMS):
         self.id_type = docs.schema[doc_id].dataType.simpleString()
         self.blocks = write_blocks(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(held).alias("h")), "t", block_bytes, tokenised(order, "id", "t", "h"))
-        self.model = Model(order, hot_least=hot_least)
+        self.model, self.part_grams = Model(order, hot_least=hot_least), part_grams
         size = self.blocks.agg(F.sum("tokens")).first()[0] or 0
         each = bucket_tokens or min(max(BUCKET_TOKENS, int((100_000 * size) ** 0.5)), MOST_BUCKET_TOKENS)
         self.model.buckets = max(1, -(-size // each))
@@ -449,7 +490,7 @@ class KatzScorer:
             return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
         asked = answered(self.blocks, self._told(level - 1), ask, QUESTION)
-        return asked.groupBy("bucket").applyInArrow(_count_grams(level, model), ANSWER)
+        return asked.groupBy("bucket").applyInArrow(_count_grams(level, model, self.part_grams), ANSWER)
 
     def scores(self) -> DataFrame:
         """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
