@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import small_batches
+
 
 class Backend:
     """What a model must offer. Subclass it, and give a function that makes one; it is called once a partition."""
@@ -125,6 +127,7 @@ def rewritten(documents: DataFrame, methods: dict[str, Method], make_backend: Ca
                     rows.append((k, m, None, None, error_payload(e)))
             yield pd.DataFrame(rows, columns=[key, "method_id", "rewritten_text", "stage_records", "error"])
 
+    small_batches(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, "method_id", text).mapInPandas(run, f"{key} {kind}, method_id string, rewritten_text string, stage_records {RECORD}, error string")
 
@@ -154,6 +157,7 @@ def generated(rows: DataFrame, keys: list[str], make_backend: Callable[[], Backe
             yield out.astype({"output_tokens": "Int32", "cap_hit": "boolean"})
 
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+    small_batches(rows.sparkSession)
     names = [*keys] if seed in keys else [*keys, seed]
     return rows.select(*names, "messages").mapInPandas(run, f"{types}, {output} string, input_tokens int, output_tokens int, cap_hit boolean, error_type string, error string")
 
