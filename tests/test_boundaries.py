@@ -169,3 +169,10 @@ def test_scores_of_trained_sentences(spark, model):
     assert found.uncited_sentence_count == 0
     plain = objective.scored(df).select("scores.diagnostics.uncited_sentence_count").first()
     assert plain.uncited_sentence_count == 2
+
+
+def test_patterns_of_a_chunk_are_bound(spark):
+    """Each pattern is looked for once a chunk: what is used again is bound, not written out again."""
+    made = spark.range(1).select(F.lit("(e.g.").alias("c")).select(boundaries._chunk(F.col("c"), F.lit(True), F.lit(True)).alias("x"))
+    text = made._jdf.queryExecution().analyzed().toString().lower()
+    assert text.count("regexp_") + text.count("rlike") <= 12

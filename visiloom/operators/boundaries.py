@@ -26,6 +26,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.citations import let
+from ..sources.scratch import stored
+
 # The published thresholds.
 ABBREVIATION, STARTER, COLLOCATION, ALWAYS = 0.3, 30.0, 7.88, 0.99
 
@@ -34,15 +37,23 @@ NUMBER = "##number##"
 
 
 def _chunk(c: Column, first: Column, last: Column) -> Column:
-    """word, kind of mark, case, whether it is an initial or a number, whether it begins or ends a paragraph."""
-    bare = F.regexp_replace(c, r"\[\p{N}+\]", "")
-    rest = F.regexp_replace(bare, r"^[^\p{L}\p{N}]+", "")
-    tail = F.regexp_extract(F.when(rest == "", bare).otherwise(rest), r"[^\p{L}\p{N}]*$", 0)
-    core = F.regexp_replace(rest, r"[^\p{L}\p{N}]+$", "")
-    number = core.rlike(r"^\p{N}[\p{N}.,:]*$")
-    mark = F.when(tail.rlike(r"[!?。！？]"), "strong").when(tail.rlike(r"^[^.,;:]*\.\.+[^.,;:]*$"), "dots").when(tail.rlike(r"^[^.,;:]*\.[^.,;:]*$"), "stop").otherwise("none")
-    case = F.when(core.rlike(r"^\p{Lu}"), "upper").when(core.rlike(r"^\p{Ll}"), "lower").otherwise("none")
-    return F.struct(c.alias("chunk"), F.when(number, NUMBER).otherwise(F.lower(core)).alias("word"), mark.alias("mark"), case.alias("case"), core.rlike(r"^\p{L}$").alias("initial"), first.alias("first"), last.alias("last"))
+    """word, kind of mark, case, whether it is an initial or a number, whether it begins or ends a paragraph. Patterns take nearly all the time, so what is used twice is bound (let)."""
+
+    def of(rest: Column, tail: Column) -> Column:
+        core = F.when(rest == "", "").otherwise(F.left(rest, F.length(rest) - F.length(tail)))
+        return let(core, lambda core: made(tail, core))
+
+    def made(tail: Column, core: Column) -> Column:
+        number = core.rlike(r"^\p{N}[\p{N}.,:]*$")
+        mark = F.when(tail == "", "none").when(tail.rlike(r"[!?。！？]"), "strong").when(tail.rlike(r"^[^.,;:]*\.\.+[^.,;:]*$"), "dots").when(tail.rlike(r"^[^.,;:]*\.[^.,;:]*$"), "stop").otherwise("none")
+        case = F.when(core.rlike(r"^\p{Lu}"), "upper").when(core.rlike(r"^\p{Ll}"), "lower").otherwise("none")
+        return F.struct(c.alias("chunk"), F.when(number, NUMBER).otherwise(F.lower(core)).alias("word"), mark.alias("mark"), case.alias("case"), core.rlike(r"^\p{L}$").alias("initial"), first.alias("first"), last.alias("last"))
+
+    def trimmed(bare: Column, rest: Column) -> Column:
+        return let(F.regexp_extract(F.when(rest == "", bare).otherwise(rest), r"[^\p{L}\p{N}]*$", 0), lambda tail: of(rest, tail))
+
+    bare = F.when(F.contains(c, F.lit("[")), F.regexp_replace(c, r"\[\p{N}+\]", "")).otherwise(c)
+    return let(bare, lambda bare: let(F.regexp_replace(bare, r"^[^\p{L}\p{N}]+", ""), lambda rest: trimmed(bare, rest)))
 
 
 def chunks(text: str | Column) -> Column:
@@ -134,7 +145,8 @@ class Boundaries:
         """texts with an array of sentences, their chunks joined by single spaces; null where the text is."""
         key = "text_digest_"
         keyed = texts.withColumn(key, F.sha2(text, 256))
-        distinct = keyed.where(F.col(text).isNotNull()).groupBy(key).agg(F.first(text).alias("t")).select(key, chunks("t").alias("c"))
+        # cut once: the chunks are read for the places of stops, for the pairs to decide and for the sentences
+        distinct = stored(keyed.where(F.col(text).isNotNull()).groupBy(key).agg(F.first(text).alias("t")).select(key, chunks("t").alias("c")), "chunks")
         pairs = distinct.select(key, F.posexplode(_pairs(F.col("c"))).alias("at", "p")).where("p.mark in ('stop', 'dots')").select(key, "at", "p.mark", "p.left", "p.initial", "p.word", "p.case")
         question = ["mark", "left", "initial", "word", "case"]
         ends = pairs.join(self.decided(pairs.select(*question).distinct()), question).where("ends").groupBy(key).agg(F.collect_list("at").alias("ends"))
