@@ -131,3 +131,41 @@ def test_parts_of_buckets_change_nothing(spark, part_grams):
     df = spark.createDataFrame([(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randint(0, 60))), i % 7 == 0) for i in range(60)], "doc_id long, text string, held_out boolean")
     of = lambda **more: sorted(tuple(r) for r in KatzScorer(df, 3, bucket_tokens=300, block_bytes=1500, hot_least=20, **more).scores().collect())
     assert of(part_grams=part_grams) == of()
+
+
+@pytest.mark.parametrize("pairs", [True, False])
+def test_grams_are_ordered_by_values(monkeypatch, pairs):
+    """The n-grams of a large block are ordered by sorting values, not by sorting their places, which takes many times as long."""
+    import numpy as np
+    import pyarrow as pa
+
+    from visiloom.llm import katz
+
+    rng = np.random.RandomState(5)
+    texts = [" ".join(map("w{}".format, rng.randint(0, 3000, n))) for n in (0, 1, 2, 150_000, 0, 3)]
+    rows = pa.table([pa.array(range(6)), pa.array(texts), pa.array([False] * 5 + [True])], names=["id", "t", "h"])
+    block = katz.Block(katz.tokenised(3, "id", "t", "h")(rows)[0])
+    ids = rng.permutation(len(block.vocabulary)).astype(katz.U) + katz.U(1)
+    block.ranked(ids)
+    model = katz.Model(3, tokens=100_000, buckets=7, hot_least=10, pairs=pairs)
+    history_counts = ids[block.which].astype(np.int64)
+    sort, by_place = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: by_place.append(len(x)) or sort(x, *a, **k))
+    two = katz.Grams(block, 2, ids, history_counts, model)
+    three = katz.Grams(block, 3, ids, history_counts, model, two.group)
+    assert not [n for n in by_place if n > 1000]
+    for n, g in ((2, two), (3, three)):
+        seen = {}
+        for begin, size in zip(block.begin, block.n):
+            tokens = [0] * (n - 1) + ids[block.which[begin : begin + size]].tolist()
+            seen.update((begin + i, tuple(tokens[i : i + n])) for i in range(size))
+        grams = [seen[t] for t in g.first.tolist()]
+        assert len(set(grams)) == len(grams) and [grams[i] for i in g.inverse.tolist()] == [seen[t] for t in range(len(block.which))]
+        assert g.w.tolist() == [x[-1] for x in grams]
+        assert (np.diff(g.bucket) >= 0).all()
+        for _, a, b in g.cuts():
+            assert (g.h[a + 1 : b] >= g.h[a : b - 1]).all()
+            same = g.h[a + 1 : b] == g.h[a : b - 1]
+            assert (g.word_rank[a + 1 : b][same] > g.word_rank[a : b - 1][same]).all()
+        kept = np.bincount(g.inverse[block.train], minlength=len(grams))
+        assert (g.counts == kept).all()

@@ -153,8 +153,9 @@ def pack(x: np.ndarray) -> bytes:
         x = x.astype(np.int64).view(U)
     top = int(x.max()) if len(x) else 0
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    planes = x.astype(f"u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + _squeeze.compress(planes.tobytes())
+    x = x.astype(f"u{width}")
+    planes = b"".join((x >> x.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(width))
+    return bytes([width]) + _squeeze.compress(planes)
 
 
 def unpack(blob: bytes) -> np.ndarray:

@@ -117,7 +117,8 @@ def tokenised(order: int, doc_id: str, text: str, held: str):
         at = np.arange(len(doc)) + doc  # each text before adds an end
         h = np.full(len(doc) + n, END)
         h[at] = span_hashes(buf, starts, ends)
-        vocabulary, which = np.unique(h, return_inverse=True)
+        first, which = grouped(h)
+        vocabulary = h[first]
         out = pa.table([rows.column(doc_id), rows.column(held), pa.array(words + 1)], names=["id", "held", "n"])
         return packed(pa.table([pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([pack(which)], pa.binary()), pa.array([packed(out)], pa.binary())], names=["vocabulary", "which", "rows"])), len(which)
 
@@ -142,52 +143,55 @@ class Block:
     def own_counts(self) -> np.ndarray:
         return np.bincount(self.which[self.train], minlength=len(self.vocabulary))
 
-    def histories(self, n: int, ids: np.ndarray, pairs: bool) -> np.ndarray:
-        """The id of the token before each token; the ids of the two before it, or for longer histories (or ids over 32 bits: no pairs) a hash of the ids of the n - 1 before it. Before a text come as many starts (0) as it takes."""
-        h = ids[self.which]
-        out = np.zeros(len(h), U)
-        place = np.arange(len(h)) - np.repeat(self.begin, self.n)
+    def histories(self, n: int, ids: np.ndarray, pairs: bool, at: np.ndarray) -> np.ndarray:
+        """For some tokens the id of the token before; the ids of the two before it, or for longer histories (or ids over 32 bits: no pairs) a hash of the ids of the n - 1 before it. Before a text come as many starts (0) as it takes."""
+        out = np.zeros(len(at), U)
+        place = at - np.repeat(self.begin, self.n)[at]
         for back in range(n - 1, 0, -1):
-            before = np.zeros(len(h), U)
-            before[back:] = h[:-back]
-            before[place < back] = START
+            before = np.where(place >= back, ids[self.which[at - back]], START)
             out = before if n == 2 else out << U(32) | before if n == 3 and pairs else pair_hash(out, before)
         return out
 
-
-    def short(self, n: int, at: np.ndarray) -> np.ndarray:
-        """For some tokens the places of the two words before them, in the order of their ids: a short form of pairs."""
-        place = at - np.repeat(self.begin, self.n)[at]
-        rank = self.rank.astype(U) + U(1)
-        one, two = (np.where(place >= back, rank[self.which[at - back]], START) for back in (1, 2))
-        return two << U(max(1, len(rank).bit_length())) | one
+    def numbered(self, shorter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """A token that is each distinct pair of words, or with the numbers of these for each token each three words, and the number of each token's, in the order of their ids."""
+        word = self.rank[self.which]
+        before = np.zeros(len(word), U)
+        before[1:] = (word if shorter is None else shorter)[:-1]
+        before[1:] += U(1)
+        before[self.begin] = START
+        return grouped(before << U(max(1, len(self.rank).bit_length())) | word.astype(U))
 
 
 class Grams:
     """The distinct n-grams of a block at one level: their order, buckets, and what goes to each."""
 
-    def __init__(self, block: Block, n: int, ids: np.ndarray, history_counts: np.ndarray, model: Model):
-        history = block.histories(n, ids, model.pairs)
-        word = ids[block.which]
-        key = pair_hash(history, word)
-        first, inverse = grouped(key)
-        h = history[first]
-        hot = model.hot(history_counts[first])
-        bucket = bucket_of(np.where(hot, key[first], mix(h)), model.buckets)
-        del key
-        # by history and word, then by bucket: values with places in their low bits sort fastest
+    def __init__(self, block: Block, n: int, ids: np.ndarray, history_counts: np.ndarray, model: Model, shorter: np.ndarray | None = None):
+        """shorter: the numbers of each token's pair, where n is 3."""
+        exact = n == 2 or n == 3 and model.pairs
+        if exact:
+            first, self.group = block.numbered(shorter if n == 3 else None)
+            h = block.histories(n, ids, model.pairs, first)
+        else:
+            history = block.histories(n, ids, model.pairs, np.arange(len(block.which)))
+            first, self.group = grouped(pair_hash(history, ids[block.which]))
+            h = history[first]
+            del history
+        word = block.rank[block.which[first]]
+        # by history and word, as pairs and threes are numbered, then by bucket: values with places in their low bits sort fastest
         bits = max(1, (len(first) - 1).bit_length())
-        both = grouped(block.short(n, first) if n == 3 and model.pairs else h)[1].astype(U) << U(31) | block.rank[block.which[first]].astype(U)
-        order = _order(both, bits)
-        order = order[_order(bucket[order].astype(U), bits)]
+        order = None if exact else _order(grouped(h)[1].astype(U) << U(max(1, len(block.rank).bit_length())) | word.astype(U), bits)
+        hot = model.hot(history_counts[first])
+        bucket = bucket_of(mix(h), model.buckets)
+        bucket[hot] = bucket_of(pair_hash(h[hot], ids[block.which[first[hot]]]), model.buckets)
+        order = _order(bucket.astype(U), bits) if order is None else order[_order(bucket[order].astype(U), bits)]
         self.first = first[order]  # a token that is each n-gram, by bucket, history, word
         self.bucket, self.hot = bucket[order].astype(np.int32), hot[order]
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        self.inverse = rank[inverse]
+        self.inverse = rank[self.group]
         self.counts = np.bincount(self.inverse[block.train], minlength=len(first))
-        self.h, self.w = history[self.first], word[self.first]
-        self.word_rank = block.rank[block.which[self.first]]
+        self.h, self.word_rank = h[order], word[order]
+        self.w = ids[block.which[self.first]]
 
     def cuts(self):
         at = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.bucket) else np.zeros(0, np.int64)
@@ -253,7 +257,7 @@ def _shorter(h: np.ndarray, level: int, model: Model) -> tuple[np.ndarray, np.nd
 
 def _parts(sizes: np.ndarray, h: list[np.ndarray], runs: list[np.ndarray], most: int) -> list[U]:
     """Histories at which to cut a bucket of questions into parts of about `most` n-grams, by a sample of its histories: cuts decide on memory, not on results."""
-    step = max(1, int(sizes.sum()) // 1_000_000)
+    step = max(1, int(sizes.sum()) // 100_000)
     some, weight = np.concatenate([x[::step] for x in h]), np.concatenate([np.add.reduceat(r, np.arange(0, len(r), step), dtype=np.int64) if len(r) else r for r in runs])
     order = np.argsort(some, kind="stable")
     some, total = some[order], np.cumsum(weight[order])
@@ -355,7 +359,7 @@ class Evaluation:
         block.ranked(self.ids)
         self.unigrams = own[block.which]
         self.p = model.unigram(self.unigrams)
-        self.whole, self.scale = np.zeros(0, np.int64), np.zeros(0)
+        self.whole, self.scale, self.group = np.zeros(0, np.int64), np.zeros(0), None
         #: training count of the history of each token at the next level: of the token before, or how many texts there are
         self.history_counts = self._before(self.unigrams)
 
@@ -366,7 +370,7 @@ class Evaluation:
         return out
 
     def grams(self, n: int) -> Grams:
-        return Grams(self.block, n, self.ids, self.history_counts, self.model)
+        return Grams(self.block, n, self.ids, self.history_counts, self.model, self.group)
 
     def step(self, n: int) -> None:
         """From level n - 1 to level n."""
@@ -404,7 +408,7 @@ class Evaluation:
         scale = np.append(np.where(bare, sums / (sums + 1), 1.0), 1.0)  # the last is for histories without an entry
         ch = self.history_counts[g.first]
         p = np.where(total > 0, d.of(total) * total / np.maximum(ch, 1) * scale[slot], np.where(ch > 0, alpha[slot], 1.0) * self.p[g.first])
-        self.p = p[g.inverse]
+        self.p, self.group = p[g.inverse], g.group
         self.totals, self.whole, self.scale = total[g.inverse], np.maximum(ch, 1)[g.inverse], scale[slot][g.inverse]  # counts of n-grams, of their histories, and these' scale
         self.history_counts = self._before(self.totals)
 
