@@ -185,6 +185,24 @@ def test_nested_lengths(spark):
     assert lengths.nested(x.limit(0), "v").count() == 0
 
 
+@pytest.mark.parametrize("task_rows", [7, 40])
+def test_nested_instances_are_told_apart_in_shares(spark, task_rows):
+    """Instances are dealt out by the number of rows, before anything is made distinct: no task holds a map of them."""
+    rng = random.Random(3)
+    rows = [tuple(rng.choice(x) for x in (("b", "c", None), ("d", "e", None), ("m", "n", None), (1, 2, 3, 4, 5, 6, None), (1, 2))) for _ in range(150)]
+    x = frame(spark, rows, "benchmark string, domain string, model string, instance_id int, v int")
+    out = lengths.nested(x, "v", task_rows=task_rows)
+    got = {(r.grouping, r.benchmark, r.domain, r.model): r.instances for r in out.collect()}
+    want = {}
+    for b, d, m, i, _ in rows:
+        for key in ((6, None, None, m), (2, b, None, m), (0, b, d, m)):
+            want.setdefault(key, set()).update([(d, i)] if d is not None and i is not None else [])
+    assert got == {k: len(v) for k, v in want.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    n = -(-sum(r[1] is not None and r[3] is not None for r in rows) // task_rows)
+    assert f", {n}), REPARTITION_BY_NUM" in plan
+
+
 def test_shards_match_a_json_library(spark):
     import hashlib
     import json

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import grid, key_status
 
 
 PERCENTS = (50, 90, 95, 99)
+#: Rows to a task where instances are told apart (some 100 bytes each).
+TASK_ROWS = 2_000_000
 
 
 def describe(value: str, budgets: tuple[int, ...] = (), rows: str | None = None) -> list[Column]:
@@ -31,20 +33,30 @@ def described(df: DataFrame, value: str, by: tuple[str, ...] = (), budgets: tupl
     return df.groupBy(*by).agg(*describe(value, budgets))
 
 
-def nested(df: DataFrame, value: str, budgets: tuple[int, ...] = ()) -> DataFrame:
-    """Over (model), (benchmark, model) and (benchmark, domain, model), with the number of distinct instances.
+def nested(df: DataFrame, value: str, budgets: tuple[int, ...] = (), task_rows: int = TASK_ROWS) -> DataFrame:
+    """Over (model), (benchmark, model) and (benchmark, domain, model), with the number of distinct instances, which are (domain, instance_id) without nulls.
 
-    Rows are summed by value, and instances made distinct, before the three groupings multiply them."""
+    Rows are summed by value, and instances told apart, before the three groupings multiply them. Instances are dealt out to as many tasks
+    as the rows need, as they come, and sorted there: neither side of the shuffle holds a map of them. The first row of an instance within
+    its model, and within its benchmark and model, is marked; counts of marks add up over domains."""
     keys, sets = ["benchmark", "domain", "model"], [("model",), ("benchmark", "model"), ("benchmark", "domain", "model")]
 
     def over(rows: DataFrame, *what: Column) -> DataFrame:
         return rows.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().cast("int").alias("grouping"), *what)
 
     lengths = over(df.groupBy(*keys, value).agg(F.count("*").alias("_rows")), *describe(value, budgets, "_rows"))
-    instances = over(df.select(*keys, "instance_id").distinct(), F.count_distinct("domain", "instance_id").alias("instances"))
+    instance = ("instance_id", "domain", "model")
+    rows = df.select(*keys, "instance_id").where("domain is not null and instance_id is not null")
+    dealt = rows.repartition(max(1, -(-rows.count() // task_rows)), *instance)
+    within = Window.partitionBy(*instance).orderBy("benchmark")
+    first, before = F.row_number().over(within) == 1, F.lag("benchmark").over(within)
+    marked = dealt.select(*keys, first.alias("_model"), (first | ~F.col("benchmark").eqNullSafe(before)).alias("_benchmark"))
+    marks = marked.groupBy(*keys).agg(F.count_if("_model").alias("_model"), F.count_if("_benchmark").alias("_benchmark"))
+    counts = over(marks, F.sum("_model").alias("_model"), F.sum("_benchmark").alias("_benchmark"))
+    instances = counts.select(*keys, "grouping", F.when(F.col("grouping") == 6, F.col("_model")).otherwise(F.col("_benchmark")).alias("instances"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "grouping")]
-    joined = lengths.alias("a").join(instances.alias("b"), same)
-    return joined.select(*[f"a.{c}" for c in (*keys, "grouping")], "b.instances", *[f"a.{c}" for c in lengths.columns if c not in (*keys, "grouping")])
+    joined = lengths.alias("a").join(instances.alias("b"), same, "left")
+    return joined.select(*[f"a.{c}" for c in (*keys, "grouping")], F.coalesce("b.instances", F.lit(0)).alias("instances"), *[f"a.{c}" for c in lengths.columns if c not in (*keys, "grouping")])
 
 
 def grouped(df: DataFrame, value: str, budget: int) -> DataFrame:
