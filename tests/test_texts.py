@@ -220,3 +220,16 @@ def test_numbers_of_any_length(spark):
     for c, (text, want, beyond) in zip(canonical(spark, [(t, 5) for t, *_ in cases]), cases):
         assert c["answer"] == want and c["action_counts"]["remove_invalid_or_out_of_range_label"] == beyond, (text[:20], c["answer"][:40])
         assert sum(s["last"] - s["first"] + 1 for s in c["out_of_range"]) == beyond and len(c["out_of_range"]) == 1
+
+
+def test_headings_and_tokens_are_looked_for_where_they_can_begin(spark):
+    """Patterns for whole answers decide at most places by one character; what they find stays the same."""
+    from visiloom.functions import canonical as c
+
+    assert "(?=" in c.TOKENS and "(?=" in c.CHAIN and "(?=" in c.LEFT_LABEL and c.HEADING_ANYWHERE.startswith(r"(?iU)(?:\A|")
+    breaks = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x85", " ", " "]
+    heads = ["References", "## ſOURCES:", " \t ### Bibliography", "来源："]
+    texts = [f"One [1].{b}{h}{b}[1] A thing" for b in breaks for h in heads] + [f"One of the {h} here [1]." for h in heads]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", c.tails_removed("x").alias("t")).collect()
+    got = {r.i: r.t for r in rows}
+    assert [got[i] for i in range(len(texts))] == ["One [1]."] * (len(breaks) * len(heads)) + texts[-len(heads) :]
