@@ -9,6 +9,8 @@ Rates become copies by carrying the rounding error, in words, from larger sizes
 source are its distinct sizes, at most as many as the longest document has words. Which documents of a cell get the
 additional copy is decided by id hash, in `SUBS` sub-cells for each shuffle partition, so no cell is sorted in one task.
 
+Joins of cells and sub-cells, which grow with the corpus, are merged by hint, as in `graph`.
+
 Rows: null or empty texts have size 0, take nothing and get 0 words; null sources are one source, the last. Rows that
 repeat are documents of their own; of those that share an id, a hash of their plain columns decides, so reruns agree. Texts
 of any length are counted whole. Other columns pass through, whatever their names. An empty table gives no rows.
@@ -109,13 +111,13 @@ def with_copies(docs: DataFrame, size: str, copies: str, source: str = "source",
     # a cell's additional copies go to its sub-cells by their share, through running sums
     w = Window.partitionBy("key", "size").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
     extra, upto = F.expr("k - m * (k div m)"), F.sum("n").over(w)
-    parts = slim.join(kept, ["key", "size"], "left").select("source", "key", "size", "sub", F.expr("k div m").alias("each"), (F.floor(extra * upto / F.col("m")) - F.floor(extra * (upto - F.col("n")) / F.col("m"))).alias("more"))
+    parts = slim.join(kept.hint("merge"), ["key", "size"], "left").select("source", "key", "size", "sub", F.expr("k div m").alias("each"), (F.floor(extra * upto / F.col("m")) - F.floor(extra * (upto - F.col("n")) / F.col("m"))).alias("more"))
     parts = parts.join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     parts = stored(parts.select(F.col("key").alias(key), F.col("sub").alias(sub), F.col("size").alias(z), F.struct("each", "more", "source_size", "target").alias(copies)), "subcells")
     plain = [c for c, t in docs.dtypes if not t.startswith(("map", "struct", "array", "variant"))]
     place = F.row_number().over(Window.partitionBy(key, z, sub).orderBy(h, doc_id, F.xxhash64(*plain)))
     n = F.coalesce(F.col(f"{copies}.each") + F.when(place <= F.col(f"{copies}.more"), 1).otherwise(0), F.lit(0)).cast("int")
-    return keyed.join(parts, [key, z, sub]).select(*docs.columns, F.struct(n.alias("n"), F.col(f"{copies}.source_size"), F.col(f"{copies}.target")).alias(copies))
+    return keyed.join(parts.hint("merge"), [key, z, sub]).select(*docs.columns, F.struct(n.alias("n"), F.col(f"{copies}.source_size"), F.col(f"{copies}.target")).alias(copies))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: int = CAP) -> DataFrame:

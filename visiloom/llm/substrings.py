@@ -213,7 +213,7 @@ def verified(blocks: DataFrame, candidates: DataFrame, text: str, width: int) ->
     # a window has one row for each block that holds it, however often it does; those of a window in very many blocks are summed before they move, and a join can split them
     asked = stored(answered(blocks, candidates.where("mixed").select("block", "fp"), ask, "block long, a long, b long, n long"), "windows")
     again = asked.groupBy("a", "b").agg(F.sum("n").alias("m")).where("m > 1").select("a", "b")
-    windows = asked.join(again, ["a", "b"]).select("block", F.lit(2).alias("kind"), "a", "b")
+    windows = asked.join(again.hint("merge"), ["a", "b"]).select("block", F.lit(2).alias("kind"), "a", "b")
     hashes = candidates.select("block", F.col("mixed").cast("int").alias("kind"), F.col("fp").alias("a"), F.lit(0).cast("long").alias("b"))
     return hashes.unionByName(windows)
 
