@@ -1,7 +1,7 @@
 """Word spans, rolling hashes and packed integer arrays in numpy: whole batches of texts at once, no Python loop over words.
 
 Hashes are 64-bit polynomial sums over random byte values, finished by a bit mixer; texts are cut into pieces of about
-1 MB for them, so memory follows the number of words, not eight times the number of bytes.
+256 KB for them, so memory follows the number of words, not eight times the number of bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ try:
     _trim = ctypes.CDLL("libc.so.6").malloc_trim
 except (OSError, AttributeError):  # another C library keeps what it likes
     _trim = None
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.RandomState(20240229)
 BYTE_VALUES = _rng.randint(0, 2**63, 256).astype(U) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)

@@ -6,11 +6,11 @@ token for each prefix, so a piece can grow at its end without being encoded anew
 `EncodedText` keeps whole texts that way: appends and edits encode only the chunks around them.
 
 Whole texts are cut into chunks that don't depend on their neighbours (`chunks`); only chunks that a worker hasn't met are
-encoded, and ids are gathered, and decoded, a piece of about 1 MB at a time. Ids of a piece that don't decode to its bytes
+encoded, and ids are gathered, and decoded, a piece of about 256 KB at a time. Ids of a piece that don't decode to its bytes
 (hashes of chunks that clash) are made anew without the kept ones.
 
 Rows: a null text counts as empty (no ids; digests of the empty string). Texts of any length are read in pieces of about
-1 MB cut before a lone space, which never changes the ids; a longer piece without one is encoded as a whole, in time in
+256 KB cut before a lone space, which never changes the ids; a longer piece without one is encoded as a whole, in time in
 proportion to its length. Repeated rows give repeated results; an empty table gives none;
 columns other than the id and the text are not read.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from .common import slices, small_batches
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 CHUNK = re.compile(rf" ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+")
 SAFE = re.compile(rf"(?<={OTHER}) (?={OTHER})")
-LONG = PIECE = 1 << 20
+LONG = PIECE = 1 << 18
 #: Chunks kept by a worker (some 30 bytes each), and a tenth as many prefixes and pairs; only speed depends on it.
 CHUNKS = 2_000_000
 
@@ -77,7 +78,8 @@ class PrefixBpe:
         #: Of byte prefixes seen lately, the last tokens up to there; and of pairs, whether they stay apart.
         self.prefixes: dict[bytes, list[int]] = {}
         self.apart: dict[int, bool] = {}
-        self.known = ChunkIds(self._learnt, chunks)
+        me = weakref.proxy(self)  # a cycle would keep all of this beyond its last use, beside the next one
+        self.known = ChunkIds(lambda new: me._learnt(new), chunks)
         #: Bytes of all tokens, and a space and the digits of all ids, end to end, with starts and lengths by id.
         n = max(self.bytes_of, default=-1) + 1
         self.raw = _laid([self.bytes_of.get(i, b"") for i in range(n)])

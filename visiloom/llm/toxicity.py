@@ -30,7 +30,7 @@ from .common import clear_of, held_out, slices, small_batches, stored
 BUCKETS = 1 << 20
 SAMPLE, FEATURES, ROUNDS = 8000, 3000, 200
 PREFIXES = (5, 6, 7, 8, 9, 10, 12)
-PIECE = 1 << 20
+PIECE = 1 << 18
 IN_WORD = np.zeros(256, dtype=bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = IN_WORD[39] = True
 BREAK = np.zeros(256, dtype=bool)
