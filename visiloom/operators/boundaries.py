@@ -21,6 +21,7 @@ texts have equal sentences, whatever their rows' ids; an empty corpus gives an e
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +35,12 @@ ABBREVIATION, STARTER, COLLOCATION, ALWAYS = 0.3, 30.0, 7.88, 0.99
 
 BLANKS = r"[ \t\n\x0B\f\r]+"
 NUMBER = "##number##"
+MARKS = ".!?。！？"
+PARAGRAPH = "\n"  # stands before a paragraph's first chunk; no chunk holds one
 
 
-def _chunk(c: Column, first: Column, last: Column) -> Column:
-    """word, kind of mark, case, whether it is an initial or a number, whether it begins or ends a paragraph. Patterns take nearly all the time, so what is used twice is bound (let)."""
+def _chunk(c: Column, *beside: Column) -> Column:
+    """word, kind of mark, case, whether it is an initial or a number, and what stands beside it. Patterns take nearly all the time, so what is used twice is bound (let), and plain words, by far the most, need one pattern."""
 
     def of(rest: Column, tail: Column) -> Column:
         core = F.when(rest == "", "").otherwise(F.left(rest, F.length(rest) - F.length(tail)))
@@ -47,38 +50,54 @@ def _chunk(c: Column, first: Column, last: Column) -> Column:
         number = core.rlike(r"^\p{N}[\p{N}.,:]*$")
         mark = F.when(tail == "", "none").when(tail.rlike(r"[!?。！？]"), "strong").when(tail.rlike(r"^[^.,;:]*\.\.+[^.,;:]*$"), "dots").when(tail.rlike(r"^[^.,;:]*\.[^.,;:]*$"), "stop").otherwise("none")
         case = F.when(core.rlike(r"^\p{Lu}"), "upper").when(core.rlike(r"^\p{Ll}"), "lower").otherwise("none")
-        return F.struct(c.alias("chunk"), F.when(number, NUMBER).otherwise(F.lower(core)).alias("word"), mark.alias("mark"), case.alias("case"), core.rlike(r"^\p{L}$").alias("initial"), first.alias("first"), last.alias("last"))
+        return parts(F.when(number, NUMBER).otherwise(F.lower(core)), mark, case, core.rlike(r"^\p{L}$"))
+
+    def parts(word: Column, mark: Column, case: Column, initial: Column) -> Column:
+        return F.struct(word.alias("word"), mark.alias("mark"), case.alias("case"), initial.alias("initial"), *beside)
 
     def trimmed(bare: Column, rest: Column) -> Column:
         return let(F.regexp_extract(F.when(rest == "", bare).otherwise(rest), r"[^\p{L}\p{N}]*$", 0), lambda tail: of(rest, tail))
 
     bare = F.when(F.contains(c, F.lit("[")), F.regexp_replace(c, r"\[\p{N}+\]", "")).otherwise(c)
-    return let(bare, lambda bare: let(F.regexp_replace(bare, r"^[^\p{L}\p{N}]+", ""), lambda rest: trimmed(bare, rest)))
+    full = let(bare, lambda bare: let(F.regexp_replace(bare, r"^[^\p{L}\p{N}]+", ""), lambda rest: trimmed(bare, rest)))
+    plain = parts(F.lower(F.rtrim(c, F.lit(".,"))), F.when(F.endswith(c, F.lit(".")), "stop").otherwise("none"), F.lit("lower"), F.lit(False))
+    return F.when(c.rlike(r"^\p{Ll}{2,}[.,]?\z"), plain).otherwise(full)
+
+
+def _runs(text: Column) -> Column:
+    """The chunks of a text in order, with PARAGRAPH before those of each paragraph."""
+    return F.flatten(F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: F.concat(F.array(F.lit(PARAGRAPH)), F.array_remove(F.split(p, BLANKS), ""))))
 
 
-def chunks(text: str | Column) -> Column:
-    """Array of struct(chunk, word, mark, case, initial, first, last)."""
-    t = F.col(text) if isinstance(text, str) else text
-    paragraphs = F.transform(F.split(t, r"\n[ \t]*\n"), lambda p: F.filter(F.split(p, BLANKS), lambda c: c != ""))
-    return F.flatten(F.transform(paragraphs, lambda p: F.transform(p, lambda c, i: _chunk(c, i == 0, i == F.size(p) - 1))))
+def _steps(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """A row for each chunk: what is kept of its text, at (its place in _runs), before (the chunk before it, or PARAGRAPH), chunk."""
+    runs = texts.select(*keep, _runs(F.col(text)).alias("runs"))
+    both = F.arrays_zip(F.col("runs").alias("before"), F.slice("runs", 2, F.size("runs")).alias("chunk"))
+    rows = runs.select(*keep, F.posexplode(both).alias("at", "step")).select(*keep, (F.col("at") + 1).alias("at"), F.col("step")["before"].alias("before"), F.col("step")["chunk"].alias("chunk"))
+    return rows.where(F.col("chunk").isNotNull() & (F.col("chunk") != PARAGRAPH))
 
 
-def _pairs(found: Column) -> Column:
-    """Each chunk with the one before it in its paragraph."""
+def _may_end(chunk: str) -> Column:
+    """Whether a chunk holds a mark; without one it is never dots, a stop or strong."""
+    return functools.reduce(Column.__or__, [F.contains(chunk, F.lit(m)) for m in MARKS])
 
-    def of(x: Column, i: Column) -> Column:
-        before = F.when(~x["first"], F.get(found, i - 1))
-        mark = F.coalesce(before["mark"], F.lit("start"))
-        marked = mark.isin("stop", "dots")
-        return F.struct(mark.alias("mark"), F.when(marked, before["word"]).alias("left"), F.when(marked, before["initial"]).alias("initial"), x["word"].alias("word"), x["case"].alias("case"), (x["mark"] == "stop").alias("stop"))
 
-    return F.transform(found, of)
+def _spread(texts: DataFrame) -> DataFrame:
+    """The same rows, dealt out evenly: a file may keep nearly all texts in one row group, which one task would read."""
+    return texts.hint("rebalance")
 
 
 def neighbours(texts: DataFrame, text: str = "text") -> DataFrame:
     """mark (start, none, strong, dots or stop: what stands before), left and initial (the word before a stop or dots), word, case, stop (whether the word has one), n."""
-    pairs = texts.select(chunks(text).alias("c")).select(F.explode(_pairs(F.col("c"))).alias("p")).select("p.*")
-    return pairs.groupBy(*pairs.columns).agg(F.count("*").alias("n"))
+    steps = _steps(_spread(texts.select(text)), text)
+    before = F.when((F.col("before") == PARAGRAPH) | _may_end("before"), F.col("before")).otherwise("")
+    # counted as they stand: patterns then read each distinct pair once, not each place
+    counted = steps.select(before.alias("before"), "chunk").groupBy("before", "chunk").agg(F.count("*").alias("n"))
+    read = counted.select("n", "before", _chunk(F.col("chunk")).alias("x"), F.when(~F.col("before").isin("", PARAGRAPH), _chunk(F.col("before"))).alias("b"))
+    mark = F.when(F.col("before") == PARAGRAPH, "start").otherwise(F.coalesce("b.mark", F.lit("none")))
+    marked = mark.isin("stop", "dots")
+    pairs = read.select(mark.alias("mark"), F.when(marked, F.col("b.word")).alias("left"), F.when(marked, F.col("b.initial")).alias("initial"), "x.word", "x.case", (F.col("x.mark") == "stop").alias("stop"), "n")
+    return pairs.groupBy(*[c for c in pairs.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 def _log(x: Column) -> Column:
@@ -143,20 +162,24 @@ class Boundaries:
 
     def sentences(self, texts: DataFrame, text: str = "text", name: str = "sentences") -> DataFrame:
         """texts with an array of sentences, their chunks joined by single spaces; null where the text is."""
-        key = "text_digest_"
-        keyed = texts.withColumn(key, F.sha2(text, 256))
-        # cut once: the chunks are read for the places of stops, for the pairs to decide and for the sentences
-        distinct = stored(keyed.where(F.col(text).isNotNull()).groupBy(key).agg(F.first(text).alias("t")).select(key, chunks("t").alias("c")), "chunks")
-        pairs = distinct.select(key, F.posexplode(_pairs(F.col("c"))).alias("at", "p")).where("p.mark in ('stop', 'dots')").select(key, "at", "p.mark", "p.left", "p.initial", "p.word", "p.case")
+        row, at = "row_", "at"
+        kept = stored(_spread(texts).withColumn(row, F.monotonically_increasing_id()), "texts")
+        steps = _steps(kept, text, row).where(_may_end("before")).select(row, at, "chunk", _chunk(F.col("before")).alias("b"))
+        places = stored(steps.where("b.mark <> 'none'").select(row, at, "chunk", "b.mark", F.col("b.word").alias("left"), "b.initial"), "places")
+        known = places.join(self.abbreviations.select(F.col("word").alias("left"), F.lit(True).alias("abbreviation")), "left", "left")
+        # strong marks, and stops after words that are nothing else, end a sentence whatever follows; the rest is asked for
+        sure = (F.col("mark") == "strong") | ((F.col("mark") == "stop") & F.col("abbreviation").isNull() & ~F.col("initial") & (F.col("left") != NUMBER))
+        asked = known.where(~sure).select(row, at, "mark", "left", "initial", _chunk(F.col("chunk")).alias("x")).select(row, at, "mark", "left", "initial", "x.word", "x.case")
         question = ["mark", "left", "initial", "word", "case"]
-        ends = pairs.join(self.decided(pairs.select(*question).distinct()), question).where("ends").groupBy(key).agg(F.collect_list("at").alias("ends"))
-        c, begins = F.col("c"), F.coalesce("ends", F.array().cast("array<int>"))
-        # a sentence begins at each paragraph, after each strong mark, and where it was decided
-        cut = F.array_sort(F.array_union(F.filter(F.transform(c, lambda x, i: F.when(x["first"] | (F.get(c, i - 1)["mark"] == "strong"), i)), lambda i: i.isNotNull()), begins))
-        made = distinct.join(ends, key, "left").withColumn("cut", cut)
-        upto = F.transform("cut", lambda a, i: F.coalesce(F.get("cut", i + 1), F.size(c)))
-        made = made.select(key, F.zip_with("cut", upto, lambda a, b: F.array_join(F.transform(F.slice(c, a + 1, b - a), lambda x: x["chunk"]), " ")).alias(name))
-        return keyed.join(made, key, "left").drop(key)
+        decided = asked.join(self.decided(asked.select(*question).distinct()), question).where("ends").select(row, at)
+        ends = known.where(sure).select(row, at).unionByName(decided).groupBy(row).agg(F.array_sort(F.collect_list(at)).alias("ends"))
+        made = kept.join(ends, row, "left").withColumn("runs", _runs(F.col(text)))
+        # a sentence begins where it was decided, and at each paragraph: sentences and paragraphs are joined by line ends, which no chunk holds
+        cut = F.concat(F.array(F.lit(0)), F.coalesce("ends", F.array().cast("array<int>")))
+        upto = F.concat(F.coalesce("ends", F.array().cast("array<int>")), F.array(F.size("runs")))
+        joined = F.array_join(F.zip_with(cut, upto, lambda a, b: F.array_join(F.slice("runs", a + 1, b - a), " ")), "\n")
+        found = F.array_remove(F.split(joined, " ?\n ?"), "")
+        return made.withColumn(name, F.when(F.col(text).isNotNull(), found)).select(*texts.columns, name)
 
 
 def fitted(pairs: DataFrame) -> Boundaries:
@@ -166,26 +189,28 @@ def fitted(pairs: DataFrame) -> Boundaries:
     n_words, n_stops = F.lit(total.words or 0), F.lit(total.stops or 0)
     types = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("with_stop"))
     scored = types.where((F.col("with_stop") > 0) & (F.col("word") != NUMBER)).withColumn("score", abbreviation_score(F.col("n"), F.col("with_stop"), n_stops, n_words, F.col("word")))
-    abbreviations = scored.where(F.col("score") >= ABBREVIATION).select("word", "score")
+    abbreviations = stored(scored.where(F.col("score") >= ABBREVIATION).select("word", "score"), "abbreviations")
     known = abbreviations.select(F.col("word").alias("left"), F.lit(True).alias("abbreviation"))
     seen = pairs.join(known, "left", "left").withColumn("abbreviation", F.coalesce("abbreviation", F.lit(False)))
     odd = F.coalesce("initial", F.lit(False)) | F.coalesce(F.col("left") == NUMBER, F.lit(False))
     end = (F.col("mark") == "strong") | ((F.col("mark") == "stop") & ~F.col("abbreviation"))
     seen = seen.withColumns({"end": end, "certain": (F.col("mark") == "start") | (end & ~odd), "open": ((F.col("mark") == "stop") & (F.col("abbreviation") | odd)) | (F.col("mark") == "dots")})
 
-    breaks = F.lit(seen.where("end").agg(F.sum("n")).first()[0] or 0)
-    at_break = seen.where(F.col("end") & ~odd & F.col("word").rlike(r"^\p{L}+$")).groupBy("word").agg(F.sum("n").alias("here"))
-    s = at_break.join(types.select("word", "n"), "word")
+    def times(where: Column) -> Column:
+        return F.sum(F.when(where, F.col("n")).otherwise(0))
+
+    # all that is asked of a word, from one reading of the pairs
+    within = ~F.col("certain") & ~F.col("open")
+    cases = [times((F.col("case") == k) & w).alias(f"{k}_{n}") for k in ("upper", "lower") for n, w in (("begin", F.col("certain")), ("within", within), ("open", F.col("open")))]
+    uses = stored(seen.groupBy("word").agg(F.sum("n").alias("n"), times(F.col("end")).alias("ends"), times(F.col("end") & ~odd).alias("here"), *cases), "uses")
+
+    breaks = F.lit(uses.agg(F.sum("ends")).first()[0] or 0)
+    s = uses.where((F.col("here") > 0) & F.col("word").rlike(r"^\p{L}+$"))
     starters = s.where((association(breaks, F.col("n"), F.col("here"), n_words) >= STARTER) & (F.try_divide(n_words, breaks) > F.col("n") / F.col("here"))).select("word")
 
     together = seen.where((F.col("mark") == "stop") & (F.col("abbreviation") | odd) & (F.col("word") != "") & (F.col("left") != "")).groupBy("left", "word").agg(F.sum("n").alias("both"))
-    c = together.where("both > 1").join(types.select(F.col("word").alias("left"), F.col("n").alias("a")), "left").join(types.select("word", F.col("n").alias("b")), "word").join(starters, "word", "left_anti")
+    c = together.where("both > 1").join(uses.select(F.col("word").alias("left"), F.col("n").alias("a")), "left").join(uses.select("word", F.col("n").alias("b")), "word").join(starters, "word", "left_anti")
     enough = (F.col("a") > 1) & (F.col("b") > 1) & (F.col("both") <= F.least("a", "b"))
     collocations = c.where(enough & (association(F.col("a"), F.col("b"), F.col("both"), n_words) >= COLLOCATION) & (n_words / F.col("a") > F.col("b") / F.col("both"))).select("left", "word")
-
-    def times(case: str, where: Column) -> Column:
-        return F.sum(F.when((F.col("case") == case) & where, F.col("n")).otherwise(0))
-
-    within = ~F.col("certain") & ~F.col("open")
-    spelling = seen.where("word <> ''").groupBy("word").agg(*[times(k, w).alias(f"{k}_{n}") for k in ("upper", "lower") for n, w in (("begin", F.col("certain")), ("within", within), ("open", F.col("open")))])
+    spelling = uses.where("word <> ''").select("word", *[f"{k}_{n}" for k in ("upper", "lower") for n in ("begin", "within", "open")])
     return Boundaries(abbreviations, starters, collocations, spelling)
