@@ -176,3 +176,17 @@ def test_patterns_of_a_chunk_are_bound(spark):
     made = spark.range(1).select(F.lit("(e.g.").alias("c")).select(boundaries._chunk(F.col("c"), F.lit(True), F.lit(True)).alias("x"))
     text = made._jdf.queryExecution().analyzed().toString().lower()
     assert text.count("regexp_") + text.count("rlike") <= 12
+
+
+def test_patterns_read_distinct_pairs(model):
+    """Patterns of chunks are looked for after chunks are counted, and no more once the places of marks are stored."""
+    _, df, m, _ = model
+
+    def plan(x):
+        return x._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    other = df.select(F.upper("text").alias("text"))  # the pairs of df itself are cached
+    of_pairs = plan(boundaries.neighbours(other))
+    at_places = of_pairs[of_pairs.rindex("aggregate") :].split("- project", 1)[1]  # below the counting
+    assert "regexp_extract(" in of_pairs and "regexp_extract(" not in at_places
+    assert "regexp_extract(" not in plan(m.sentences(df.drop("sentences")))

@@ -164,12 +164,14 @@ class Boundaries:
         """texts with an array of sentences, their chunks joined by single spaces; null where the text is."""
         row, at = "row_", "at"
         kept = stored(_spread(texts).withColumn(row, F.monotonically_increasing_id()), "texts")
-        steps = _steps(kept, text, row).where(_may_end("before")).select(row, at, "chunk", _chunk(F.col("before")).alias("b"))
+        # exploded, so that the filter on the mark doesn't read the patterns a second time
+        steps = _steps(kept, text, row).where(_may_end("before")).select(row, at, "chunk", F.explode(F.array(_chunk(F.col("before")))).alias("b"))
         places = stored(steps.where("b.mark <> 'none'").select(row, at, "chunk", "b.mark", F.col("b.word").alias("left"), "b.initial"), "places")
         known = places.join(self.abbreviations.select(F.col("word").alias("left"), F.lit(True).alias("abbreviation")), "left", "left")
         # strong marks, and stops after words that are nothing else, end a sentence whatever follows; the rest is asked for
         sure = (F.col("mark") == "strong") | ((F.col("mark") == "stop") & F.col("abbreviation").isNull() & ~F.col("initial") & (F.col("left") != NUMBER))
-        asked = known.where(~sure).select(row, at, "mark", "left", "initial", _chunk(F.col("chunk")).alias("x")).select(row, at, "mark", "left", "initial", "x.word", "x.case")
+        # stored, as the joins' filters would else read the patterns at all places, and twice
+        asked = stored(known.where(~sure).select(row, at, "mark", "left", "initial", _chunk(F.col("chunk")).alias("x")).select(row, at, "mark", "left", "initial", "x.word", "x.case"), "asked")
         question = ["mark", "left", "initial", "word", "case"]
         decided = asked.join(self.decided(asked.select(*question).distinct()), question).where("ends").select(row, at)
         ends = known.where(sure).select(row, at).unionByName(decided).groupBy(row).agg(F.array_sort(F.collect_list(at)).alias("ends"))
